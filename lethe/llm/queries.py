@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lethe.llm.bpe import bpe_digests
 from lethe.llm.common import table
+from lethe.llm.exact import exact_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +17,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
+
+
+OP10_SQL = """
+WITH t AS (
+    SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+    FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_byte_bpe,)}
+    return {f.__name__: f for f in (op4_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_dedup": OP10_SQL}
