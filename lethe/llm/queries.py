@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lethe.llm import quality as quality_model
+from lethe.llm import toxicity as toxicity_model
 from lethe.llm.bpe import bpe_digests
 from lethe.llm.common import table
 from lethe.llm.exact import exact_dedup
@@ -13,6 +15,16 @@ from lethe.llm.exact import exact_dedup
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_model.toxicity(docs, toxicity_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.quality_scores(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -31,7 +43,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,8 @@
-"""Toxicity by cumulative-link ordinal regression over sparse word counts.
+"""Toxicity by cumulative-link ordinal regression over sparse counts of words and word beginnings.
 
 Severity has the grades 0 to 3. Labels say only whether a document is toxic; the grade of a toxic training
-document is the number of its words that mark toxic documents (log odds over a bound): up to 2, up to 5,
-more. P(grade >= k) = sigmoid(w.x - b_k): the weights are shared by the ordered thresholds b_1 < b_2 < b_3,
+document is the number of its features that mark toxic documents (log odds over a bound): up to 2, up to
+5, more. P(grade >= k) = sigmoid(w.x - b_k): the weights are shared by the ordered thresholds b_1 < b_2 < b_3,
 and a document's score is its expected severity, the sum of the three probabilities.
 
 Null and empty texts have no words and get the score of the thresholds alone. Without labels of both classes
@@ -26,11 +26,15 @@ from lethe.llm.common import map_rows, texts
 from lethe.llm.training import SAMPLE_ROWS, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Words that the model weighs at most, and documents that one of them must occur in.
+#: Lengths of the proper beginnings of a word that count beside the word: they find unseen derived words.
+BEGINNINGS = (5, 6, 7, 8)
+#: Features that the model weighs at most, and documents that one of them must occur in.
 VOCABULARY, LEAST_DOCS = 1000, 3
+#: Words whose features a worker remembers.
+MEMO = 1 << 19
 #: Log odds from which a word marks toxic documents, and marks up to which a toxic document has grade 1, 2.
 MARK_LOG_ODDS, GRADE_MARKS = 3.0, (2, 5)
-PENALTY, STEPS = 1e-3, 400
+PENALTY, STEPS, RATE = 1e-4, 300, 0.05
 
 
 @dataclass
@@ -44,40 +48,52 @@ class Ordinal:
         z = np.array([sum(self.weights[i] * np.log1p(c) for i, c in d.items()) for d in counts]).reshape(-1, 1)
         return 1 / (1 + np.exp(np.clip(self.bounds - z, -30, 30)))
 
-    def counts(self, text: str) -> dict[int, int]:
-        words = self.words
-        return Counter(words[w] for w in WORD.findall(text.lower()) if w in words)
+    def counts(self, text: str, memo: dict[str, tuple[int, ...]]) -> dict[int, int]:
+        """Occurrences of each weighed feature in the whole text."""
+        out: Counter = Counter()
+        for w in WORD.findall(text.lower()):
+            if (found := memo.get(w)) is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                found = memo[w] = tuple(self.words[f] for f in features(w) if f in self.words)
+            if found:
+                out.update(found)
+        return out
 
 
-def fit(x: np.ndarray, grades: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by accelerated gradient descent on the mean negative log-likelihood.
+def features(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}-" for k in BEGINNINGS if len(word) > k)]
+
+
+def fit(x: np.ndarray, grades: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by Adam on the mean negative log-likelihood with an L2 penalty.
 
     The thresholds are b_1 and the logs of the gaps above it, so they stay in order.
     """
     n, k = x.shape
-    tiny = 1e-12
+    x = x.astype(np.float32)
     w, t = np.zeros(k), np.array([2.0, 0.0, 0.0])
-    vw, vt = w.copy(), t.copy()
-    rate = 4.0 / max(1e-9, float((x**2).sum(1).mean()) + 1)
+    first, second = np.zeros(k + 3), np.zeros(k + 3)
+    at = np.arange(n)
     for step in range(1, steps + 1):
-        b = np.array([vt[0], vt[0] + np.exp(vt[1]), vt[0] + np.exp(vt[1]) + np.exp(vt[2])])
-        p = 1 / (1 + np.exp(np.clip(b - (x @ vw)[:, None], -30, 30)))
+        gaps = np.exp(t[1:])
+        b = t[0] + np.array([0.0, gaps[0], gaps.sum()])
+        p = 1 / (1 + np.exp(np.clip(b - (x @ w.astype(np.float32))[:, None], -30, 30)))
         edge = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
         slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
-        at = np.arange(n)
-        mass = np.maximum(edge[at, grades] - edge[at, grades + 1], tiny)
-        dz = -(slope[at, grades] - slope[at, grades + 1]) / mass
-        db = np.zeros((n, 5))
-        db[at, grades] += slope[at, grades] / mass
-        db[at, grades + 1] -= slope[at, grades + 1] / mass
-        gb = db[:, 1:4].mean(0)
-        gw = x.T @ dz / n + penalty * vw
-        gt = np.array([gb.sum(), (gb[1] + gb[2]) * np.exp(vt[1]), gb[2] * np.exp(vt[2])])
-        new_w, new_t = vw - rate * gw, np.clip(vt - rate * gt, [-20, -4, -4], [20, 3, 3])
-        m = (step - 1) / (step + 2)
-        vw, vt = new_w + m * (new_w - w), np.clip(new_t + m * (new_t - t), [-20, -4, -4], [20, 3, 3])
-        w, t = new_w, new_t
-    return w, np.array([t[0], t[0] + np.exp(t[1]), t[0] + np.exp(t[1]) + np.exp(t[2])])
+        mass = np.maximum(edge[at, grades] - edge[at, grades + 1], 1e-12)
+        low, high = slope[at, grades] / mass, slope[at, grades + 1] / mass
+        to_b = np.zeros((n, 5))
+        to_b[at, grades] = low
+        to_b[at, grades + 1] = -high
+        gb = to_b[:, 1:4].mean(0)
+        g = np.concatenate([x.T @ (high - low).astype(np.float32) / n + penalty * w, [gb.sum(), gb[1:].sum() * gaps[0], gb[2] * gaps[1]]])
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
+        move = rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w -= move[:k]
+        t = np.clip(t - move[k:], [-20, -4, -4], [20, 3, 3])
+    gaps = np.exp(t[1:])
+    return w, t[0] + np.array([0.0, gaps[0], gaps.sum()])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Ordinal:
@@ -88,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabular
         for b in batches:
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(texts(b), b.column("y").to_pylist(), strict=True):
-                found[y > 0].update(set(WORD.findall(t.lower())))
+                found[y > 0].update({f for w in set(WORD.findall(t.lower())) for f in features(w)})
             words = list(found[0] | found[1])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in found)], ["word", "n0", "n1"])
 
@@ -105,8 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabular
     marks = np.array([r.odds >= MARK_LOG_ODDS for r in chosen])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            found = [model.counts(t) for t in texts(b)]
+            found = [model.counts(t, memo) for t in texts(b)]
             cols = [pa.array([list(f(d)) for d in found], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *cols], ["doc_id", "y", "i", "c"])
 
@@ -128,8 +145,9 @@ def toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
     """(doc_id, severity 0 to 3, p_toxic, grade, toxic) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            p = model.probabilities([model.counts(t) for t in texts(b)])
+            p = model.probabilities([model.counts(t, memo) for t in texts(b)])
             cols = [pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
