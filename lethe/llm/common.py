@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lethe.plans.shipping import ensure_shipped
+
 #: Characters of text that one numpy pass holds at a time.
 CHUNK_CHARS = 400_000
 
@@ -58,6 +60,7 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return f(small(batches))
 
+    ensure_shipped(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
