@@ -2,7 +2,8 @@
 
 Severity has the grades 0 to 3. Labels say only whether a document is toxic; the grade of a toxic training
 document is the number of its features that mark toxic documents (log odds over a bound): up to 2, up to
-5, more. P(grade >= k) = sigmoid(w.x - b_k): the weights are shared by the ordered thresholds b_1 < b_2 < b_3,
+5, more. P(grade >= k) = sigmoid(w.x - b_k): a feature met c times
+has the value 1 + log c, the weights are shared by the ordered thresholds b_1 < b_2 < b_3,
 and a document's score is its expected severity, the sum of the three probabilities.
 
 Null and empty texts have no words and get the score of the thresholds alone. Without labels of both classes
@@ -34,7 +35,7 @@ VOCABULARY, LEAST_DOCS = 1000, 3
 MEMO = 1 << 19
 #: Log odds from which a word marks toxic documents, and marks up to which a toxic document has grade 1, 2.
 MARK_LOG_ODDS, GRADE_MARKS = 3.0, (2, 5)
-PENALTY, STEPS, RATE = 1e-4, 300, 0.05
+PENALTY, STEPS, RATE = 1e-4, 500, 0.05
 
 
 @dataclass
@@ -45,7 +46,7 @@ class Ordinal:
 
     def probabilities(self, counts: list[dict[int, int]]) -> np.ndarray:
         """P(grade >= 1, 2, 3) of each document."""
-        z = np.array([sum(self.weights[i] * np.log1p(c) for i, c in d.items()) for d in counts]).reshape(-1, 1)
+        z = np.array([sum(self.weights[i] * (1 + np.log(c)) for i, c in d.items()) for d in counts]).reshape(-1, 1)
         return 1 / (1 + np.exp(np.clip(self.bounds - z, -30, 30)))
 
     def counts(self, text: str, memo: dict[str, tuple[int, ...]]) -> dict[int, int]:
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabular
     x = np.zeros((len(found), len(chosen)), np.float32)
     hits = np.zeros(len(found))
     for j, r in enumerate(found):
-        x[j, r.x.i] = np.log1p(r.x.c)
+        x[j, r.x.i] = 1 + np.log(r.x.c)
         hits[j] = sum(n for i, n in zip(r.x.i, r.x.c, strict=True) if marks[i])
     toxic = np.array([r.y > 0 for r in found])
     grades = np.where(toxic, 1 + np.searchsorted(GRADE_MARKS, hits, side="left"), 0)
