@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lethe.llm import langid
 from lethe.llm import quality as quality_model
 from lethe.llm import toxicity as toxicity_model
 from lethe.llm.bpe import bpe_digests
@@ -29,6 +30,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.language_id(docs, langid.train(docs))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -43,7 +49,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op6_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
