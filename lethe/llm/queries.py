@@ -12,6 +12,7 @@ from lethe.llm import toxicity as toxicity_model
 from lethe.llm.bpe import bpe_digests
 from lethe.llm.common import table
 from lethe.llm.exact import exact_dedup
+from lethe.llm.token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.language_id(docs, langid.train(docs))
@@ -49,7 +54,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op6_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op5_token_files, op6_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
