@@ -11,6 +11,7 @@ from lethe.llm import quality as quality_model
 from lethe.llm import toxicity as toxicity_model
 from lethe.llm.bpe import bpe_digests
 from lethe.llm.common import table
+from lethe.llm.decontaminate import benchmark_hits
 from lethe.llm.exact import exact_dedup
 from lethe.llm.near_dup import shingle_join
 from lethe.llm.token_files import token_files
@@ -41,6 +42,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(docs, langid.train(docs))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("text_hash")
 
@@ -59,7 +64,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op5_token_files, op6_language_id, op9_jaccard_join, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op5_token_files, op6_language_id, op8_decontaminate, op9_jaccard_join, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
