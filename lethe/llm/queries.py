@@ -14,6 +14,7 @@ from lethe.llm.common import table
 from lethe.llm.decontaminate import benchmark_hits
 from lethe.llm.exact import exact_dedup
 from lethe.llm.near_dup import shingle_join
+from lethe.llm.secrets import secret_scan
 from lethe.llm.token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(docs, langid.train(docs))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +69,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op5_token_files, op6_language_id, op8_decontaminate, op9_jaccard_join, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op5_token_files, op6_language_id, op7_secrets, op8_decontaminate, op9_jaccard_join, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
