@@ -14,6 +14,7 @@ from lethe.llm.common import table
 from lethe.llm.decontaminate import benchmark_hits
 from lethe.llm.exact import exact_dedup
 from lethe.llm.near_dup import shingle_join
+from lethe.llm.pii import personal_data
 from lethe.llm.secrets import secret_scan
 from lethe.llm.token_files import token_files
 
@@ -25,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_model.toxicity(docs, toxicity_model.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.quality_scores(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -69,7 +74,7 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_byte_bpe, op5_token_files, op6_language_id, op7_secrets, op8_decontaminate, op9_jaccard_join, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality, op4_byte_bpe, op5_token_files, op6_language_id, op7_secrets, op8_decontaminate, op9_jaccard_join, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
