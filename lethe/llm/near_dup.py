@@ -2,10 +2,13 @@
 
 1. One pass turns every text into its shingle set and keeps the set's name (64 bits of a hash) and prefix: the
    tokens that hash lowest. Two sets that share at least the needed overlap share at least l tokens of prefixes
-   of length size - overlap + l, whatever the order of tokens. Equal sets in one task keep one prefix.
-2. Tokens met in the prefixes of two different sets are found by an aggregation (map-side minimum and maximum
-   of the sets' names). Sets with fewer than l such tokens have no partner and are done.
-3. The others' prefix tokens connect them into islands; every link lies inside one. Their texts are read again
+   of length size - overlap + l, whatever the order of tokens. Equal sets in one task keep one prefix. A task
+   takes groups of up to GROUP_TOKENS prefix tokens: those met in several sets of a group are known to be shared
+   at once, and one of these sets, the token's leader, speaks for them. So what is shuffled has one row for each
+   token and group, and a token that a third of all documents hold has as few as any.
+2. An aggregation finds the tokens that different sets announced. Sets with fewer than l shared prefix tokens
+   have no partner and are done.
+3. The others' shared tokens connect them into islands; every link lies inside one. Their texts are read again
    (a Bloom filter of bounded size passes the others by) and their whole sets dealt out by island.
 4. Inside an island a signature tree finds the linked pairs, see signature_tree. An island too large for a task
    is cut by size class and hash into blocks. Blocks are joined on their own first, then only pairs of blocks
@@ -28,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import bloom, dropped, in_bloom, map_rows, stored
+from lethe.llm.common import bloom, in_bloom, map_rows, stored
 from lethe.llm.graph import components
 from lethe.llm.shingles import shingle_sets
 from lethe.llm.signature_tree import similar
 
 #: Tokens of the sets that one task joins at a time.
 UNIT_TOKENS = 2_000_000
+#: Prefix tokens among which a task finds the shared ones by itself.
+GROUP_TOKENS = 2_000_000
 
 
 def least_overlap(size: int, num: int, den: int) -> int:
@@ -56,25 +61,74 @@ def names(sets: list[np.ndarray]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in sets), "<i8")
 
 
-def prefixes(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def announce(heads: list[np.ndarray | None], name: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each set of a group: tokens it alone holds, tokens it leads, the leaders of its shared tokens (other
+    than itself), and how many of its tokens are shared."""
+    sizes = np.array([0 if h is None else len(h) for h in heads])
+    flat = np.concatenate([h for h in heads if h is not None] or [np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(heads)), sizes)
+    order = np.argsort(flat, kind="stable")
+    token, own = flat[order], owner[order]
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(token)))
+    single = start[count == 1]
+    lead = start[count > 1]
+    run = np.repeat(np.arange(len(start)), count)
+    leader = own[start][run]
+    shared = count[run] > 1
+    follow = np.unique(np.stack([own[shared & ~new], leader[shared & ~new]], 1), axis=0) if (shared & ~new).any() else np.zeros((0, 2), np.int64)
+
+    def dealt(keys: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        at = np.argsort(keys, kind="stable")
+        return np.split(values[at], np.cumsum(np.bincount(keys, minlength=len(heads)))[:-1])
+
+    sure = np.bincount(own[shared], minlength=len(heads))
+    return dealt(own[single], token[single]), dealt(own[lead], token[lead]), dealt(follow[:, 0], name[follow[:, 1]]), sure
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate([p.view(np.int64) for p in parts] or [np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int) -> DataFrame:
+    """(doc_id, text_hash, n, s) of each row, and for the first of equal sets: tokens to announce, leaders, sure."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            name = np.array([r[3] for r in held], np.int64)
+            single, lead, leaders, sure = announce([r[4] for r in held], name)
+            cols = [pa.array([r[i] for r in held], t) for i, t in enumerate((id_type, pa.int64(), pa.int64(), pa.int64()))]
+            cols += [lists([np.concatenate(p) for p in zip(single, lead, strict=True)]), lists(leaders), pa.array(sure, pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "s", "said", "leaders", "sure"])
+
         for b in batches:
+            id_type = b.schema.field("doc_id").type
             sets = list(shingle_sets([t or b"" for t in b.column("body").to_pylist()], k))
-            name = names(sets)
-            heads: list[np.ndarray | None] = []
-            for s, x in zip(sets, name.tolist(), strict=True):
-                heads.append(s[: prefix_length(len(s), num, den)].view(np.int64) if len(s) and x not in seen else None)
+            name = names(sets).tolist()
+            for d, h, s, x in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), sets, name, strict=True):
+                head = s[: prefix_length(len(s), num, den)].copy() if len(s) and x not in seen else None
                 seen.add(x)
+                held.append((d, h, len(s), x, head))
+                size += 8 if head is None else len(head)
+            if size > group_tokens:
+                yield flush()
+                held.clear()
+                size = 0
             if len(seen) > 1 << 20:
                 seen.clear()
-            ends = np.concatenate([[0], np.cumsum([0 if h is None else len(h) for h in heads])]).astype(np.int32)
-            flat = np.concatenate([h for h in heads if h is not None] or [np.zeros(0, np.int64)])
-            cols = [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(name), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "s", "prefix"])
+        if held:
+            yield flush()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_rows(rows, run, f"doc_id {kind}, text_hash long, n long, s long, prefix array<long>")
+    return map_rows(rows, run, f"doc_id {kind}, text_hash long, n long, s long, said array<long>, leaders array<long>, sure long")
 
 
 def whole_sets(rows: DataFrame, k: int, words: np.ndarray, b: int) -> DataFrame:
@@ -101,7 +155,7 @@ def unit_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     joined with each other, a unit of side 0 alone with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, met = None, [], set()
 
         def out() -> list[tuple[int, int]]:
             held.sort(key=lambda r: (r[0], r[1]))
@@ -110,12 +164,14 @@ def unit_links(rows: DataFrame, num: int, den: int) -> DataFrame:
             return [(held[i][1], held[j][1]) for i, j in pairs]
 
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int]] = []  # links of units that end in this batch
             for unit, side, s, label, tokens in zip(*(b.column(c).to_pylist() for c in ("unit", "side", "s", "label", "tokens")), strict=True):
                 if unit != at:
                     found += out() if len(held) > 1 else []
-                    at, held = unit, []
-                held.append((side, s, label, tokens))
+                    at, held, met = unit, [], set()
+                if s not in met:  # equal sets of different tasks come once from each
+                    met.add(s)
+                    held.append((side, s, label, tokens))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
         if len(held) > 1 and (found := out()):
@@ -124,20 +180,19 @@ def unit_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return map_rows(rows.repartition("unit").sortWithinPartitions("unit").select("unit", "side", "s", "label", "tokens"), run, "a long, b long")
 
 
-def joined(sets: DataFrame, num: int, den: int, unit_tokens: int) -> DataFrame | None:
-    """Links (a, b) of sets (island, s, n, tokens), a forest for each class."""
+def joined(sets: DataFrame, islands: DataFrame, num: int, den: int, unit_tokens: int) -> DataFrame:
+    """Links (a, b), a forest for each class, of sets (s, tokens) dealt out by islands (s, island, n)."""
     size_class = F.floor(F.log("n") / float(np.log(den / num) * 1.0000001)) if num < den else F.col("n")
-    classed = sets.withColumn("class", size_class.cast("long"))
+    classed = islands.withColumn("class", size_class.cast("long"))
     parts = classed.groupBy("island", "class").agg(F.sum("n").alias("part"))
-    islands = parts.groupBy("island").agg(F.sum("part").alias("whole"))
-    parts = parts.join(islands, "island").select("island", "class", F.when(F.col("whole") <= unit_tokens, F.lit(0)).otherwise(F.ceil(F.col("part") / unit_tokens)).cast("int").alias("blocks"))
-    parts = stored(parts, "parts")
+    whole = parts.groupBy("island").agg(F.sum("part").alias("whole"))
+    parts = parts.join(whole, "island").select("island", "class", F.when(F.col("whole") <= unit_tokens, F.lit(0)).otherwise(F.ceil(F.col("part") / unit_tokens)).cast("int").alias("blocks"))
     block = F.when(F.col("blocks") == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-    dealt = stored(classed.join(parts, ["island", "class"]).withColumn("block", block), "dealt")
-    own = F.struct("island", F.when(F.col("blocks") == 0, F.lit(-1)).otherwise(F.col("class")).alias("class"), "block")
-    links = stored(unit_links(dealt.select(F.xxhash64(own).alias("unit"), F.lit(0).alias("side"), "s", F.col("s").alias("label"), "tokens"), num, den), "links")
-    if not parts.filter("blocks > 0").limit(1).count():
-        dropped(dealt)
+    dealt = stored(classed.join(parts, ["island", "class"]).withColumn("block", block).withColumn("class", F.when(F.col("blocks") == 0, F.lit(-1)).otherwise(F.col("class"))), "dealt")
+    own = F.xxhash64(F.struct("island", "class", "block"))
+    units = dealt.select("s", own.alias("unit"), F.lit(0).alias("side"), F.col("s").alias("label"))
+    links = stored(unit_links(sets.join(units, "s"), num, den), "links")
+    if not dealt.filter("blocks > 0").limit(1).count():
         return links
 
     # pairs of blocks of one island, of the same size class or neighbours, that hold more than one class
@@ -150,40 +205,41 @@ def joined(sets: DataFrame, num: int, den: int, unit_tokens: int) -> DataFrame |
     ends = [F.struct(F.col(f"{t}.island"), F.col(f"{t}.class"), F.col(f"{t}.block")) for t in "xy"]
     pairs = stored(pairs.select(F.xxhash64(*ends).alias("unit"), *(e.alias(t) for e, t in zip(ends, "xy", strict=True))), "pairs")
     sides = pairs.select("unit", F.lit(0).alias("side"), "x.*").union(pairs.select("unit", F.lit(1).alias("side"), "y.*"))
-    rows = cut.join(sides, ["island", "class", "block"]).select("unit", "side", "s", "label", "tokens")
-    across = stored(unit_links(rows, num, den), "across")
-    dropped(dealt)
-    return links.union(across)
+    units = cut.join(sides, ["island", "class", "block"]).select("s", "unit", "side", "label")
+    return links.union(stored(unit_links(sets.join(units, "s"), num, den), "across"))
 
 
 def shingle_join(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", unit_tokens: int = UNIT_TOKENS
-) -> DataFrame:
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+    unit_tokens: int = UNIT_TOKENS, group_tokens: int = GROUP_TOKENS,
+) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row; sets link when den * shared >= num * union."""
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"xxhash64(coalesce(`{text_col}`, '')) AS text_hash", f"cast(`{text_col}` AS binary) AS body")
-    first = stored(prefixes(rows, k, num, den), "prefixes")
+    first = stored(prefixes(rows, k, num, den, group_tokens), "prefixes")
+    own = first.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s")
 
-    tokens = first.select("s", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("s").alias("hub"), F.max("s").alias("other")).filter("hub < other").select("token", "hub")
-    met = tokens.join(shared, "token").groupBy("s", "hub").agg(F.first("n").alias("n"), F.count("*").alias("met"))
-    met = stored(met, "met")
+    # a token has a row for each group at most; both uses read one exchange
+    said = first.select("s", F.explode("said").alias("token")).repartition("token")
+    shared = said.groupBy("token").agg(F.min("s").alias("hub"), F.max("s").alias("other")).filter("hub < other").select("token", "hub")
+    met = stored(said.join(shared.hint("shuffle_hash"), "token").groupBy("s", "hub").agg(F.count("*").alias("met")), "met")
+    hits = first.filter("sure > 0 OR size(said) > 0").select("s", "n", F.col("sure").alias("met")).union(met.select("s", F.lit(None).cast("long"), "met"))
     least = F.ceil(F.col("n") * num / den)
-    alive = met.groupBy("s").agg(F.first("n").alias("n"), F.sum("met").alias("met")).filter(F.col("met") >= F.greatest(F.lit(1), F.floor(least / 20)))
-    alive = stored(alive.select("s"), "alive")
+    hits = hits.groupBy("s").agg(F.max("n").alias("n"), F.sum("met").alias("met")).filter(F.col("met") >= F.greatest(F.lit(1), F.floor(least / 20)))
+    alive = stored(hits.select("s", "n"), "alive")
     count = alive.count()
     if not count:
-        own = first.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s")
         return _classes(own.withColumn("label", F.col("s")))
 
-    hubs = met.join(alive, "s", "left_semi")
-    islands = components(hubs.select(F.col("s").alias("a"), F.col("hub").alias("b")))
-    islands = alive.join(islands, alive["s"] == islands["node"], "left").select("s", F.coalesce("label", "s").alias("island"))
-    words, b = bloom(alive, "s", count)
-    sets = whole_sets(rows, k, words, b).join(islands, "s").groupBy("s").agg(F.first("island").alias("island"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    links = joined(sets, num, den, unit_tokens)
-    dropped(met)
+    edges = met.select(F.col("s").alias("a"), F.col("hub").alias("b")).union(first.select("s", F.explode("leaders")))
+    islands = components(edges)
+    islands = alive.join(islands, alive["s"] == islands["node"], "left").select("s", "n", F.coalesce("label", "s").alias("island"))
+    islands = stored(islands, "islands")
+    # an island of one set has no link
+    several = islands.groupBy("island").agg(F.count("*").alias("c")).filter("c > 1").select("island")
+    islands = stored(islands.join(several, "island"), "several")
+    words, b = bloom(islands, "s", count)
+    links = joined(whole_sets(rows, k, words, b), islands, num, den, unit_tokens)
     labels = components(links)
-    own = first.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s")
     own = own.join(labels.withColumnRenamed("node", "s"), "s", "left")
     return _classes(own.withColumn("label", F.coalesce("label", "s")))
 
