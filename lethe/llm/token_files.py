@@ -5,9 +5,11 @@ document ids, the Elias-Fano sequence of the other document ids, that of the doc
 (its last value is the array's length), then all ids as little-endian unsigned integers of 2 or 4 bytes.
 select(i) of the ends gives any document's offset.
 
-Texts are encoded with the tokenizers library: each text is cut before a white space that follows a visible
-character (no match of a byte-level pattern spans such a place), and a worker remembers the ids of the pieces.
-Texts with the control characters that libraries take for white space or not are encoded whole.
+Texts are encoded with the tokenizers library: each text is cut where no match of the byte-level pattern spans
+and none looks across, before a white space that follows a visible character and between a word and other
+visible characters; a worker remembers the ids of the pieces. Texts with an apostrophe (which may begin a
+contraction) or underscore are cut at white space only, and those with the control characters that libraries
+take for white space or not are encoded whole.
 
 Tasks own ranges of (document id, hash of the text); each writes its files under a name of the attempt and
 renames them when whole, and only files that a finished task reports are read, so lost executors leave no trace
@@ -36,7 +38,8 @@ MAGIC = b"LETHEEF1"
 FILE_BYTES = 32 << 20
 #: Pieces that a worker remembers.
 MEMO = 1 << 19
-PIECE = re.compile(r"\s*\S+|\s+")
+COARSE = re.compile(r"\s*\S+|\s+")
+FINE = re.compile(r"\s*\w+|\s*[^\w\s]+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -72,11 +75,11 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if ODD.search(t) else PIECE.findall(t) for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
+        cut = [None if ODD.search(t) else (COARSE if "'" in t or "_" in t else FINE).findall(t) for t in texts]
+        if len(self.memo) > self.most:  # the pieces of this batch are the likeliest to come again
+            self.memo = {p: self.memo[p] for c in cut if c for p in c if p in self.memo}
         memo = self.memo
-        new = list({p for c in cut if c for p in c if p not in memo})
+        new = list(set().union(*(c for c in cut if c)).difference(memo))
         for i in range(0, len(new), 1000):
             part = new[i : i + 1000]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -165,8 +168,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """A row for each document of the files: doc_id, start, n_tokens, ids_crc32.
 
-    files has a row per file, not per document; their running total is kept where it is computed, and each
-    file's start reaches its reader by a join on the name.
+    files has a row per file, not per document; the driver adds up their lengths and deals the files out again.
     """
     spark = files.sparkSession
     found = sorted(files.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_hash))
@@ -179,17 +181,20 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for content, start in zip(b.column("content").to_pylist(), b.column("start").to_pylist(), strict=True):
-                f = TokenFile(content)
+            for name, start in zip(b.column("name").to_pylist(), b.column("start").to_pylist(), strict=True):
+                with store.open_input_file(f"{at}/{name}") as opened:
+                    f = TokenFile(opened.read())
                 ends = f.ends.values()
                 begins = np.concatenate([[0], ends[:-1]])
                 wide = f.array.astype("<u4").tobytes()
                 crc = [zlib.crc32(wide[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids(), pa.int64()), pa.array(begins + start, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    content = spark.read.format("binaryFile").load(f"{folder}/*.ids").select(F.substring_index("path", "/", -1).alias("name"), "content")
-    return map_rows(content.join(spark.createDataFrame(starts, "name string, start long"), "name").select("content", "start"), run, schema)
+    return map_rows(spark.createDataFrame(starts, "name string, start long").repartition(len(starts)), run, schema)
 
 
 def token_files(docs: DataFrame, path: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
