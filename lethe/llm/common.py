@@ -50,8 +50,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64, copy=False).view(np.int64)
+def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, row_hash) is not in gone; null ids are compared like others."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (row_hash() == gone["gone_hash"]), "left_anti")
 
 
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

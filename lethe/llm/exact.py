@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lethe.llm.common import bloom, dropped, in_bloom, map_rows, shared_dir, stored
+from lethe.llm.common import bloom, dropped, in_bloom, map_rows, row_hash, shared_dir, stored, without
 
 #: Index rows that a bucket holds before it is split.
 BUCKET_ROWS = 50_000
@@ -110,11 +110,11 @@ def entries(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shas = [hashlib.sha256(t).digest() for t in normalised(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hashes(shas, bits).view(np.int64)), pa.array(shas, pa.binary())], ["doc_id", "h", "sha"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_hash"), pa.array(hashes(shas, bits).view(np.int64)), pa.array(shas, pa.binary())], ["doc_id", "row_hash", "h", "sha"])
 
-    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS binary) AS body")
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_hash(id_col, text_col).alias("row_hash"), F.col(text_col).cast("binary").alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_rows(rows, run, f"doc_id {kind}, h long, sha binary").withColumn("uid", F.monotonically_increasing_id())
+    return map_rows(rows, run, f"doc_id {kind}, row_hash long, h long, sha binary").withColumn("uid", F.monotonically_increasing_id())
 
 
 def repeated_texts(docs: DataFrame, text_col: str, bits: int, words: np.ndarray, b: int) -> DataFrame:
@@ -184,7 +184,8 @@ def compared(rows: DataFrame) -> DataFrame:
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ROWS, hash_bits: int = 64
 ) -> DataFrame:
-    """A row for each row of docs: id, keep_id, group_size, kept, text_sha256, and the bucket of its index row."""
+    """A row for each row of docs: id, keep_id, group_size, kept, text_sha256, the bucket of its
+    index row and row_hash, the hash of id and text."""
     spark: SparkSession = docs.sparkSession
     rows = stored(entries(docs, id_col, text_col, hash_bits), "entries")
     groups = rows.groupBy("h", "sha").agg(F.count("*").alias("n"), F.max(F.struct(F.col("doc_id"), F.col("uid"))).alias("last"))
@@ -213,5 +214,19 @@ def exact_dedup(
     found = rows.join(index.select("h", "sha", "n", "last", "bucket"), ["h", "sha"])
     return found.select(
         F.col("doc_id").alias(id_col), F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("uid") == F.col("last.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket",
+        (F.col("uid") == F.col("last.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "row_hash",
     )
+
+
+def exact_kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup keeps."""
+    found = exact_dedup(docs).groupBy("doc_id", "row_hash").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    found = stored(found.filter("NOT kept OR n > 1"), "gone")
+    out = without(docs, found)
+    again = found.filter("kept")
+    if again.limit(1).count():  # rows of one id and text, of which one stays
+        key = row_hash()
+        again = again.select(F.col("doc_id").alias("again_id"), F.col("row_hash").alias("again_hash"))
+        same = docs.join(again, docs["doc_id"].eqNullSafe(again["again_id"]) & (key == again["again_hash"])).dropDuplicates(["again_id", "again_hash"])
+        out = out.unionByName(same.drop("again_id", "again_hash"))
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import bloom, in_bloom, map_rows, stored
+from lethe.llm.common import bloom, in_bloom, map_rows, stored, without
 from lethe.llm.graph import components
 from lethe.llm.shingles import shingle_sets
 from lethe.llm.signature_tree import similar
@@ -95,7 +95,7 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int) -> DataFrame:
-    """(doc_id, text_hash, n, s) of each row, and for the first of equal sets: tokens to announce, leaders, sure."""
+    """(doc_id, row_hash, n, s) of each row, and for the first of equal sets: tokens to announce, leaders, sure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -107,13 +107,13 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int) ->
             single, lead, leaders, sure = announce([r[4] for r in held], name)
             cols = [pa.array([r[i] for r in held], t) for i, t in enumerate((id_type, pa.int64(), pa.int64(), pa.int64()))]
             cols += [lists([np.concatenate(p) for p in zip(single, lead, strict=True)]), lists(leaders), pa.array(sure, pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "s", "said", "leaders", "sure"])
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "row_hash", "n", "s", "said", "leaders", "sure"])
 
         for b in batches:
             id_type = b.schema.field("doc_id").type
             sets = list(shingle_sets([t or b"" for t in b.column("body").to_pylist()], k))
             name = names(sets).tolist()
-            for d, h, s, x in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), sets, name, strict=True):
+            for d, h, s, x in zip(b.column("doc_id").to_pylist(), b.column("row_hash").to_pylist(), sets, name, strict=True):
                 head = s[: prefix_length(len(s), num, den)].copy() if len(s) and x not in seen else None
                 seen.add(x)
                 held.append((d, h, len(s), x, head))
@@ -128,7 +128,7 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int) ->
             yield flush()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_rows(rows, run, f"doc_id {kind}, text_hash long, n long, s long, said array<long>, leaders array<long>, sure long")
+    return map_rows(rows, run, f"doc_id {kind}, row_hash long, n long, s long, said array<long>, leaders array<long>, sure long")
 
 
 def whole_sets(rows: DataFrame, k: int, words: np.ndarray, b: int) -> DataFrame:
@@ -213,10 +213,13 @@ def shingle_join(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
     unit_tokens: int = UNIT_TOKENS, group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every row; sets link when den * shared >= num * union."""
-    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"xxhash64(coalesce(`{text_col}`, '')) AS text_hash", f"cast(`{text_col}` AS binary) AS body")
+    """(doc_id, row_hash, n_shingles, component_id, first) of every row; sets link when den * shared >= num * union.
+
+    row_hash is the 64-bit hash of id and text; first marks the row that a class keeps.
+    """
+    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"xxhash64(`{id_col}`, coalesce(`{text_col}`, '')) AS row_hash", f"cast(`{text_col}` AS binary) AS body")
     first = stored(prefixes(rows, k, num, den, group_tokens), "prefixes")
-    own = first.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s")
+    own = first.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "s")
 
     # a token has a row for each group at most; both uses read one exchange
     said = first.select("s", F.explode("said").alias("token")).repartition("token")
@@ -248,6 +251,12 @@ def _classes(own: DataFrame) -> DataFrame:
     """The least id of each class: rows whose sets have one label; rows without shingles stand alone."""
     own = stored(own, "own")
     full = own.filter("n_shingles > 0")
-    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "label").select("doc_id", "text_hash", "n_shingles", "component_id")
-    return out.union(own.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash"))
+    out = full.join(least, "label").select("doc_id", "row_hash", "n_shingles", "component_id", first.alias("first"))
+    return out.union(own.filter("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True)))
+
+
+def near_dup_kept(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns, of which each class keeps the one with the least (doc_id, hash)."""
+    return without(docs, shingle_join(docs, k, num, den).filter("NOT first").select("doc_id", "row_hash"))

@@ -57,11 +57,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("text_hash")
+    return shingle_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("row_hash", "first")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "row_hash")
 
 
 OP10_SQL = """
