@@ -197,8 +197,9 @@ def exact_dedup(
     chain = Window.partitionBy("bucket", "h").orderBy("sha")
     owned = groups.withColumn("slot", slot).join(slots, "slot").drop("slot").repartition("bucket")
     path = shared_dir(spark, "index")
-    owned.withColumn("chain_no", F.row_number().over(chain)).write.partitionBy("bucket").parquet(path)
-    index = spark.read.parquet(path)
+    owned = owned.withColumn("chain_no", F.row_number().over(chain)).select("h", "sha", "n", "last", "chain_no", "bucket")
+    owned.write.partitionBy("bucket").parquet(path)
+    index = spark.read.schema(owned.schema).parquet(path)
 
     again = index.filter("n > 1")
     if count := again.count():

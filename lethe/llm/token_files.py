@@ -37,7 +37,7 @@ MAGIC = b"LETHEEF1"
 #: Bytes of ids at which a task closes a file and begins the next.
 FILE_BYTES = 32 << 20
 #: Pieces that a worker remembers.
-MEMO = 1 << 19
+MEMO = 1 << 20
 COARSE = re.compile(r"\s*\S+|\s+")
 FINE = re.compile(r"\s*\w+|\s*[^\w\s]+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -80,16 +80,24 @@ class Encoder:
             self.memo = {p: self.memo[p] for c in cut if c for p in c if p in self.memo}
         memo = self.memo
         new = list(set().union(*(c for c in cut if c)).difference(memo))
+        # a space and letters are one match wherever they stand, so such pieces are encoded as one text
+        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        if len(plain) < len(new):
+            self.learn(list(set(new).difference(plain)), True)
+        self.learn(plain, False)
+        return [self.whole(t) if c is None else b"".join(map(memo.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+
+    def learn(self, new: list[str], listed: bool) -> None:
+        memo = self.memo
         for i in range(0, len(new), 1000):
             part = new[i : i + 1000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            e = self.tokenizer.encode(part if listed else "".join(part), is_pretokenized=listed, add_special_tokens=False)
             ids = np.array(e.ids, self.kind)
             ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), side="right") * self.kind.itemsize
             raw, start = ids.tobytes(), 0
             for p, end in zip(part, ends.tolist(), strict=True):
                 memo[p] = raw[start:end]
                 start = end
-        return [self.whole(t) if c is None else b"".join([memo[p] for p in c]) for t, c in zip(texts, cut, strict=True)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
