@@ -8,8 +8,9 @@
    token and group, and a token that a third of all documents hold has as few as any.
 2. An aggregation finds the tokens that different sets announced. Sets with fewer than l shared prefix tokens
    have no partner and are done.
-3. The others' shared tokens connect them into islands; every link lies inside one. Their texts are read again
-   (a Bloom filter of bounded size passes the others by) and their whole sets dealt out by island.
+3. The others' texts are read again (a Bloom filter of bounded size passes the rest by), now with their whole
+   sets, and announce their prefixes among each other. Shared tokens connect them into islands; every link lies
+   inside one, and the whole sets are dealt out by island.
 4. Inside an island a signature tree finds the linked pairs, see signature_tree. An island too large for a task
    is cut by size class and hash into blocks. Blocks are joined on their own first, then only pairs of blocks
    of like size that still hold different classes; sets known to be connected are not compared again.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import bloom, in_bloom, map_rows, stored, without
+from lethe.llm.common import bloom, dropped, in_bloom, map_rows, stored, without
 from lethe.llm.graph import components
 from lethe.llm.shingles import shingle_sets
 from lethe.llm.signature_tree import similar
@@ -49,7 +50,7 @@ def least_overlap(size: int, num: int, den: int) -> int:
 
 def extra(size: int) -> int:
     """l: how many tokens of the prefixes any linked pair shares, as far as this size asks for."""
-    return max(1, size // 20)
+    return max(1, size // 8)
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -94,8 +95,11 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int) -> DataFrame:
-    """(doc_id, row_hash, n, s) of each row, and for the first of equal sets: tokens to announce, leaders, sure."""
+def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """(doc_id, row_hash, n, s) of each row, and for the first of equal sets: tokens to announce, leaders, sure.
+
+    With `only`, a Bloom filter of names, rows that it passes and their whole sets instead; once for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -107,17 +111,24 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int) ->
             single, lead, leaders, sure = announce([r[4] for r in held], name)
             cols = [pa.array([r[i] for r in held], t) for i, t in enumerate((id_type, pa.int64(), pa.int64(), pa.int64()))]
             cols += [lists([np.concatenate(p) for p in zip(single, lead, strict=True)]), lists(leaders), pa.array(sure, pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "row_hash", "n", "s", "said", "leaders", "sure"])
+            fields = ["doc_id", "row_hash", "n", "s", "said", "leaders", "sure"]
+            if only:
+                cols, fields = [*cols[2:], pa.array([r[5] for r in held], pa.binary())], [*fields[2:], "tokens"]
+            return pa.RecordBatch.from_arrays(cols, fields)
 
         for b in batches:
             id_type = b.schema.field("doc_id").type
             sets = list(shingle_sets([t or b"" for t in b.column("body").to_pylist()], k))
-            name = names(sets).tolist()
-            for d, h, s, x in zip(b.column("doc_id").to_pylist(), b.column("row_hash").to_pylist(), sets, name, strict=True):
-                head = s[: prefix_length(len(s), num, den)].copy() if len(s) and x not in seen else None
+            name = names(sets)
+            passed = in_bloom(*only, name.view(np.uint64)).tolist() if only else [True] * len(sets)
+            for d, h, s, x, ok in zip(b.column("doc_id").to_pylist(), b.column("row_hash").to_pylist(), sets, name.tolist(), passed, strict=True):
+                new = len(s) > 0 and x not in seen
+                if only and not (ok and new):
+                    continue
                 seen.add(x)
-                held.append((d, h, len(s), x, head))
-                size += 8 if head is None else len(head)
+                head = s[: prefix_length(len(s), num, den)].copy() if new else None
+                held.append((d, h, len(s), x, head, s.tobytes() if only else None))
+                size += (8 if head is None else len(head)) + (len(s) // 4 if only else 0)
             if size > group_tokens:
                 yield flush()
                 held.clear()
@@ -128,26 +139,26 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int) ->
             yield flush()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_rows(rows, run, f"doc_id {kind}, row_hash long, n long, s long, said array<long>, leaders array<long>, sure long")
+    said = "said array<long>, leaders array<long>, sure long"
+    return map_rows(rows, run, f"n long, s long, {said}, tokens binary" if only else f"doc_id {kind}, row_hash long, n long, s long, {said}")
 
 
-def whole_sets(rows: DataFrame, k: int, words: np.ndarray, b: int) -> DataFrame:
-    """(s, n, tokens) of the texts whose set's name the filter passes; once for each task."""
+def met_by(first: DataFrame) -> DataFrame:
+    """(s, hub, met): how many tokens that s announced were also announced by other sets, the least of which is hub.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            sets = list(shingle_sets([t or b"" for t in batch.column("body").to_pylist()], k))
-            name = names(sets)
-            out = []
-            for i in np.flatnonzero(in_bloom(words, b, name.view(np.uint64))).tolist():
-                if len(sets[i]) and int(name[i]) not in seen:
-                    seen.add(int(name[i]))
-                    out.append(i)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(name[out]), pa.array([len(sets[i]) for i in out], pa.int64()), pa.array([sets[i].tobytes() for i in out], pa.binary())], ["s", "n", "tokens"])
+    A token has a row for each group at most; both uses read one exchange.
+    """
+    said = first.select("s", F.explode("said").alias("token")).repartition("token")
+    shared = said.groupBy("token").agg(F.min("s").alias("hub"), F.max("s").alias("other")).filter("hub < other").select("token", "hub")
+    return stored(said.join(shared.hint("shuffle_hash"), "token").groupBy("s", "hub").agg(F.count("*").alias("met")), "met")
 
-    return map_rows(rows.select("body"), run, "s long, n long, tokens binary")
+
+def with_partners(first: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
+    """(s, n) of the sets that may have a partner, by the shared tokens of their prefixes."""
+    hits = first.filter("sure > 0 OR size(said) > 0").select("s", "n", F.col("sure").alias("met")).union(met.select("s", F.lit(None).cast("long"), "met"))
+    least = F.ceil(F.col("n") * num / den)
+    hits = hits.groupBy("s").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
+    return stored(hits.filter(F.col("met") >= F.greatest(F.lit(1), F.floor(least / 8))).select("s", "n"), "alive")
 
 
 def unit_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -219,30 +230,22 @@ def shingle_join(
     """
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"xxhash64(`{id_col}`, coalesce(`{text_col}`, '')) AS row_hash", f"cast(`{text_col}` AS binary) AS body")
     first = stored(prefixes(rows, k, num, den, group_tokens), "prefixes")
-    own = first.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "s")
-
-    # a token has a row for each group at most; both uses read one exchange
-    said = first.select("s", F.explode("said").alias("token")).repartition("token")
-    shared = said.groupBy("token").agg(F.min("s").alias("hub"), F.max("s").alias("other")).filter("hub < other").select("token", "hub")
-    met = stored(said.join(shared.hint("shuffle_hash"), "token").groupBy("s", "hub").agg(F.count("*").alias("met")), "met")
-    hits = first.filter("sure > 0 OR size(said) > 0").select("s", "n", F.col("sure").alias("met")).union(met.select("s", F.lit(None).cast("long"), "met"))
-    least = F.ceil(F.col("n") * num / den)
-    hits = hits.groupBy("s").agg(F.max("n").alias("n"), F.sum("met").alias("met")).filter(F.col("met") >= F.greatest(F.lit(1), F.floor(least / 20)))
-    alive = stored(hits.select("s", "n"), "alive")
-    count = alive.count()
-    if not count:
+    own = stored(first.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "s"), "own")
+    met = met_by(first)
+    alive = with_partners(first, met, num, den)
+    dropped(first)
+    if not (count := alive.count()):
         return _classes(own.withColumn("label", F.col("s")))
 
-    edges = met.select(F.col("s").alias("a"), F.col("hub").alias("b")).union(first.select("s", F.explode("leaders")))
-    islands = components(edges)
-    islands = alive.join(islands, alive["s"] == islands["node"], "left").select("s", "n", F.coalesce("label", "s").alias("island"))
-    islands = stored(islands, "islands")
-    # an island of one set has no link
+    first = stored(prefixes(rows, k, num, den, group_tokens, bloom(alive, "s", count)), "sets")
+    met = met_by(first)
+    alive = with_partners(first, met, num, den)
+    islands = components(met.select(F.col("s").alias("a"), F.col("hub").alias("b")).union(first.select("s", F.explode("leaders"))))
+    islands = stored(alive.join(islands, alive["s"] == islands["node"]).select("s", "n", F.col("label").alias("island")), "islands")
     several = islands.groupBy("island").agg(F.count("*").alias("c")).filter("c > 1").select("island")
     islands = stored(islands.join(several, "island"), "several")
-    words, b = bloom(islands, "s", count)
-    links = joined(whole_sets(rows, k, words, b), islands, num, den, unit_tokens)
-    labels = components(links)
+    labels = components(joined(first.select("s", "tokens"), islands, num, den, unit_tokens))
+    dropped(first)
     own = own.join(labels.withColumnRenamed("node", "s"), "s", "left")
     return _classes(own.withColumn("label", F.coalesce("label", "s")))
 
