@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from lethe.plans.shipping import ensure_shipped
 
-#: Characters of text that one numpy pass holds at a time.
-CHUNK_CHARS = 400_000
+#: Characters of text that one numpy pass holds at a time, and bytes of rows that a function is handed at once.
+CHUNK_CHARS, BATCH_BYTES = 400_000, 1 << 20
+#: Rows in an Arrow batch at most: with long texts the usual ten thousand would not fit beside each other.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,16 +63,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow that hands f batches of at most CHUNK_CHARS x 8 characters or one row."""
+    """mapInArrow that hands f batches of about BATCH_BYTES, or one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return f(small(batches))
 
-    ensure_shipped(df.sparkSession)
+    spark = df.sparkSession
+    ensure_shipped(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(run, schema)
 
 
-def small(batches: Iterator[pa.RecordBatch], most: int = CHUNK_CHARS * 8) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches by the bytes of their rows; a row is never cut."""
     for b in batches:
         if b.num_rows < 2 or b.nbytes <= most:

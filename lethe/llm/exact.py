@@ -31,7 +31,7 @@ from lethe.llm.common import bloom, dropped, in_bloom, map_rows, row_hash, share
 #: Index rows that a bucket holds before it is split.
 BUCKET_ROWS = 50_000
 #: Bytes of distinct texts that a task combines before it passes them on.
-COMBINE_BYTES = 32 << 20
+COMBINE_BYTES = 8 << 20
 
 
 @dataclass

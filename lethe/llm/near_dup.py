@@ -40,7 +40,7 @@ from lethe.llm.signature_tree import similar
 #: Tokens of the sets that one task joins at a time.
 UNIT_TOKENS = 2_000_000
 #: Prefix tokens among which a task finds the shared ones by itself.
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 500_000
 
 
 def least_overlap(size: int, num: int, den: int) -> int:
