@@ -12,6 +12,7 @@ import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lethe.functions.catalog import KEY_BYTES, NONCE_BYTES, PBKDF2_ROUNDS, SALT_BYTES
 
@@ -26,15 +27,22 @@ def derived_key(passphrase: str, salt: bytes, rounds: int = PBKDF2_ROUNDS) -> by
     return hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, rounds, dklen=KEY_BYTES)
 
 
-@F.udf("binary")
+@F.udf(BinaryType())
 def derive(passphrase, salt, rounds):
     """Once for each document with a passphrase: no JVM function derives keys."""
     return None if passphrase is None or salt is None else derived_key(passphrase, bytes(salt), rounds)
 
 
+def _gcm(body: Column, key: Column) -> Column:
+    """nonce, ciphertext, tag. The nonce is a hash of key and body: a retried task writes the same bytes, and one
+    nonce never serves two bodies."""
+    nonce = F.substring(F.unhex(F.sha2(F.concat(F.lit(bytearray(b"nonce")), key, body), 256)), 1, NONCE_BYTES)
+    return F.aes_encrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"), nonce)
+
+
 def sealed(mapping: Column, key: Column) -> Column:
-    """nonce, ciphertext, tag of the mapping's JSON."""
-    return F.aes_encrypt(F.encode(F.to_json(mapping), "UTF-8"), key, F.lit("GCM"))
+    """The mapping's JSON under AES-256-GCM."""
+    return _gcm(F.encode(F.to_json(mapping), "UTF-8"), key)
 
 
 def opened(ciphertext: Column, key: Column) -> Column:
@@ -49,7 +57,7 @@ def key_file(key: Column, ciphertext: Column, passphrase_key: Column | None = No
     plain = F.concat(head, key, ciphertext)
     if passphrase_key is None or salt is None:
         return plain
-    wrapped = F.aes_encrypt(key, passphrase_key, F.lit("GCM"))
+    wrapped = _gcm(key, passphrase_key)
     nonce, body = F.substring(wrapped, 1, NONCE_BYTES), F.substring(wrapped, NONCE_BYTES + 1, 1 << 20)
     size = F.unhex(F.lpad(F.hex(F.length(body)), 8, "0"))
     return F.when(passphrase_key.isNull(), plain).otherwise(F.concat(head, salt, nonce, size, body, ciphertext))

@@ -73,12 +73,18 @@ def new_entities(answers: DataFrame) -> DataFrame:
     return x.select("doc_id", "ord", F.upper(_part(3, 1)).alias("entity_type"), _part(3, 2).alias("text")).filter(F.length("text") >= 2)
 
 
+def whole_json(raw: Column, pattern: str) -> Column:
+    """What the pattern finds, if it is JSON from end to end."""
+    found = F.regexp_extract(raw, pattern, 0)
+    return F.when((found != "") & (F.json_array_length(F.concat(F.lit("["), found, F.lit("]"))) == 1), found)
+
+
 VERIFY_JSON = "verified array<struct<text:string,verdict:string,reason:string>>, additional array<struct<text:string,type:string,start:int>>"
 
 
 def json_answer(raw: Column) -> Column:
     """The object between the first and last brace; empty lists where it is missing or broken."""
-    found = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), VERIFY_JSON)
+    found = F.from_json(whole_json(raw, r"(?s)\{.*\}"), VERIFY_JSON)
     return F.struct(F.coalesce(found["verified"], F.array().cast("array<struct<text:string,verdict:string,reason:string>>")).alias("verified"), F.coalesce(found["additional"], F.array().cast("array<struct<text:string,type:string,start:int>>")).alias("additional"))
 
 
@@ -87,8 +93,8 @@ DETECTED = "array<struct<text:string,type:string>>"
 
 def json_detected(raw: Column) -> Column:
     """Entities of an object, else of a bare array."""
-    obj = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), f"entities {DETECTED}")["entities"]
-    arr = F.from_json(F.regexp_extract(raw, r"(?s)\[.*\]", 0), DETECTED)
+    obj = F.from_json(whole_json(raw, r"(?s)\{.*\}"), f"entities {DETECTED}")["entities"]
+    arr = F.from_json(whole_json(raw, r"(?s)\[.*\]"), DETECTED)
     return F.coalesce(F.filter(F.coalesce(obj, arr), lambda e: e.isNotNull()), F.array().cast(DETECTED))
 
 
