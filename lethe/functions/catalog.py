@@ -26,15 +26,6 @@ class Pattern:
         flags = "(?dUiu)" if self.ignore_case else "(?dU)"
         return f"{flags}({self.before})({self.value})" + (f"(?={self.after})" if self.after else "")
 
-    @property
-    def guard(self) -> str:
-        """A cheaper pattern that every text with a match satisfies."""
-        if self.id == "r18_email":
-            return "@"
-        if self.id == "r04_ch_access_code":  # the only other one without a digit
-            return "[A-Za-z0-9]{4}-[A-Za-z0-9]{4}-"
-        return f"(?dUiu){self.before}" if self.before else r"(?U)\d"
-
 
 # Patterns, types and priorities -------------------------------------------------------------
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
@@ -80,6 +71,18 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("r34_allergy", "HEALTH_DATA", 7, r".{3,60}?", rf"(?:allergies?|allergi(?:en|es?)){_SEP}", _LINE_END, True, "health"),
     Pattern("r35_blood_type", "HEALTH_DATA", 7, r"[ABO]{1,2}[+\-]", r"(?:blood\s+(?:type|group)|blutgruppe|groupe\s+sanguin)\s*[:=\-]?\s*", "", True, "health"),
 )
+#: Lower-case words of which every match of a label pattern holds one.
+STEMS = {
+    "r25_person": ("name", "patient", "holder", "insured", "versicherte", "assur", "empfänger", "inhaber", "beneficiary", "claimant"),
+    "r26_doctor": ("physician", "doctor", "arzt", "ärztin", "médecin", "dottore"),
+    "r27_policy": ("insurance", "versicherung", "police", "policy", "assurance"),
+    "r29_id": ("passport", "ausweis", "reisepass", "carta", "identity"),
+    "r30_address": ("address", "adresse", "anschrift", "wohnort", "domicile", "indirizzo"),
+    "r32_diagnosis": ("diagnos",),
+    "r33_medication": ("medication", "medikament", "médicament", "treatment"),
+    "r34_allergy": ("allerg",),
+    "r35_blood_type": ("blood", "blutgruppe", "sanguin"),
+}
 #: Least length of a stripped value, by tier; core matches are not stripped.
 LEAST_LENGTH = {"core": 0, "label": 3, "health": 2}
 

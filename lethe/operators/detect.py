@@ -13,7 +13,7 @@ from lethe.functions import catalog as C
 from lethe.operators.filters import contextual_false_positive, plausible
 from lethe.operators.resolve import merged, ner_priority
 from lethe.operators.score import confidence
-from lethe.operators.spans import HIT, regex_hits, scannable
+from lethe.operators.spans import HIT, with_regex_hits
 
 NER_HIT = "array<struct<text:string,start:int,end:int,type:string,score:double>>"
 #: Model hits follow the patterns' in the stable order.
@@ -34,17 +34,14 @@ def model_hits(ner: Column, source: str = "ner", rank: int = 1, seq: int = NER_S
 
 def with_hits(pages: DataFrame) -> DataFrame:
     """Adds hits: all pattern hits of a page, then those of a column `ner`, if there is one."""
-    pages = pages.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("scan", scannable(F.col("text")))
-    hits = regex_hits(F.col("text"), F.col("scan"))
-    if "ner" in pages.columns:
-        hits = F.concat(hits, model_hits(F.col("ner")))
-    return pages.withColumn("hits", hits).drop("scan")
+    found = with_regex_hits(pages.withColumn("text", F.coalesce("text", F.lit(""))))
+    return found.withColumn("hits", F.concat("hits", model_hits(F.col("ner")))) if "ner" in pages.columns else found
 
 
 def entities(pages: DataFrame) -> DataFrame:
     """A row per entity: doc_id, page_num, entity_type, text, start, end, score, source, analysis."""
-    found = with_hits(pages).filter(F.size("hits") > 0).withColumn("hits", merged(F.col("hits")))
-    rows = found.select("doc_id", "page_num", F.col("text").alias("page"), F.explode("hits").alias("h"))
+    # an explode of the resolved array, with no filter on it, computes the hits once
+    rows = with_hits(pages).select("doc_id", "page_num", F.col("text").alias("page"), F.explode(merged(F.col("hits"))).alias("h"))
     h = {n: F.col(f"h.{n}") for n in ("text", "type", "start", "end", "source", "score")}
     rows = rows.filter(~contextual_false_positive(h["text"], h["type"], h["start"], h["end"], F.col("page")) & plausible(h["text"]))
     score = confidence(h["text"], h["type"], h["source"], h["score"], h["start"], h["end"], F.col("page"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.functions.catalog import LEAST_LENGTH, PATTERNS, Pattern
-from lethe.functions.text import ODD_SPACE, strip
+from lethe.functions.catalog import LEAST_LENGTH, PATTERNS, STEMS, Pattern
+from lethe.functions.text import ODD_SPACE, contains_any, strip
 
 HIT = "struct<neg:int,rank:int,start:int,seq:int,end:int,text:string,type:string,priority:int,source:string,score:double>"
 #: The marks and the separators that Unicode \s leaves out become characters of the same length.
@@ -17,19 +19,43 @@ def scannable(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit("[\u0001\u0002\u001c-\u001f]")), F.translate(text, _FROM, _TO)).otherwise(text)
 
 
-def find(scan: Column, pattern: Pattern) -> Column:
+#: What ignoring case takes for an ASCII letter though lower-casing does not make it one.
+_FOLDED = ("ſ", "ı", "İ", "\u212a")
+
+
+def guards(scan: Column) -> dict[str, Column]:
+    """Columns that cost one pass each and tell which patterns a text can match: digit, at, hyphen, odd, low."""
+    return {
+        "digit": F.regexp_like(scan, F.lit(r"(?U)\d")), "at": scan.contains("@"), "hyphen": scan.contains("-"),
+        "odd": contains_any(scan, _FOLDED), "low": F.lower(scan),
+    }
+
+
+def possible(pattern: Pattern, g: dict[str, Column]) -> Column:
+    """Whether a text can match: every pattern but those of the first two lines needs a digit or a label's word."""
+    if pattern.id == "r18_email":
+        return g["at"]
+    if pattern.id == "r04_ch_access_code":
+        return g["hyphen"]
+    stems = STEMS.get(pattern.id)
+    return g["odd"] | contains_any(g["low"], stems) if stems else g["digit"]
+
+
+def find(scan: Column, pattern: Pattern, guard: Column | None = None) -> Column:
     """array<struct<start, end>> of a pattern's matches in a scannable text."""
     none = F.array().cast("array<struct<start:int,end:int>>")
     cut = F.split(F.regexp_replace(scan, pattern.java, "$1\u0001$2\u0002"), "\u0001", -1)
 
     def step(acc: Column, part: Column) -> Column:
+        """The first part, ahead of any match, only moves the position, which starts below zero."""
         n = F.length(F.substring_index(part, "\u0002", 1))
         span = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        spans = F.when(acc["at"] < 0, acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
+        return F.struct((F.greatest(acc["at"], F.lit(0)) + F.length(part) - F.when(acc["at"] < 0, 0).otherwise(1)).alias("at"), spans.alias("spans"))
 
-    first = F.struct(F.length(F.element_at(cut, 1)).alias("at"), none.alias("spans"))
-    found = F.aggregate(F.slice(cut, 2, F.size(cut)), first, step, lambda acc: acc["spans"])
-    return F.when(F.regexp_like(scan, F.lit(pattern.guard)), F.when(F.regexp_like(scan, F.lit(pattern.java)), found).otherwise(none)).otherwise(none)
+    found = F.aggregate(cut, F.struct(F.lit(-1).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    can = possible(pattern, guards(scan)) if guard is None else guard
+    return F.when(can, F.when(F.regexp_like(scan, F.lit(pattern.java)), found).otherwise(none)).otherwise(none)
 
 
 def luhn_ok(text: Column) -> Column:
@@ -37,7 +63,7 @@ def luhn_ok(text: Column) -> Column:
     return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
-def hits_of(text: Column, scan: Column, pattern: Pattern, seq: int) -> Column:
+def hits_of(text: Column, scan: Column, pattern: Pattern, seq: int, guard: Column | None = None) -> Column:
     """array<HIT> of one pattern: values of label tiers are stripped, their offsets are not."""
 
     def hit(x: Column) -> Column:
@@ -47,12 +73,24 @@ def hits_of(text: Column, scan: Column, pattern: Pattern, seq: int) -> Column:
         names = ("neg", "rank", "start", "seq", "end", "text", "type", "priority", "source", "score")
         return F.struct(*(c.alias(n) for c, n in zip(cols, names, strict=True)))
 
-    hits = F.transform(find(scan, pattern), hit)
+    hits = F.transform(find(scan, pattern, guard), hit)
     if least := LEAST_LENGTH[pattern.tier]:
         hits = F.filter(hits, lambda h: F.length(h["text"]) >= least)
     return F.filter(hits, lambda h: luhn_ok(h["text"])) if pattern.type == "CREDIT_CARD" else hits
 
 
-def regex_hits(text: Column, scan: Column) -> Column:
-    """Hits of all patterns, in registry order."""
-    return F.concat(*(hits_of(text, scan, p, i) for i, p in enumerate(PATTERNS)))
+GUARDS = ("digit", "at", "hyphen", "odd", "low")
+
+
+@functools.lru_cache(maxsize=4)
+def _regex_hits(app: str) -> Column:
+    g = {n: F.col(f"_{n}") for n in GUARDS}
+    return F.concat(*(hits_of(F.col("text"), F.col("_scan"), p, i, possible(p, g)) for i, p in enumerate(PATTERNS)))
+
+
+def with_regex_hits(pages: DataFrame) -> DataFrame:
+    """Adds hits: those of all patterns in `text`, in registry order. Guards are columns of their own, so that
+    they are computed once; the expression is built once a session."""
+    x = pages.withColumn("_scan", scannable(F.col("text")))
+    x = x.withColumns({f"_{n}": c for n, c in guards(F.col("_scan")).items()})
+    return x.withColumn("hits", _regex_hits(pages.sparkSession.sparkContext.applicationId)).drop("_scan", *(f"_{n}" for n in GUARDS))

@@ -13,6 +13,7 @@ from lethe.plans.fixtures import literal, values
 from lethe.plans.hits_sql import ENTS_SQL, case_map, in_list
 from lethe.plans.hits_sql import strip as strip_sql
 from lethe.plans.suite import CONV_SQL, conv, ents, query, rows
+from lethe.sources import tables
 
 CLOCK = "2024-01-02T03:04:05Z"
 
@@ -68,7 +69,7 @@ _NAMES = "names AS (SELECT doc_id, 'file-' || doc_id || '.pdf' AS filename FROM
 
 
 def _names(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("file-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("file-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"))
 
 
 @query("a1_audit", f"""WITH {ENTS_SQL}, {_NAMES}, c AS (SELECT doc_id, entity_type, count(*) AS n, {_SEVERITY} AS severity FROM ents GROUP BY doc_id, entity_type),
@@ -285,7 +286,6 @@ boxed AS (SELECT *, index // 40 AS block, index // 10 AS line, CASE WHEN index %
 
 
 def _words(spark, sf_dir) -> DataFrame:
-    from lethe.sources import tables
 
     w = tables.words(conv(spark, sf_dir))
     i = F.col("index")
@@ -378,7 +378,7 @@ _BENCH = """b AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS
 
 def _bench(spark, sf_dir) -> DataFrame:
     n = F.length("text").cast("long")
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read(spark, sf_dir, "documents")
     return d.select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("model"), F.col("doc_id").alias("document"), F.floor(F.col("doc_id") / 2).alias("ord"), F.lit(1).cast("long").alias("pages"), (n % 7).alias("entities"), (n % 1000 / 8.0).alias("seconds"))
 
 

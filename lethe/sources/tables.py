@@ -11,7 +11,11 @@ from lethe.functions.catalog import PAGE_CAP, UPLOAD_CAP
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt out to all of them first. A file of one row group
+    is one task's work, however long its texts; a table of many files is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
