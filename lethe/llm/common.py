@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.plans.shipping import ensure_shipped
+from lethe.sources.tables import read
 
 #: Characters of text that one numpy pass holds at a time, and bytes of rows that a function is handed at once.
 CHUNK_CHARS, BATCH_BYTES = 400_000, 1 << 20
@@ -22,7 +23,7 @@ ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
