@@ -121,6 +121,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = GRAMS, bits: i
         return Filters([], np.zeros((1 << bits, 1), np.uint64), np.zeros(0), bits)
     share = F.create_map(*(x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, sample / n)))))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # repeated ids count once
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, Counter] = {}

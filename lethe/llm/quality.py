@@ -18,7 +18,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lethe.llm.common import held_out, map_rows, texts
 from lethe.llm.training import SAMPLE_ROWS, labelled_sample
@@ -102,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fold: int
 
     sample = labelled_sample(docs, labels, "quality", ~held_out("doc_id", fold, 0), rows)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    found = map_rows(sample, run, f"doc_id {kind}, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
+    found = map_rows(sample, run, f"doc_id {kind}, y int, x array<double>").collect()
     found.sort(key=lambda r: r.doc_id)
     x = np.array([r.x for r in found]).reshape(len(found), len(NAMES))
     return fit(x, np.array([r.y for r in found], int))

@@ -129,13 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabular
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *cols], ["doc_id", "y", "i", "c"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    found = map_rows(sample, counted, f"doc_id {kind}, y int, i array<int>, c array<int>").groupBy("doc_id", "y").agg(F.min(F.struct("i", "c")).alias("x")).collect()
+    found = map_rows(sample, counted, f"doc_id {kind}, y int, i array<int>, c array<int>").collect()
     found.sort(key=lambda r: r.doc_id)
     x = np.zeros((len(found), len(chosen)), np.float32)
     hits = np.zeros(len(found))
     for j, r in enumerate(found):
-        x[j, r.x.i] = 1 + np.log(r.x.c)
-        hits[j] = sum(n for i, n in zip(r.x.i, r.x.c, strict=True) if marks[i])
+        x[j, r.i] = 1 + np.log(r.c)
+        hits[j] = sum(n for i, n in zip(r.i, r.c, strict=True) if marks[i])
     toxic = np.array([r.y > 0 for r in found])
     grades = np.where(toxic, 1 + np.searchsorted(GRADE_MARKS, hits, side="left"), 0)
     model.weights, model.bounds = fit(x, grades)
