@@ -117,3 +117,12 @@ def first_of_page(ents: DataFrame) -> DataFrame:
     """Review order: the least certain last, then by page and place."""
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "page_num", "start", "entity_type")
     return ents.withColumn("position", F.row_number().over(w))
+
+
+def flattened(pages: DataFrame, redacted: DataFrame) -> DataFrame:
+    """Recognised pages that were redacted keep neither their word boxes nor an image: nothing else could show what
+    was there. redacted: doc_id, page_num."""
+    gone = redacted.select("doc_id", "page_num", F.lit(True).alias("gone")).distinct()
+    x = pages.join(gone, ["doc_id", "page_num"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)) & F.col("is_ocr"))
+    held = [c for c in ("word_boxes", "content") if c in pages.columns]
+    return x.withColumns({c: F.when(~F.col("gone"), F.col(c)) for c in held}).select(*pages.columns)

@@ -23,6 +23,28 @@ from lethe.plans.shipping import ensure_shipped
 Tagger = Callable[[], Callable[[str], list[dict]]]
 Answerer = Callable[[], Callable[[str], str]]
 
+class Registry:
+    """Named providers, of which one is active; a name that is not there leaves the active one."""
+
+    def __init__(self) -> None:
+        self._loaders: dict[str, Callable] = {}
+        self.active: str | None = None
+
+    def add(self, name: str, loader: Callable) -> None:
+        self._loaders[name] = loader
+        self.active = self.active or name
+
+    def use(self, name: str) -> None:
+        if name in self._loaders:
+            self.active = name
+
+    def available(self) -> list[str]:
+        return sorted(self._loaders)
+
+    def loader(self) -> Callable | None:
+        return self._loaders.get(self.active) if self.active else None
+
+
 TAGS = "array<struct<label:string,score:double,start:int,end:int>>"
 
 
@@ -132,3 +154,50 @@ def reworded(risks: DataFrame, answerer: Answerer | None) -> DataFrame:
     said = answered(risks.select("doc_id", ask.alias("prompt")), answerer).withColumn("raw", strip(F.col("raw")))
     good = (F.length("raw") > 10) & ~F.lower("raw").contains("sorry")
     return risks.join(said, "doc_id", "left").withColumn("sentence", F.when(good, F.col("raw")).otherwise(F.col("sentence"))).drop("raw")
+
+
+def language(pages: DataFrame, detector: Answerer | None) -> DataFrame:
+    """Adds lang: short texts, an absent detector and its errors give en; it reads the first 2000 characters."""
+    short = F.length(strip(F.coalesce("text", F.lit("")))) < 20
+    if detector is None:
+        return pages.withColumn("lang", F.lit("en"))
+    asked = pages.filter(~short).select("doc_id", "page_num", F.substring("text", 1, C.CLASSIFY_CHARS).alias("prompt"))
+    keyed = asked.select(F.struct("doc_id", "page_num").alias("k"), "prompt")
+    found = answered(keyed.select(F.to_json("k").alias("doc_id"), "prompt"), detector).select(F.col("doc_id").alias("k"), F.col("raw").alias("lang"))
+    x = pages.withColumn("k", F.to_json(F.struct("doc_id", "page_num"))).join(found, "k", "left").drop("k")
+    return x.withColumn("lang", F.coalesce("lang", F.lit("en")))
+
+
+def recognised(images: DataFrame, engines: list[Callable]) -> DataFrame:
+    """doc_id, page_num, text of images (doc_id, page_num, content): the first engine that reads something; empty
+    without any."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        loaded: list = []
+        for b in batches:
+            loaded = loaded or [e() for e in engines]
+            texts = []
+            for content in b["content"]:
+                text = ""
+                for read in loaded:
+                    try:
+                        text = (read(content) or "").strip()
+                    except Exception as e:  # noqa: BLE001  the next engine has a try
+                        print(f"an image was not read: {type(e).__name__}")
+                    if text:
+                        break
+                texts.append(text)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "page_num": b["page_num"], "text": texts})
+
+    ensure_shipped(images.sparkSession)
+    kind = images.schema["doc_id"].dataType.simpleString()
+    return images.select("doc_id", "page_num", "content").mapInPandas(run, f"doc_id {kind}, page_num int, text string")
+
+
+def read_pages(pages: DataFrame, engines: list[Callable]) -> DataFrame:
+    """Pages (doc_id, page_num, text, content): only those without a text layer are recognised."""
+    blank = F.length(strip(F.coalesce("text", F.lit("")))) == 0
+    read = recognised(pages.filter(blank), engines).withColumn("is_ocr", F.lit(True))
+    return pages.filter(~blank).select("doc_id", "page_num", "text", F.lit(False).alias("is_ocr")).unionByName(read)

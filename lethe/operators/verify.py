@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lethe.functions import catalog as C
 from lethe.functions.text import strip
 from lethe.operators.filters import generic_street, without_tags
+from lethe.operators.resolve import merged
+from lethe.operators.spans import HIT
 
 LINES = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
@@ -132,3 +134,31 @@ def additions(new: DataFrame, pages: DataFrame, ents: DataFrame) -> DataFrame:
     held = x.join(p, "doc_id").filter(F.col("page").contains(F.col("text")))
     held = held.groupBy("doc_id", "key").agg(F.min(F.struct("page_num", F.col("entity_type"), F.col("text"), F.expr("locate(text, page) - 1").alias("start"))).alias("h"))
     return held.select("doc_id", "h.page_num", "h.entity_type", "h.text", "h.start", (F.col("h.start") + F.length("h.text")).alias("end"), F.lit(0.3).alias("score"), F.lit("LLM").alias("source"), F.lit("Found by LLM only").alias("analysis"))
+
+
+def page_additions(answers: DataFrame, pages: DataFrame, ents: DataFrame, most: int = C.PAGE_CHARS) -> DataFrame:
+    """Entities that a model named in JSON for one page: doc_id, page_num, raw.
+
+    Each is placed at the occurrence nearest to where the model said, within the part of the page that it read.
+    They meet the page's own entities in the resolution with the lowest priority, and stay if their text and their
+    start are among the survivors'.
+    """
+    on = ["doc_id", "page_num"]
+    read = pages.select(*on, without_tags(F.substring("text", 1, most)).alias("page"))
+    named = answers.select(*on, F.posexplode(json_answer(F.col("raw"))["additional"]).alias("ord", "x")).join(read, on)
+    kind, text = F.coalesce("x.type", F.lit("UNKNOWN")), F.coalesce("x.text", F.lit(""))
+    named = named.select(*on, "ord", kind.alias("entity_type"), text.alias("text"), F.when(F.length(text) > 0, nearest(F.col("page"), text, F.coalesce("x.start", F.lit(0)))).otherwise(-1).alias("start"))
+    named = named.filter((F.col("start") >= 0) & ~(F.col("entity_type").isin("LOCATION", "ADDRESS") & generic_street(F.col("text"))))
+    named = named.withColumn("end", F.col("start") + F.length("text"))
+
+    def hit(priority: Column, rank: Column, seq: Column, source: str) -> Column:
+        none = F.lit(None).cast("double")
+        return F.struct(-priority, rank, F.col("start"), seq, F.col("end"), F.col("text"), F.col("entity_type"), priority, F.lit(source), none).cast(HIT).alias("h")
+
+    sure = F.floor(F.round(F.col("score") * 10, 6)).cast("int")
+    own = ents.select(*on, hit(sure, F.when(F.lower("source") == "regex", 0).otherwise(1), F.col("start"), "own"))
+    both = own.union(named.select(*on, hit(F.lit(3), F.lit(2), F.lit(1 << 20) + F.col("ord"), "llm")))
+    left = both.groupBy(*on).agg(F.collect_list("h").alias("l")).select(*on, F.filter(merged(F.col("l")), lambda h: h["source"] == "llm").alias("l"))
+    left = left.select(*on, F.transform("l", lambda h: F.lower(strip(h["text"]))).alias("keys"), F.transform("l", lambda h: h["start"]).alias("starts"))
+    kept = named.join(left, on).filter(F.array_contains("keys", F.lower(strip(F.col("text")))) & F.array_contains("starts", F.col("start")))
+    return kept.select(*on, "entity_type", "text", "start", "end", F.lit(0.3).alias("score"), F.lit("LLM").alias("source"), F.lit("Found by LLM only").alias("analysis"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions import catalog as C
 from lethe.functions.text import strip
-from lethe.operators import deid, filters, layout, report, vault, verify
+from lethe.operators import deid, filters, layout, providers, report, vault, verify
 from lethe.plans import fixtures
 from lethe.plans.fixtures import literal, values
 from lethe.plans.hits_sql import ENTS_SQL, case_map, in_list
@@ -440,3 +440,46 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     e = _model_ents(spark)
     return e.select("doc_id", "text", (filters.badge(F.concat(F.lit("review: "), F.col("entity_type"))) == "review").alias("disputed"), (F.col("source") == "LLM").alias("only_model"))
+
+
+# Steps with a provider, on crafted rows; their SQL states the expected rows ----------------------------------
+@query("m8_page_additions", "SELECT 1::BIGINT AS doc_id, 0 AS page_num, 'PERSON' AS entity_type, 'Bob' AS text, 17 AS start")
+def _(spark, sf_dir):
+    pages = rows(spark, [(1, 0, "Anna met Bob and Bob at Bahnhofstrasse near info@x.org")], "doc_id long, page_num int, text string")
+    known = rows(spark, [(1, 0, "EMAIL", "info@x.org", 44, 54, 1.0, "regex"), (1, 0, "PERSON", "Anna", 0, 4, 0.8, "ner")], "doc_id long, page_num int, entity_type string, text string, start int, end int, score double, source string")
+    raw = '{"additional": [{"text": "Bob", "type": "PERSON", "start": 16}, {"text": "x.org", "type": "ORG", "start": 0}, {"text": "Anna", "type": "PERSON"}, {"text": "Bahnhofstrasse", "type": "ADDRESS"}]}'
+    answers = rows(spark, [(1, 0, raw)], "doc_id long, page_num int, raw string")
+    return verify.page_additions(answers, pages, known).select("doc_id", "page_num", "entity_type", "text", "start")
+
+
+@query("s2_recognition", "SELECT * FROM (VALUES (1::BIGINT, 0, 'has text', false), (1, 1, 'seen', true), (1, 2, '', true)) AS v(doc_id, page_num, text, is_ocr)")
+def _(spark, sf_dir):
+    images = rows(spark, [(1, 0, "has text", bytearray(b"")), (1, 1, " ", bytearray(b"seen")), (1, 2, None, bytearray(b""))], "doc_id long, page_num int, text string, content binary")
+    return providers.read_pages(images, [lambda: lambda c: bytes(c).decode()])
+
+
+@query("n6_language", "SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 20 THEN 'en' WHEN contains(substr(text, 1, 2000), 'ß') THEN 'de' ELSE 'xx' END AS lang FROM documents")
+def _(spark, sf_dir):
+    pages = tables.document_pages(tables.read(spark, sf_dir, "documents"))
+    return providers.language(pages, lambda: lambda t: "de" if "ß" in t else "xx").select("doc_id", "lang")
+
+
+@query("l1_batch_verify", "SELECT * FROM (VALUES (1::BIGINT, 'ACME', 'review: a company'), (1, 'Jean', 'LLM verified'), (1, 'Bob Ray', 'Found by LLM only'), (2, 'x', 'c')) AS v(doc_id, text, analysis)")
+def _(spark, sf_dir):
+    pages = rows(spark, [(1, 0, "Jean met ACME. Bob Ray too."), (2, 0, "x")], "doc_id long, page_num int, text string")
+    known = rows(spark, [(1, 0, "ORGANIZATION", "ACME", 9, 13, 0.6, "ner", "a"), (1, 0, "PERSON", "Jean", 0, 4, 0.8, "ner", "b"), (2, 0, "EMAIL", "x", 0, 1, 1.0, "regex", "c")], "doc_id long, page_num int, entity_type string, text string, start int, end int, score double, source string, analysis string")
+    answer = lambda: lambda p: "FALSE_POSITIVE - ACME - a company\nFALSE_POSITIVE - Jean - x\nNEW - PERSON - Bob Ray"
+    return providers.verified_documents(known, pages, answer).select("doc_id", "text", "analysis")
+
+
+@query("n10_reworded", "SELECT * FROM (VALUES (1::BIGINT, 'A better sentence.'), (2, 'This document contains 1 name.')) AS v(doc_id, sentence)")
+def _(spark, sf_dir):
+    risks = rows(spark, [(1, "This document contains 2 names."), (2, "This document contains 1 name.")], "doc_id long, sentence string")
+    return providers.reworded(risks, lambda: lambda p: "A better sentence." if "2" in p else "Sorry, I cannot.")
+
+
+@query("x13_flattened", "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_num, turn % 2 = 0 AS hidden FROM conversations")
+def _(spark, sf_dir):
+    pages = conv(spark, sf_dir).withColumn("is_ocr", F.col("page_num") % 4 != 3).withColumn("content", F.encode("text", "UTF-8"))
+    flat = deid.flattened(pages, pages.filter("page_num % 2 = 0").select("doc_id", "page_num"))
+    return flat.select("doc_id", "page_num", F.col("content").isNull().alias("hidden"))

@@ -175,3 +175,33 @@ def test_nulls_and_empty_tables(spark):
     assert [e.entity_type for e in detect.entities(pages).collect()] == ["EMAIL"]
     none = pages.filter("false")
     assert detect.entities(none).count() == 0 and deid.deidentified(none, detect.entities(none)).count() == 0
+
+
+def test_page_additions(spark):
+    pages = spark.createDataFrame([(1, 0, "Anna met Bob and Bob at Bahnhofstrasse near info@x.org")], "doc_id long, page_num int, text string")
+    ents = spark.createDataFrame([(1, 0, "EMAIL", "info@x.org", 44, 54, 1.0, "regex"), (1, 0, "PERSON", "Anna", 0, 4, 0.8, "ner")], "doc_id long, page_num int, entity_type string, text string, start int, end int, score double, source string")
+    raw = '{"additional": [{"text": "Bob", "type": "PERSON", "start": 16}, {"text": "x.org", "type": "ORG", "start": 0}, {"text": "anna", "type": "PERSON"}, {"text": "Bahnhofstrasse", "type": "ADDRESS"}, {"text": "Nobody", "type": "PERSON"}, {"text": ""}]}'
+    answers = spark.createDataFrame([(1, 0, raw)], "doc_id long, page_num int, raw string")
+    got = [(r.entity_type, r.text, r.start, r.end) for r in verify.page_additions(answers, pages, ents).collect()]
+    assert got == [("PERSON", "Bob", 17, 20)]
+
+
+def test_other_providers(spark):
+    models = providers.Registry()
+    assert models.loader() is None
+    models.add("a", lambda: str)
+    models.add("b", lambda: repr)
+    models.use("c")
+    assert models.active == "a" and models.available() == ["a", "b"]
+    pages = spark.createDataFrame([(1, 0, "short"), (1, 1, "ein langer Text mit vielen Wörtern"), (2, 0, None)], "doc_id long, page_num int, text string")
+    assert sorted((r.doc_id, r.page_num, r.lang) for r in providers.language(pages, lambda: lambda t: "de").collect()) == [(1, 0, "en"), (1, 1, "de"), (2, 0, "en")]
+    images = spark.createDataFrame([(1, 0, "has text", bytearray(b"")), (1, 1, " ", bytearray(b"seen")), (1, 2, None, bytearray(b""))], "doc_id long, page_num int, text string, content binary")
+
+    def broken():
+        return lambda c: 1 / 0
+
+    read = providers.read_pages(images, [broken, lambda: lambda c: bytes(c).decode()])
+    assert sorted((r.page_num, r.text, r.is_ocr) for r in read.collect()) == [(0, "has text", False), (1, "seen", True), (2, "", True)]
+    boxed = spark.createDataFrame([(1, 0, True, [1]), (1, 1, True, [2]), (1, 2, False, [3])], "doc_id long, page_num int, is_ocr boolean, word_boxes array<int>")
+    flat = deid.flattened(boxed, boxed.filter("page_num <> 1").select("doc_id", "page_num"))
+    assert sorted((r.page_num, r.word_boxes) for r in flat.collect()) == [(0, None), (1, [2]), (2, [3])]
