@@ -35,6 +35,8 @@ EDITS = 0.15
 LEAST_ITEM = 40
 BLOCK_BYTES = 8 << 20
 WALKS, TABLES, SAMPLED = 4, 12, 3
+#: Bytes of text whose windows are embedded together, and that one pass over runs holds.
+GROUP_BYTES, PASS_BYTES = 8 << 20, 1 << 20
 #: Items of lengths in one class are looked up together; the class's least length sets the sampled places.
 CLASS = 32
 _TABLE_BITS = 22
@@ -190,9 +192,14 @@ class Items:
         """For each text: item -> (places, first start, its length, least distance)."""
         found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in bodies]
         by_class: dict[int, list[tuple[int, int, int]]] = {}
-        for d, windows in enumerate(self.windows_of(bodies)):
-            for s, n in windows:
-                by_class.setdefault(n // CLASS * CLASS, []).append((d, s, n))
+        first, size = 0, 0
+        for last, body in enumerate(bodies, 1):
+            size += len(body)
+            if size >= PASS_BYTES or last == len(bodies):
+                for d, windows in enumerate(self.windows_of(bodies[first:last]), first):
+                    for s, n in windows:
+                        by_class.setdefault(n // CLASS * CLASS, []).append((d, s, n))
+                first, size = last, 0
         for c, windows in by_class.items():
             for part in (windows[i : i + 4096] for i in range(0, len(windows), 4096)):
                 k = buckets(matrix([bodies[d][s : s + n].ljust(1, b"\0") for d, s, n in part]), c)
@@ -231,6 +238,29 @@ def item_blocks(benchmark: DataFrame, edits: float = EDITS, block_bytes: int = B
             yield Items([i for i, _ in part], [t for _, t in part], edits)
 
 
+def searched(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+    """Each batch with what its texts hold; several small batches are searched together."""
+    group: list[pa.RecordBatch] = []
+    bodies: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+        found, at = items.search(bodies), 0
+        for b in group:
+            yield b, found[at : at + b.num_rows]
+            at += b.num_rows
+
+    for b in batches:
+        group.append(b)
+        bodies += [normalised(t) for t in texts(b)]
+        size += b.nbytes
+        if size >= GROUP_BYTES:
+            yield from flush()
+            group, bodies, size = [], [], 0
+    if group:
+        yield from flush()
+
+
 HITS = "item_id long, places int, start long, length long, distance int"
 
 
@@ -242,8 +272,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS,
     for items in item_blocks(benchmark, edits, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = items.search([normalised(t) for t in texts(b)])
+            for b, found in searched(batches, items):
                 rows = [(d, items.ids[i], *x) for d, hits in zip(b.column("doc_id").to_pylist(), found, strict=True) for i, x in sorted(hits.items())]
                 if rows:
                     cols = [list(c) for c in zip(*rows, strict=True)]
@@ -259,8 +288,8 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, bl
     for items in item_blocks(benchmark, edits, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not x for x in items.search([normalised(t) for t in texts(b)])]))
+            for b, found in searched(batches, items):
+                yield b.filter(pa.array([not x for x in found], pa.bool_()))
 
         docs = map_rows(docs, run, docs.schema)
     return docs
