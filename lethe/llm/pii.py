@@ -33,6 +33,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The email pattern from its @ on; a match begins at the first of the characters before it that may stand there.
+#: The ip pattern, tried once for each run of digits: a match can only begin at one, and a run is never given back.
+_IP_RUN = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -71,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), in order; leftmost and not overlapping within a kind."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     if "." in text:
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP_RUN.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := _NOT_DIGIT.sub("", m.group())) <= 19 and luhn(digits):
             out.append((m.start(), 2, m.end()))
