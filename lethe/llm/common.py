@@ -26,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name)
 
 
+#: Folders that this driver made, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,7 +37,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="lethe-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lethe-{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lethe-{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables and files that this application's operators left in the shared folder. Their results are
+    lazy and read them: write what you keep first."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,11 +64,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table from stored() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, parent)
 
 
 def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from lethe.llm import decontaminate, exact, near_dup
+from lethe.llm.common import clean, stored
 from lethe.llm.graph import components
 from lethe.llm.shingles import PASS_BYTES, shingle_sets
 from lethe.llm.signature_tree import overlap, similar
@@ -175,3 +177,11 @@ def test_edited_items_are_found():
         found += trial % 40 in hits[0]
         assert not hits[1]
     assert found >= 190
+
+
+def test_clean_deletes_what_operators_left(spark, odd):
+    out = stored(odd.select("doc_id"), "kept")
+    folder = out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.exists(folder)
+    clean(spark)
+    assert not os.path.exists(folder)
