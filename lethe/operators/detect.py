@@ -40,8 +40,8 @@ def with_hits(pages: DataFrame) -> DataFrame:
 
 def entities(pages: DataFrame) -> DataFrame:
     """A row per entity: doc_id, page_num, entity_type, text, start, end, score, source, analysis."""
-    # an explode of the resolved array, with no filter on it, computes the hits once
-    rows = with_hits(pages).select("doc_id", "page_num", F.col("text").alias("page"), F.explode(merged(F.col("hits"))).alias("h"))
+    # an outer explode has no filter inferred below it, which would compute the hits and their guards again
+    rows = with_hits(pages).select("doc_id", "page_num", F.col("text").alias("page"), F.explode_outer(merged(F.col("hits"))).alias("h"))
     h = {n: F.col(f"h.{n}") for n in ("text", "type", "start", "end", "source", "score")}
     rows = rows.filter(~contextual_false_positive(h["text"], h["type"], h["start"], h["end"], F.col("page")) & plausible(h["text"]))
     score = confidence(h["text"], h["type"], h["source"], h["score"], h["start"], h["end"], F.col("page"))

@@ -97,8 +97,8 @@ for _seq, _p in enumerate(C.PATTERNS):
 
 @query("r00_counts", f"WITH {SRC_SQL}, {HITS_SQL} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM hits GROUP BY type")
 def _(spark, sf_dir):
-    hits = detection.with_hits(fixtures.pages(spark, sf_dir)).select("doc_id", F.explode("hits").alias("h"))
-    return hits.groupBy(F.col("h.type").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    hits = detection.with_hits(fixtures.pages(spark, sf_dir)).select("doc_id", F.explode_outer("hits").alias("h"))
+    return hits.filter("h.type IS NOT NULL").groupBy(F.col("h.type").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 # Detection -------------------------------------------------------------------------------------------------
@@ -144,7 +144,7 @@ def crafted_lists(spark: SparkSession) -> DataFrame:
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.text", "h.start", "h.end", "h.type", "h.source")
+    return df.select("doc_id", F.explode_outer("hits").alias("h")).filter("h.type IS NOT NULL").select("doc_id", "h.text", "h.start", "h.end", "h.type", "h.source")
 
 
 _FLAT = 'doc_id, text, "start", "end", type, source'
