@@ -1,15 +1,17 @@
-"""Benchmark decontamination by the CGK embedding and bit-sampling LSH over item-sized windows.
+"""Benchmark decontamination by exact filters of seeds and pieces, each pair of document and item verified.
 
 Texts and items are lower-cased, and their runs of white space made one space; distances count UTF-8 bytes.
+An item matches where its edit distance to a substring is at most k, EDITS of its length rounded down.
 
-1. Windows: wherever a document has a run of Q bytes that an item has too, a window of the item's length is laid
-   so that the two runs meet. An item with up to (length - Q) / Q edits keeps such a run whatever the edits.
-2. Embedding: a random walk turns a string into one of twice its length, so that strings a few edits apart agree
-   at most places: each step copies the current byte, and a random bit for (step, byte) says whether to advance.
-3. LSH: WALKS walks with TABLES samples of SAMPLED places each. At a Hamming distance of 0.5 the chance to meet
-   in one of the tables is over 0.99 if places were independent; unrelated strings agree at under a tenth of the places.
-4. Every pair that meets is verified: the least edit distance of the item to a substring around the window, by
-   bit-parallel search, is at most EDITS of the item's length.
+1. Seeds: an item is cut into k + 1 parts, or k + 2 if that is even, taken in pairs. k edits leave a pair with one
+   edit at most, so one half of it stands there exactly and the other within one edit beside it. Halves are looked
+   up at every byte of the text (by eight bytes at most); the other half is compared as a word.
+2. Pieces: pairs in a row, up to PIECE bytes, of which one has at most as many edits as it has halves, less one. The
+   piece of each seed is compared with the text about it by bit-parallel search, many in step.
+3. What is left is verified: the least edit distance of the item to a substring around the place is at most k.
+
+No step loses a place within the limit, so recall is 1 whatever the edits. The embedding and LSH that this search
+was named for stood between 2 and 3; they lost up to 3 % of items with 15 % edits and are not used.
 
 Items are broadcast in blocks of at most BLOCK_BYTES; a larger benchmark takes one pass for each block. Items
 shorter than LEAST_ITEM bytes after normalisation, and null or empty ones, are not searched for. Null and empty
@@ -28,73 +30,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lethe.llm.common import map_rows, texts
-from lethe.llm.shingles import mix
 
-Q = 16
 EDITS = 0.15
 LEAST_ITEM = 40
 BLOCK_BYTES = 8 << 20
-WALKS, TABLES, SAMPLED = 4, 12, 3
-#: Bytes of text whose windows are embedded together, and that one pass over runs holds.
+#: Bytes of text that are searched together, and that one pass over seeds holds.
 GROUP_BYTES, PASS_BYTES = 8 << 20, 1 << 20
-#: Items of lengths in one class are looked up together; the class's least length sets the sampled places.
-CLASS = 32
 _TABLE_BITS = 22
+#: Bytes of a piece that is compared in one word, zeros about the texts of a pass, seeds met that are held at a time.
+PIECE, _PAD, _MOST_MET = 64, 256, 1 << 18
 
 
-def normalised(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode("utf-8", "replace").split())
-
-
-def runs(x: np.ndarray) -> np.ndarray:
-    """A hash of each Q bytes of x."""
-    n = len(x) - Q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    words = np.ndarray((len(x) - 7,), "<u8", np.ascontiguousarray(x).data, 0, (1,)).astype(np.uint64)
-    return mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) + (words[Q - 8 :] ^ (words[Q - 8 :] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def walk(strings: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
-    """What the embedding of each row of strings (zero-padded) holds at the sorted places."""
-    n, width = strings.shape
-    flat = np.concatenate([strings, np.zeros((n, 1), np.uint8)], 1).ravel()
-    base, at = np.arange(n) * (width + 1), np.zeros(n, np.int64)
-    out, letters, want = np.zeros((n, len(places)), np.uint8), np.arange(256, dtype=np.uint64), 0
-    for j in range(int(places[-1]) + 1):
-        c = flat[base + at]
-        while want < len(places) and places[want] == j:
-            out[:, want] = c
-            want += 1
-        bits = (mix(letters + np.uint64((j << 8) + (seed << 40) + 1)) & np.uint64(1)).astype(np.int64)
-        at = np.minimum(at + bits[c], width)
-    return out
-
-
-def places(length_class: int, seed: int) -> np.ndarray:
-    """TABLES samples of SAMPLED places of the embedding of the class's strings."""
-    most = max(8, int(1.8 * length_class))
-    h = mix(np.arange(TABLES * SAMPLED, dtype=np.uint64) + np.uint64((length_class << 20) + (seed << 50) + 7))
-    return (h % np.uint64(most)).astype(np.int64).reshape(TABLES, SAMPLED)
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
 
 
-def buckets(strings: np.ndarray, length_class: int) -> np.ndarray:
-    """(strings x WALKS * TABLES) bucket of each string in each table."""
-    out = []
-    for seed in range(WALKS):
-        p = places(length_class, seed)
-        u, inverse = np.unique(p.ravel(), return_inverse=True)
-        seen = walk(strings, seed, u)[:, inverse].reshape(len(strings), TABLES, SAMPLED).astype(np.uint64)
-        h = np.zeros((len(strings), TABLES), np.uint64)
-        for k in range(SAMPLED):
-            h = h * np.uint64(257) + seen[:, :, k] + np.uint64(1)
-        out.append(mix(h + np.uint64((length_class << 44) + (seed << 40)) + (np.arange(TABLES, dtype=np.uint64) << np.uint64(34))))
-    return np.concatenate(out, 1)
+def _parts(n: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of n that are not zero, in groups whose sum is about _MOST_MET."""
+    at = np.flatnonzero(n)
+    group = np.cumsum(n[at]) // _MOST_MET
+    yield from np.split(at, np.flatnonzero(np.diff(group)) + 1) if len(at) else ()
 
 
-def matrix(strings: list[bytes]) -> np.ndarray:
-    width = max(map(len, strings))
-    return np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
+def normalised(text: str | None) -> bytes:
+    return b" ".join((text or "").lower().encode("utf-8", "replace").split())
 
 
 def best_match(item: bytes, region: bytes) -> tuple[int, int]:
@@ -123,98 +82,156 @@ def best_match(item: bytes, region: bytes) -> tuple[int, int]:
     return best, end
 
 
+def within_one(b: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of b (7 at most, the first the lowest) are at most one edit from a beginning of t's eight."""
+    one = np.uint64(1)
+    whole = (one << (n << np.uint64(3))) - one
+    x = (b ^ t) & whole
+    low = x & (~x + one)
+    at = np.log2(np.maximum(low, one).astype(np.float64)).astype(np.uint64) >> np.uint64(3)
+    rest = whole & ~((one << (at << np.uint64(3))) - one)
+    after = whole & ~((one << ((at + one) << np.uint64(3))) - one)
+    return (x == 0) | (x & after == 0) | ((b ^ (t << np.uint64(8))) & after == 0) | ((b ^ (t >> np.uint64(8))) & rest == 0)
+
+
+def least_distances(pieces: np.ndarray, lengths: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """best_match's distance of each row of pieces (at most 64 bytes, zero-padded) and of regions, all rows in step."""
+    one, n = np.uint64(1), len(pieces)
+    high = (lengths - 1).astype(np.uint64)
+    pv, mv = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+    score = lengths.astype(np.int64)
+    best, padded = score.copy(), np.zeros((n, 64), np.uint8)
+    padded[:, : pieces.shape[1]] = pieces
+    for j in range(regions.shape[1]):
+        e = np.packbits(padded == regions[:, j : j + 1], axis=1, bitorder="little").view("<u8").ravel()
+        xv = e | mv
+        xh = (((e & pv) + pv) ^ pv) | e
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += ((ph >> high) & one).astype(np.int64) - ((mh >> high) & one).astype(np.int64)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return best
+
+
 @dataclass
 class Items:
-    """A block of the benchmark with its runs and its LSH tables."""
+    """A block of the benchmark with its seeds and pieces."""
 
     ids: list
     bodies: list[bytes]
     edits: float = EDITS
-    run_hash: np.ndarray = field(init=False)
-    run_item: np.ndarray = field(init=False)
-    run_at: np.ndarray = field(init=False)
-    flags: np.ndarray = field(init=False)
-    keys: np.ndarray = field(init=False)
-    key_item: np.ndarray = field(init=False)
+    #: Of each seed: its item, its place and length there, its piece, and the half beside it as bytes away from it.
+    seed: np.ndarray = field(init=False)
+    beside: np.ndarray = field(init=False)
+    #: Of each piece: where it begins and how long it is in `flat`, its place in the item, the edits it may have.
+    piece: np.ndarray = field(init=False)
+    flat: np.ndarray = field(init=False)
+    #: By length of a seed: flags of hashes, the sorted bytes of seeds, their numbers.
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
 
     def __post_init__(self) -> None:
-        h = [runs(np.frombuffer(b, np.uint8)) for b in self.bodies]
-        item = np.repeat(np.arange(len(h)), [len(x) for x in h])
-        at = np.concatenate([np.arange(len(x)) for x in h] or [np.zeros(0, np.int64)])
-        flat = np.concatenate(h or [np.zeros(0, np.uint64)])
-        order = np.lexsort((at, item, flat))
-        flat, item, at = flat[order], item[order], at[order]
-        first = np.ones(len(flat), bool)
-        first[1:] = (flat[1:] != flat[:-1]) | (item[1:] != item[:-1])
-        self.run_hash, self.run_item, self.run_at = flat[first], item[first], at[first]
-        self.flags = np.zeros(1 << _TABLE_BITS, bool)
-        self.flags[flat >> np.uint64(64 - _TABLE_BITS)] = True
-        keys, key_item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        by_class: dict[int, list[int]] = {}
+        seeds, pieces, beside, by_size, at = [], [], [], {}, 0
         for i, b in enumerate(self.bodies):
-            by_class.setdefault(len(b) // CLASS * CLASS, []).append(i)
-        for c, members in by_class.items():
-            k = buckets(matrix([self.bodies[i] for i in members]), c)
-            keys.append(k.ravel())
-            key_item.append(np.repeat(members, k.shape[1]))
-        flat, item = np.concatenate(keys), np.concatenate(key_item)
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.key_item = flat[order], item[order]
+            m = self.allowed(i) // 2 * 2 + 2
+            cuts = [len(b) * j // m for j in range(m + 1)]
+            pairs = max(1, PIECE // max(cuts[j + 2] - cuts[j] for j in range(0, m, 2)))
+            for j in range(m):
+                if j % (2 * pairs) == 0:
+                    last = min(m, j + 2 * pairs)
+                    pieces.append((at + cuts[j], cuts[last] - cuts[j], cuts[j], last - j - 1))
+                s, e = cuts[j], cuts[j + 1]
+                size = min(8, e - s)
+                half = b[cuts[j + 1] : cuts[j + 2]][:7] if j % 2 == 0 else b[cuts[j - 1] : s][::-1][:7]
+                by_size.setdefault(size, []).append((int.from_bytes(b[s : s + size], "little"), len(seeds)))
+                beside.append(int.from_bytes(half, "little"))
+                seeds.append((i, s, e - s, len(pieces) - 1, j % 2, len(half)))
+            at += len(b)
+        self.seed, self.piece = np.array(seeds, np.int64).reshape(-1, 6), np.array(pieces, np.int64).reshape(-1, 4)
+        self.beside = np.array(beside, np.uint64)
+        self.flat = np.frombuffer(b"".join(self.bodies) + bytes(PIECE), np.uint8)
+        self.tables = {}
+        for size, members in by_size.items():
+            keys, number = np.array([k for k, _ in members], np.uint64), np.array([n for _, n in members])
+            order = np.argsort(keys, kind="stable")
+            flags = np.zeros(1 << _TABLE_BITS, bool)
+            flags[_slot(keys)] = True
+            self.tables[size] = flags, keys[order], number[order]
 
     def allowed(self, i: int) -> int:
         return int(self.edits * len(self.bodies[i]))
 
-    def windows(self, body: bytes) -> list[tuple[int, int]]:
-        """(start, length), one for each item and diagonal on which runs meet; of equal runs in an item the first counts."""
-        return self.windows_of([body])[0]
-
     def windows_of(self, bodies: list[bytes]) -> list[list[tuple[int, int]]]:
+        """For each text (item, start) of every place where the item may stand, one at least within the allowed edits of it."""
         out: list[list[tuple[int, int]]] = [[] for _ in bodies]
-        x = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
-        h = runs(x)
-        pos = np.flatnonzero(self.flags[h >> np.uint64(64 - _TABLE_BITS)])
-        if not len(pos):
-            return out
-        lo, hi = np.searchsorted(self.run_hash, h[pos], "left"), np.searchsorted(self.run_hash, h[pos], "right")
-        n = hi - lo
-        if not n.sum():
-            return out
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        pos = np.repeat(pos, n)
         begin = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bodies])])
-        doc = np.searchsorted(begin, pos, "right") - 1
-        item, diagonal = self.run_item[entry], pos - begin[doc] - self.run_at[entry]
-        for d, i, s in np.unique(np.stack([doc, item, np.maximum(diagonal, 0)], 1), axis=0).tolist():
-            out[d].append((s, len(self.bodies[i])))
+        x = np.frombuffer(bytes(_PAD) + b"\0".join(bodies) + bytes(_PAD), np.uint8)
+        words = np.ndarray((len(x) - 7,), "<u8", x.data, 0, (1,))
+        text, found = words[_PAD : _PAD + begin[-1]].astype(np.uint64), []
+        for size, (flags, keys, number) in self.tables.items():
+            h = text & np.uint64((1 << 8 * size) - 1)
+            pos = np.flatnonzero(flags[_slot(h)])
+            h = h[pos]
+            lo = np.searchsorted(keys, h, "left")
+            n = np.searchsorted(keys, h, "right") - lo
+            for part in _parts(n):
+                k, first = n[part], lo[part]
+                entry = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
+                p, seeds = np.repeat(pos[part], k), number[entry]
+                side = self.seed[seeds, 4] == 0
+                near = np.where(side, p + self.seed[seeds, 2], p - 8) + _PAD
+                t = words[np.minimum(near, len(words) - 1)].astype(np.uint64)
+                t = np.where(side, t, t.byteswap())
+                ok = within_one(self.beside[seeds], self.seed[seeds, 5].astype(np.uint64), t)
+                p, seeds = p[ok], seeds[ok]
+                found.append(np.stack([self.seed[seeds, 3], p - self.seed[seeds, 1], self.seed[seeds, 0]], 1))
+        found = np.unique(np.concatenate(found or [np.zeros((0, 3), np.int64)]), axis=0)
+        kept = [part[self.near(x, part)] for part in (found[i : i + 4096] for i in range(0, len(found), 4096))]
+        for _, start, i in np.concatenate(kept or [found]).tolist():
+            # a start before a text can only be that of its item by edits at the beginning
+            d = int(np.searchsorted(begin, max(start, 0) + self.allowed(i), "right")) - 1
+            for e in {int(np.searchsorted(begin, max(start, 0), "right")) - 1, min(d, len(bodies) - 1)}:
+                if start - begin[e] < len(bodies[e]):
+                    out[e].append((i, max(0, start - int(begin[e]))))
         return [sorted(set(w)) for w in out]
 
+    def near(self, x: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether the piece of each (piece, start of the item, item) is within its edits somewhere about its place."""
+        at, size, place, edits = self.piece[found[:, 0]].T
+        width, most = int(min(size.max(), PIECE)), int(edits.max())
+        short = size <= PIECE
+        pieces = self.flat[np.minimum(at[:, None] + np.arange(width), len(self.flat) - 1)] * (np.arange(width) < size[:, None])
+        columns = (found[:, 1] + place - edits + _PAD)[:, None] + np.arange(width + 2 * most)
+        regions = x[np.clip(columns, 0, len(x) - 1)]
+        return ~short | (least_distances(pieces, np.minimum(size, PIECE), regions) <= edits)
+
     def search(self, bodies: list[bytes]) -> list[dict[int, tuple[int, int, int, int]]]:
         """For each text: item -> (places, first start, its length, least distance)."""
         found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in bodies]
-        by_class: dict[int, list[tuple[int, int, int]]] = {}
         first, size = 0, 0
         for last, body in enumerate(bodies, 1):
             size += len(body)
             if size >= PASS_BYTES or last == len(bodies):
                 for d, windows in enumerate(self.windows_of(bodies[first:last]), first):
-                    for s, n in windows:
-                        by_class.setdefault(n // CLASS * CLASS, []).append((d, s, n))
+                    self.verify_all(bodies[d], windows, found[d])
                 first, size = last, 0
-        for c, windows in by_class.items():
-            for part in (windows[i : i + 4096] for i in range(0, len(windows), 4096)):
-                k = buckets(matrix([bodies[d][s : s + n].ljust(1, b"\0") for d, s, n in part]), c)
-                lo, hi = np.searchsorted(self.keys, k.ravel(), "left"), np.searchsorted(self.keys, k.ravel(), "right")
-                hit = np.flatnonzero(hi > lo)
-                pairs = {(int(j) // k.shape[1], int(i)) for j in hit for i in self.key_item[lo[j] : hi[j]]}
-                for w, i in sorted(pairs):
-                    d, s, _ = part[w]
-                    self.verify(bodies[d], s, i, found[d])
         return found
 
-    def verify(self, body: bytes, start: int, i: int, found: dict[int, tuple[int, int, int, int]]) -> None:
+    def verify_all(self, body: bytes, windows: list[tuple[int, int]], found: dict[int, tuple[int, int, int, int]]) -> None:
+        """Starts of an item that lie within its edits of the first are verified together."""
+        at = 0
+        while at < len(windows):
+            i, start = windows[at]
+            last = start
+            while at < len(windows) and windows[at][0] == i and windows[at][1] - start <= self.allowed(i):
+                last = windows[at][1]
+                at += 1
+            self.verify(body, start, i, found, last)
+
+    def verify(self, body: bytes, start: int, i: int, found: dict[int, tuple[int, int, int, int]], last: int = 0) -> None:
         k, n = self.allowed(i), len(self.bodies[i])
         first = max(0, start - k)
-        distance, end = best_match(self.bodies[i], body[first : start + n + k])
+        distance, end = best_match(self.bodies[i], body[first : max(start, last) + n + k])
         if distance > k:
             return
         at = first + max(0, end - n)

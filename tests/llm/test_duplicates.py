@@ -179,6 +179,41 @@ def test_edited_items_are_found():
     assert found >= 190
 
 
+@pytest.mark.parametrize("length", [40, 60, 85, 150])
+def test_edits_up_to_the_limit_are_found_at_every_length(length):
+    rng = random.Random(length)
+    draw = lambda n: bytes(rng.choice(b"abcdefghijklmnop    ") for _ in range(n))
+    items = decontaminate.Items(list(range(20)), [draw(length) for _ in range(20)])
+    for trial in range(60):
+        i, k = trial % 20, int(decontaminate.EDITS * length)
+        s = bytearray(items.bodies[i])
+        # edits spread evenly, which leave no long run, and edits at random
+        for e in range(k):
+            p, way = (e * len(s) // k if trial < 30 else rng.randrange(len(s))), rng.random()
+            if way < 0.5:
+                s[p] = rng.choice(b"xyz")
+            elif way < 0.75:
+                del s[p]
+            else:
+                s.insert(p, rng.choice(b"xyz"))
+        text = (b"", draw(300))[trial % 3 > 0] + bytes(s) + (b"", draw(300))[trial % 3 < 2]
+        hits = items.search([draw(5), text, b"", draw(200)])
+        assert hits[1][i][3] <= k and not hits[0] and not hits[2]
+
+
+def test_pieces_and_halves_are_compared_exactly():
+    rng = random.Random(9)
+    for _ in range(2000):
+        b, t = (bytes(rng.choice(b"ab") for _ in range(n)) for n in (rng.randrange(1, 8), 8))
+        word = lambda x: np.array([int.from_bytes(x, "little")], np.uint64)
+        want = min(decontaminate.best_match(b"#" * 9 + b, b"#" * 9 + t[:n])[0] for n in range(9)) <= 1
+        assert decontaminate.within_one(word(b), np.array([len(b)], np.uint64), word(t))[0] == want, (b, t)
+    for n in (1, 13, 63, 64):
+        p, r = (rng.randbytes(n).translate(bytes(b"abc"[i % 3] for i in range(256))) for n in (n, 90))
+        row = lambda x: np.frombuffer(x, np.uint8)[None]
+        assert decontaminate.least_distances(row(p), np.array([n]), row(r))[0] == decontaminate.best_match(p, r)[0]
+
+
 def test_clean_deletes_what_operators_left(spark, odd):
     out = stored(odd.select("doc_id"), "kept")
     folder = out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
