@@ -13,8 +13,9 @@ An item matches where its edit distance to a substring is at most k, EDITS of it
 No step loses a place within the limit, so recall is 1 whatever the edits. The embedding and LSH that this search
 was named for stood between 2 and 3; they lost up to 3 % of items with 15 % edits and are not used.
 
-Items are broadcast in blocks of at most BLOCK_BYTES; a larger benchmark takes one pass for each block. Items
-shorter than LEAST_ITEM bytes after normalisation, and null or empty ones, are not searched for. Null and empty
+Items shorter than LEAST_ITEM bytes after normalisation match exactly only, as whole words: neither end of the place
+is inside a word, where scripts without spaces have an end at each character. Null and empty items have no hits.
+Items are broadcast in blocks of at most BLOCK_BYTES; a larger benchmark takes one pass for each block. Null and empty
 texts have no hits. Rows with repeated ids, of either table, are each reported. Empty tables give an empty
 result. Other columns are never read.
 """
@@ -114,6 +115,19 @@ def least_distances(pieces: np.ndarray, lengths: np.ndarray, regions: np.ndarray
     return best
 
 
+def _spaced(c: str) -> bool:
+    """Whether c is of a word in a script that puts spaces between words."""
+    return c.isalnum() and not ("\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u2e80" <= c <= "\uabff" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000")
+
+
+def between_words(body: bytes, at: int) -> bool:
+    """Whether at, the beginning of a character or the end of body, is not inside a word."""
+    if not 0 < at < len(body):
+        return True
+    before, after = body[max(0, at - 4) : at].decode("utf-8", "ignore"), body[at : at + 4].decode("utf-8", "ignore")
+    return not (before and after and _spaced(before[-1]) and _spaced(after[0]))
+
+
 @dataclass
 class Items:
     """A block of the benchmark with its seeds and pieces."""
@@ -129,10 +143,18 @@ class Items:
     flat: np.ndarray = field(init=False)
     #: By length of a seed: flags of hashes, the sorted bytes of seeds, their numbers.
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
+    #: Short items by their bytes; by length of their beginnings: flags, sorted beginnings, lengths of items for each.
+    short: dict[bytes, list[int]] = field(init=False)
+    heads: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = field(init=False)
 
     def __post_init__(self) -> None:
         seeds, pieces, beside, by_size, at = [], [], [], {}, 0
+        self.short, self.heads, lengths = {}, {}, {}
         for i, b in enumerate(self.bodies):
+            if len(b) < LEAST_ITEM:
+                self.short.setdefault(b, []).append(i)
+                at += len(b)
+                continue
             m = self.allowed(i) // 2 * 2 + 2
             cuts = [len(b) * j // m for j in range(m + 1)]
             pairs = max(1, PIECE // max(cuts[j + 2] - cuts[j] for j in range(0, m, 2)))
@@ -157,6 +179,13 @@ class Items:
             flags = np.zeros(1 << _TABLE_BITS, bool)
             flags[_slot(keys)] = True
             self.tables[size] = flags, keys[order], number[order]
+        for b in self.short:
+            head = b[:8]
+            lengths.setdefault(len(head), {}).setdefault(int.from_bytes(head, "little"), set()).add(len(b))
+        for size, heads in lengths.items():
+            keys, flags = np.array(sorted(heads), np.uint64), np.zeros(1 << _TABLE_BITS, bool)
+            flags[_slot(keys)] = True
+            self.heads[size] = flags, keys, [sorted(heads[k]) for k in sorted(heads)]
 
     def allowed(self, i: int) -> int:
         return int(self.edits * len(self.bodies[i]))
@@ -195,6 +224,37 @@ class Items:
                     out[e].append((i, max(0, start - int(begin[e]))))
         return [sorted(set(w)) for w in out]
 
+    def exact_places(self, bodies: list[bytes], found: list[dict[int, tuple[int, int, int, int]]]) -> None:
+        """Adds to found the places of the short items."""
+        if not self.heads:
+            return
+        begin = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bodies])])
+        x = np.frombuffer(b"\0".join(bodies) + bytes(9), np.uint8)
+        # not inside an ASCII word, nor inside a character
+        word = ((x >= 48) & (x <= 57)) | ((x >= 97) & (x <= 122))
+        starts = (x & 0xC0) != 0x80
+        starts[1:] &= ~(word[1:] & word[:-1])
+        starts = np.flatnonzero(starts[: begin[-1]])
+        text = np.ndarray((len(x) - 7,), "<u8", x.data, 0, (1,))[starts].astype(np.uint64)
+        for size, (flags, keys, lengths) in self.heads.items():
+            h = text & np.uint64((1 << 8 * size) - 1)
+            pos = np.flatnonzero(flags[_slot(h)])
+            number = np.minimum(np.searchsorted(keys, h[pos]), len(keys) - 1)
+            met = keys[number] == h[pos]
+            pos, number = starts[pos[met]], number[met]
+            doc = np.searchsorted(begin, pos, "right") - 1
+            for d, at, k in zip(doc.tolist(), (pos - begin[doc]).tolist(), number.tolist(), strict=True):
+                body, clear = bodies[d], None
+                for n in lengths[k]:
+                    items = self.short.get(body[at : at + n]) if at + n <= len(body) else None
+                    if not items:
+                        continue
+                    clear = between_words(body, at) if clear is None else clear
+                    if clear and between_words(body, at + n):
+                        for i in items:
+                            seen, s, length, _ = found[d].get(i, (0, at, n, 0))
+                            found[d][i] = (seen + 1, s, length, 0)
+
     def near(self, x: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Whether the piece of each (piece, start of the item, item) is within its edits somewhere about its place."""
         at, size, place, edits = self.piece[found[:, 0]].T
@@ -214,6 +274,8 @@ class Items:
             if size >= PASS_BYTES or last == len(bodies):
                 for d, windows in enumerate(self.windows_of(bodies[first:last]), first):
                     self.verify_all(bodies[d], windows, found[d])
+                part: list[dict[int, tuple[int, int, int, int]]] = found[first:last]
+                self.exact_places(bodies[first:last], part)
                 first, size = last, 0
         return found
 
@@ -250,7 +312,7 @@ def item_blocks(benchmark: DataFrame, edits: float = EDITS, block_bytes: int = B
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).collect()
         part = [(r["item"], normalised(r["text"])) for r in part]
-        part = sorted(((i, t) for i, t in part if len(t) >= LEAST_ITEM), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        part = sorted(((i, t) for i, t in part if t), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         if part:
             yield Items([i for i, _ in part], [t for _, t in part], edits)
 

@@ -201,6 +201,17 @@ def test_edits_up_to_the_limit_are_found_at_every_length(length):
         assert hits[1][i][3] <= k and not hits[0] and not hits[2]
 
 
+def test_short_items_are_found_exactly(spark):
+    bench = spark.createDataFrame([(1, "What is  the capital of France?"), (2, "Paris"), (3, "法国的首都"), (4, "Él come"), (5, "is"), (6, ""), (7, "x" * 39)], "item_id long, text string")
+    texts = ["Q: what is the\ncapital of france? A: (paris).", "a parish, comparison; unisparis", "今天法国的首都是", "Pues él come.", "miél come él comen", "x" * 39 + " " + "x" * 39, "x" * 40, "paris paris", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.places, r.start, r.length, r.distance) for r in decontaminate.benchmark_hits(docs, bench).collect()}
+    assert found == {
+        (0, 1): (1, 3, 31 - 1, 0), (0, 2): (1, 38, 5, 0), (0, 5): (1, 8, 2, 0), (2, 3): (1, 6, 15, 0), (3, 4): (1, 5, 8, 0), (5, 7): (2, 0, 39, 0), (7, 2): (2, 0, 5, 0),
+    }
+    assert sorted(r.doc_id for r in decontaminate.without_hits(docs, bench).collect()) == [1, 4, 6, 8, 9]
+
+
 def test_pieces_and_halves_are_compared_exactly():
     rng = random.Random(9)
     for _ in range(2000):
