@@ -39,7 +39,8 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-TOKEN = re.compile(r"(?=[^\s]*[0-9])[A-Za-z0-9][A-Za-z0-9._/#:-]*[A-Za-z0-9]")
+_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._/#:-")
+_TOKEN_REST, _TOKEN_ENDS = re.compile(r"[A-Za-z0-9._/#:-]+"), "._/#:-"
 LEAST_DIGITS, MOST_LENGTH = 5, 40
 ROUNDS, LEAST_SEEDS, LEAST_SCORE = 3, 3, 0.7
 _WORD = re.compile(r"\S+")
@@ -86,22 +87,21 @@ _DIGIT_RUN = re.compile(r"[0-9]")
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens that overlap no base span."""
+    """Identifier-like tokens that overlap no base span, wherever they stand in a run without white space."""
     out, i, spans = [], 0, sorted((s, e) for s, _, e in base)
     seen = 0
     for d in _DIGIT_RUN.finditer(text):
         if d.start() < seen:
             continue
-        left = d.start()
-        while left and not text[left - 1].isspace() and d.start() - left < MOST_LENGTH:
+        left, right = d.start(), _TOKEN_REST.match(text, d.start()).end()
+        while left > seen and text[left - 1] in _TOKEN:
             left -= 1
-        m = TOKEN.search(text, left, min(len(text), left + 3 * MOST_LENGTH))
-        if not m or m.end() <= d.start():
-            seen = d.end()
-            continue
-        seen = m.end()
-        s, e = m.span()
-        if e - s > MOST_LENGTH or len(_NOT_DIGIT.sub("", m.group())) < LEAST_DIGITS:
+        seen = right
+        word = text[left:right].lstrip(_TOKEN_ENDS)
+        s = right - len(word)
+        word = word.rstrip(_TOKEN_ENDS)
+        e = s + len(word)
+        if e - s > MOST_LENGTH or len(_NOT_DIGIT.sub("", word)) < LEAST_DIGITS:
             continue
         while i < len(spans) and spans[i][1] <= s:
             i += 1
