@@ -6,8 +6,10 @@ instance in up to four lexical patterns: the one or two words before it, alone o
 digits masked. The distinct (pattern, instance) pairs are a bipartite graph; base instances are its seeds, with
 confidence 1. In each of ROUNDS rounds Spark scores a pattern by the mean confidence of its distinct instances
 (two unknown instances are added to each mean, so rare patterns score low) and a candidate by the noisy-or
-of its patterns above half a point. A pattern with at least LEAST_SEEDS distinct seeds and a final score of
-LEAST_SCORE is trusted: the candidates it holds become spans of kind `context`.
+of its patterns above half a point. An instance of confidence KNOWN or more is a seed of the next round, so that
+identifiers found in one context make others known, up to ROUNDS - 1 contexts away from a base span. A pattern with
+at least LEAST_SEEDS distinct seeds and a final score of LEAST_SCORE is trusted: the candidates it holds become spans
+of kind `context`.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are scanned each, repeated or
 not. Joins on patterns and instances are of distinct pairs, split by adaptive execution where a pattern is hot.
@@ -43,6 +45,8 @@ _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _TOKEN_REST, _TOKEN_ENDS = re.compile(r"[A-Za-z0-9._/#:-]+"), "._/#:-"
 LEAST_DIGITS, MOST_LENGTH = 5, 40
 ROUNDS, LEAST_SEEDS, LEAST_SCORE = 3, 3, 0.7
+#: Confidence from which an instance counts as a seed.
+KNOWN = 0.7
 _WORD = re.compile(r"\S+")
 #: Code points of context on either side that a pattern's words are looked for in.
 REACH = 80
@@ -155,21 +159,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_rows(rows, run, f"doc_id {kind}, {schema}").withColumn("uid", F.monotonically_increasing_id())
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
+def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, known: float = KNOWN) -> DataFrame:
     """The patterns (p) that the bootstrap trusts, from rows (p, instance, seed)."""
     edges = stored(seen.groupBy("p", "instance").agg(F.max("seed").alias("seed")), "edges")
-    # a pattern without enough seeds can never be trusted, and one without candidates finds nothing
-    worth = edges.groupBy("p").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.count("*").alias("n")).filter((F.col("seeds") >= least_seeds) & (F.col("n") > F.col("seeds")))
-    edges = stored(edges.join(worth.select("p"), "p"), "worth")
-    scored = edges.withColumn("conf", F.col("seed").cast("double"))
+    sizes = stored(edges.groupBy("p").agg(F.count("*").alias("n")), "sizes")
+    base = stored(edges.filter("seed").select("instance").distinct().withColumn("conf", F.lit(1.0)), "base")
+    conf = base
     for i in range(rounds):
-        score = scored.groupBy("p").agg((F.sum("conf") / (F.count("*") + 2)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        score = stored(score, "score")
+        # instances without confidence count in n only, and patterns that hold none with some score 0
+        held = edges.join(conf, "instance").groupBy("p").agg(F.sum("conf").alias("total"), F.sum((F.col("conf") >= known).cast("int")).alias("seeds"))
+        score = stored(held.join(sizes, "p").select("p", (F.col("total") / (F.col("n") + 2)).alias("score"), "seeds"), "score")
         if i == rounds - 1:
             return score.filter((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds)).select("p")
-        miss = F.sum(F.log1p(-F.greatest(F.lit(0.0), F.least(F.col("score"), F.lit(0.99)) * 2 - 1)))
-        conf = edges.join(score.select("p", "score"), "p").groupBy("instance").agg((1 - F.exp(miss)).alias("found"))
-        scored = stored(edges.join(conf, "instance").withColumn("conf", F.when(F.col("seed"), 1.0).otherwise(F.col("found"))), "scored")
+        miss = F.sum(F.log1p(-(F.least(F.col("score"), F.lit(0.99)) * 2 - 1)))
+        found = edges.join(score.filter("score > 0.5").select("p", "score"), "p").groupBy("instance").agg((1 - F.exp(miss)).alias("found"))
+        conf = stored(found.join(base, "instance", "full").select("instance", F.coalesce("conf", "found").alias("conf")), "conf")
     raise ValueError("rounds must be at least 1")
 
 
