@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions only.
 
 Base kinds are patterns. Beside them, every run of 20 or more characters of the base-64 alphabets is put to a
-battery of randomness tests: the encoding is inferred (hex of either case, base 32, letters and digits, base 64),
-then the uniformity of its alphabet (chi-squared), the runs about the middle symbol and the serial correlation
+battery of randomness tests: the encoding is inferred (hex of either case, base 32, digits, letters or both of either
+case or mixed, base 64; runs with separators that lack one of digits, upper and lower case are tested with their
+separators removed; whatever is left is taken for base 64, so no run goes untested), then the uniformity of its alphabet (chi-squared), the runs about the middle symbol and the serial correlation
 of neighbours are tested. Each run's coincidences also give a p-value against the hypothesis of text-like
 characters, whose power grows with the length; Benjamini-Hochberg holds the share of false discoveries down
 within each class of lengths, over all runs of the corpus. A run is a secret (kind `random`) if text is rejected
@@ -39,9 +40,20 @@ ENCODINGS = (
     ("hex", "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef", 0.125),
     ("HEX", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF", 0.125),
     ("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UPPER + "234567", 0.075),
+    ("digits", "^[0-9]+$", DIGITS, 0.2),
+    ("lower", "^[a-z]+$", LOWER, 0.065),
+    ("upper", "^[A-Z]+$", UPPER, 0.065),
+    ("letters", "^[A-Za-z]+$", UPPER + LOWER, 0.06),
+    ("lower36", "^[a-z0-9]+$", DIGITS + LOWER, 0.06),
+    ("upper36", "^[A-Z0-9]+$", DIGITS + UPPER, 0.06),
     ("alnum", "^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", DIGITS + UPPER + LOWER, 0.06),
-    ("base64", "^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", DIGITS + UPPER + LOWER + "+/", 0.06),
+    ("base64", "^.*$", DIGITS + UPPER + LOWER + "+/", 0.06),
 )
+#: Letters of text are uneven: the sum of their cubed shares less the square of the rate above widens the coincidences of
+#: runs of letters only, so that one-case letters are told from text when long (about 90) and no slug is a discovery.
+EXCESS, _UNEVEN = 0.0013, [i for i, (name, *_) in enumerate(ENCODINGS) if name in ("lower", "upper", "letters")]
+#: Runs with these are base 64 if all three of its classes stand in them; else they separate parts that are tested joined.
+SEPARATORS, _MIXED = "+/_-", "^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"
 
 
 def _marked(text: Column, kind: int, pattern: str, group: int, least: int, keep: bool) -> Column:
@@ -69,9 +81,14 @@ def _normal_tail(z: Column) -> Column:
 def battery(runs: DataFrame) -> DataFrame:
     """Adds encoding, random (no test rejects randomness) and p_text to rows with a column tok."""
     body = F.regexp_replace("tok", "=+$", "")
-    encoding = F.coalesce(*(F.when(F.regexp_like(body, F.lit(p)), F.lit(i)) for i, (_, p, _, _) in enumerate(ENCODINGS)))
+    joined = F.translate(body, SEPARATORS, "")
+    # a run of little but separators is tested as it is
+    body = F.when(F.regexp_like(body, F.lit(_MIXED)) | (F.length(joined) < LEAST_RUN // 2), body).otherwise(joined)
+    encoding = F.coalesce(*(F.when(F.regexp_like("body", F.lit(p)), F.lit(i)) for i, (_, p, _, _) in enumerate(ENCODINGS)))
     pick = lambda at: F.element_at(F.array(*(F.lit(at(e)) for e in ENCODINGS)), F.col("e") + 1)
-    x = runs.withColumn("body", body).withColumn("e", encoding).filter("e IS NOT NULL").withColumn("size", F.length("body").cast("double"))
+    # generated columns are computed once: plain ones would be put, with their patterns, into the lambdas below
+    once = lambda x, c, name: x.select("*", F.inline(F.array(F.struct(c.alias(name)))))
+    x = once(once(runs, body, "body"), encoding, "e").withColumn("size", F.length("body").cast("double"))
     x = x.withColumn("symbols", pick(lambda e: e[2])).withColumn("a", F.length("symbols").cast("double")).withColumn("kappa", pick(lambda e: e[3]))
     letters = F.translate("body", "-_", "+/")
     index = F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: F.instr(F.col("symbols"), c).cast("double") - 1)
@@ -96,7 +113,8 @@ def battery(runs: DataFrame) -> DataFrame:
     p_serial = F.when(F.col("spread") > 0, 2 * _normal_tail(-F.abs((F.col("lagged") / F.col("spread") + 1 / n) * F.sqrt(n)))).otherwise(F.lit(0.0))
     least = F.least(_normal_tail(-z_chi), p_runs, p_serial)
     kappa = F.col("kappa")
-    z_text = ((F.col("squares") - n) / (n * (n - 1)) - kappa) / F.sqrt(2 * kappa * (1 - kappa) / (n * (n - 1)))
+    extra = F.when(F.col("e").isin(_UNEVEN), 4 * (n - 2) * EXCESS).otherwise(F.lit(0.0))
+    z_text = ((F.col("squares") - n) / (n * (n - 1)) - kappa) / F.sqrt((2 * kappa * (1 - kappa) + extra) / (n * (n - 1)))
     names = pick(lambda e: e[0])
     x = x.withColumn("encoding", names).withColumn("random", least >= BATTERY_LEVEL / 3).withColumn("p_text", _normal_tail(z_text))
     return x.select(*runs.columns, "size", "encoding", "random", "p_text")
@@ -105,7 +123,7 @@ def battery(runs: DataFrame) -> DataFrame:
 def discoveries(tested: DataFrame, tested_in_all: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     """Rows of tested that Benjamini-Hochberg keeps within their class of lengths.
 
-    tested_in_all has a row for each run put to the test (stratum); runs without an encoding count as not rejected.
+    tested_in_all has a row for each run put to the test (stratum).
     The ranks come from a histogram of log p with at most 1200 bins for each of the few classes.
     """
     step = 0.05

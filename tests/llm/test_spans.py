@@ -115,6 +115,22 @@ def test_randomness_battery(spark):
     assert all(r.spans in ("", f"random:2:{2 + len(keys[r.doc_id])}") for r in rows if r.doc_id < 60)
 
 
+def test_every_run_is_put_to_the_battery(spark):
+    rng = random.Random(11)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    low, digits = string.ascii_lowercase, string.digits
+    uuid = lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+    kinds = [lambda: "sk_live_" + draw(low + digits, 40), uuid, lambda: draw(string.ascii_letters, 44), lambda: draw(low, 110), lambda: "-".join(draw(low + digits, 8) for _ in range(6))]
+    keys = [k() for k in kinds for _ in range(20)]
+    odd = ["-" * 40, "_" * 25, "a" * 30, "A" * 30, "0" * 30, "-/" * 20, "the-words-of-this-long-slug-are-plain", "this_is_the_name_of_a_function_in_a_module"]
+    docs = spark.createDataFrame([(i, f"a {k} b") for i, k in enumerate(keys + odd)], "doc_id long, text string")
+    tested = secrets.battery(docs.selectExpr("doc_id", "substr(text, 3, length(text) - 4) AS tok")).collect()
+    assert len(tested) == len(keys + odd) and all(r.encoding and r.p_text is not None for r in tested)
+    rows = secrets.secret_scan(docs).collect()
+    found = [sum(r.n_random for r in rows if r.doc_id // 20 == i) for i in range(len(kinds))]
+    assert all(n >= 14 for n in found) and all(r.n_random == 0 for r in rows if r.doc_id >= len(keys)), found
+
+
 def test_secrets_stay_in_the_jvm(documents):
     plan = secrets.secret_scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
