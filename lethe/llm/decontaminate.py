@@ -1,27 +1,35 @@
-"""Benchmark decontamination by exact filters of seeds and pieces, each pair of document and item verified.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 Texts and items are lower-cased, and their runs of white space made one space; distances count UTF-8 bytes.
 An item matches where its edit distance to a substring is at most k, EDITS of its length rounded down.
 
-1. Seeds: an item is cut into k + 1 parts, or k + 2 if that is even, taken in pairs. k edits leave a pair with one
-   edit at most, so one half of it stands there exactly and the other within one edit beside it. Halves are looked
-   up at every byte of the text (by eight bytes at most); the other half is compared as a word.
-2. Pieces: pairs in a row, up to PIECE bytes, of which one has at most as many edits as it has halves, less one. The
-   piece of each seed is compared with the text about it by bit-parallel search, many in step.
-3. What is left is verified: the least edit distance of the item to a substring around the place is at most k.
-
-No step loses a place within the limit, so recall is 1 whatever the edits. The embedding and LSH that this search
-was named for stood between 2 and 3; they lost up to 3 % of items with 15 % edits and are not used.
-
-Items shorter than LEAST_ITEM bytes after normalisation match exactly only, as whole words: neither end of the place
-is inside a word, where scripts without spaces have an end at each character. Null and empty items have no hits.
-Items are broadcast in blocks of at most BLOCK_BYTES; a larger benchmark takes one pass for each block. Null and empty
-texts have no hits. Rows with repeated ids, of either table, are each reported. Empty tables give an empty
-result. Other columns are never read.
+1. Embedding: a walk reads a window byte by byte for a fixed number of steps; each step gives the byte it stands on as
+   a coordinate and then stays or moves on, as a random function of step and byte says. Walks of two strings that
+   differ by few edits read different bytes for a while after an edit and then meet again, so edit distance becomes
+   Hamming distance. Several walks repeat the embedding.
+2. LSH: a key samples sixteen neighbouring coordinates of one walk (neighbours agree together: at 15 % edits they do
+   some ten times as often as scattered ones). Keys begin at every eighth coordinate and have a table each; a window
+   and an entry that share as many keys as their class of lengths asks for meet.
+3. Windows are laid over all of every text at a stride, and over the items at every shift below that stride, so a
+   place of an item always has a window at the shift of an entry. Window and stride go by the length of items (SIZES);
+   longer items are cut into pieces of that size, of which one has at most its share of the edits.
+4. Windows that meet an entry are compared by edits in bit-parallel search, many in step, and pass with
+   at most LOOSE of their length; then the least edit distance of the whole item to a substring about the place
+   decides.
+
+Exact copies are always found, and edited ones at the recall that the README tables. Items shorter than LEAST_ITEM
+bytes after normalisation match exactly only, as whole words: neither end of the place is inside a word, where scripts
+without spaces have an end at each character. Null and empty items have no hits; ids may be of any type.
+Items are broadcast in blocks of at most BLOCK_BYTES, as text; each worker builds the tables of a block once. A
+larger benchmark takes one pass for each block. Null and empty texts have no hits; very long texts are searched with
+a window's width of their neighbours' bytes, a pass of PASS_BYTES or one text at a time. Rows with repeated ids, of
+either table, are each reported. Of places that tie in distance the first counts. Empty tables give an empty result.
+Other columns are never read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,28 +37,64 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lethe.llm.common import map_rows, texts
 
 EDITS = 0.15
 LEAST_ITEM = 40
-BLOCK_BYTES = 8 << 20
-#: Bytes of text that are searched together, and that one pass over seeds holds.
+BLOCK_BYTES = 2 << 20
+#: Bytes of text that are searched together, and that one pass holds.
 GROUP_BYTES, PASS_BYTES = 8 << 20, 1 << 20
-_TABLE_BITS = 22
-#: Bytes of a piece that is compared in one word, zeros about the texts of a pass, seeds met that are held at a time.
-PIECE, _PAD, _MOST_MET = 64, 256, 1 << 18
+#: Least length of an item, width and stride of its windows, walks, and keys that a window shares with an entry at least.
+#: Items of a class are cut into pieces of its least length.
+SIZES = ((80, 64, 16, 4, 2), (40, 32, 8, 6, 1))
+#: Share of edits at which a window passes, bytes whose windows are walked together, pairs of windows and entries held.
+LOOSE, SEGMENT, MOST_PAIRS = 0.35, 1 << 20, 1 << 21
+_TABLE_BITS, _PAD = 20, 256
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+def _symbol_classes() -> np.ndarray:
+    """Digits, letters and the space have classes of their own among 64; other bytes share the rest."""
+    out = np.arange(256) % 27 + 37
+    out[48:58], out[97:123], out[32] = np.arange(10), np.arange(10, 36), 36
+    return out.astype(np.uint64)
+
+
+_CLASS = _symbol_classes()
+
+
+def _steps(width: int) -> int:
+    """Coordinates of a walk over a window: it moves on at every second step, about."""
+    return width * 2 - 8
+
 
+@functools.lru_cache(maxsize=8)
+def _moves(walk: int, width: int) -> np.ndarray:
+    """For each step the classes at which the walk moves on, as bits."""
+    return np.random.default_rng([walk, width]).integers(0, 1 << 64, _steps(width), dtype=np.uint64)
 
-def _parts(n: np.ndarray) -> Iterator[np.ndarray]:
-    """The places of n that are not zero, in groups whose sum is about _MOST_MET."""
-    at = np.flatnonzero(n)
-    group = np.cumsum(n[at]) // _MOST_MET
-    yield from np.split(at, np.flatnonzero(np.diff(group)) + 1) if len(at) else ()
+
+def walk_keys(classes: np.ndarray, starts: np.ndarray, walk: int, width: int) -> Iterator[np.ndarray]:
+    """The keys of each window, one array for each table: `classes` of a text, windows from `starts` on."""
+    at, n, one = starts.astype(np.int64), len(starts), np.uint64(1)
+    rows = np.empty((8, n), np.uint8)
+    c, before = np.empty(n, np.uint64), None
+    for j, bits in enumerate(_moves(walk, width)):
+        np.take(classes, at, out=c, mode="clip")
+        rows[j % 8] = c
+        at += ((bits >> c) & one).view(np.int64)
+        if j % 8 == 7:
+            word = np.ascontiguousarray(rows.T).view(np.uint64).ravel()
+            if before is not None:
+                h = before * _MIX[0] ^ (word + (before >> np.uint64(29))) * _MIX[1]
+                yield h ^ h >> np.uint64(31)
+            before = word
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * _MIX[0]) >> np.uint64(64 - _TABLE_BITS)
 
 
 def normalised(text: str | None) -> bytes:
@@ -83,18 +127,6 @@ def best_match(item: bytes, region: bytes) -> tuple[int, int]:
     return best, end
 
 
-def within_one(b: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Whether the n bytes of b (7 at most, the first the lowest) are at most one edit from a beginning of t's eight."""
-    one = np.uint64(1)
-    whole = (one << (n << np.uint64(3))) - one
-    x = (b ^ t) & whole
-    low = x & (~x + one)
-    at = np.log2(np.maximum(low, one).astype(np.float64)).astype(np.uint64) >> np.uint64(3)
-    rest = whole & ~((one << (at << np.uint64(3))) - one)
-    after = whole & ~((one << ((at + one) << np.uint64(3))) - one)
-    return (x == 0) | (x & after == 0) | ((b ^ (t << np.uint64(8))) & after == 0) | ((b ^ (t >> np.uint64(8))) & rest == 0)
-
-
 def least_distances(pieces: np.ndarray, lengths: np.ndarray, regions: np.ndarray) -> np.ndarray:
     """best_match's distance of each row of pieces (at most 64 bytes, zero-padded) and of regions, all rows in step."""
     one, n = np.uint64(1), len(pieces)
@@ -129,102 +161,168 @@ def between_words(body: bytes, at: int) -> bool:
 
 
 @dataclass
+class Places:
+    """Where an item stands in a text: (start, length, distance) of each place, kept apart by its allowed edits."""
+
+    near: int
+    at: list[tuple[int, int, int]] = field(default_factory=list)
+
+    def add(self, start: int, length: int, distance: int) -> None:
+        for j, (s, _, d) in enumerate(self.at):
+            if abs(s - start) <= self.near:
+                if (distance, start) < (d, s):
+                    self.at[j] = (start, length, distance)
+                return
+        self.at.append((start, length, distance))
+
+    def row(self) -> tuple[int, int, int, int]:
+        """places, start and length of the first, least distance"""
+        start, length, _ = min(self.at)
+        return len(self.at), start, length, min(d for _, _, d in self.at)
+
+
+@dataclass
+class Tables:
+    """The entries of one class of lengths: windows of items by the keys of every walk and run."""
+
+    width: int
+    stride: int
+    walks: int
+    shared: int
+    #: Of each entry: its item and the place of the window there.
+    item: np.ndarray
+    offset: np.ndarray
+    #: For each table: flags of hashes, sorted keys, and the entry of each.
+    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 class Items:
-    """A block of the benchmark with its seeds and pieces."""
-
-    ids: list
-    bodies: list[bytes]
-    edits: float = EDITS
-    #: Of each seed: its item, its place and length there, its piece, and the half beside it as bytes away from it.
-    seed: np.ndarray = field(init=False)
-    beside: np.ndarray = field(init=False)
-    #: Of each piece: where it begins and how long it is in `flat`, its place in the item, the edits it may have.
-    piece: np.ndarray = field(init=False)
-    flat: np.ndarray = field(init=False)
-    #: By length of a seed: flags of hashes, the sorted bytes of seeds, their numbers.
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
-    #: Short items by their bytes; by length of their beginnings: flags, sorted beginnings, lengths of items for each.
-    short: dict[bytes, list[int]] = field(init=False)
-    heads: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = field(init=False)
-
-    def __post_init__(self) -> None:
-        seeds, pieces, beside, by_size, at = [], [], [], {}, 0
-        self.short, self.heads, lengths = {}, {}, {}
-        for i, b in enumerate(self.bodies):
-            if len(b) < LEAST_ITEM:
-                self.short.setdefault(b, []).append(i)
-                at += len(b)
-                continue
-            m = self.allowed(i) // 2 * 2 + 2
-            cuts = [len(b) * j // m for j in range(m + 1)]
-            pairs = max(1, PIECE // max(cuts[j + 2] - cuts[j] for j in range(0, m, 2)))
-            for j in range(m):
-                if j % (2 * pairs) == 0:
-                    last = min(m, j + 2 * pairs)
-                    pieces.append((at + cuts[j], cuts[last] - cuts[j], cuts[j], last - j - 1))
-                s, e = cuts[j], cuts[j + 1]
-                size = min(8, e - s)
-                half = b[cuts[j + 1] : cuts[j + 2]][:7] if j % 2 == 0 else b[cuts[j - 1] : s][::-1][:7]
-                by_size.setdefault(size, []).append((int.from_bytes(b[s : s + size], "little"), len(seeds)))
-                beside.append(int.from_bytes(half, "little"))
-                seeds.append((i, s, e - s, len(pieces) - 1, j % 2, len(half)))
-            at += len(b)
-        self.seed, self.piece = np.array(seeds, np.int64).reshape(-1, 6), np.array(pieces, np.int64).reshape(-1, 4)
-        self.beside = np.array(beside, np.uint64)
-        self.flat = np.frombuffer(b"".join(self.bodies) + bytes(PIECE), np.uint8)
-        self.tables = {}
-        for size, members in by_size.items():
-            keys, number = np.array([k for k, _ in members], np.uint64), np.array([n for _, n in members])
-            order = np.argsort(keys, kind="stable")
-            flags = np.zeros(1 << _TABLE_BITS, bool)
-            flags[_slot(keys)] = True
-            self.tables[size] = flags, keys[order], number[order]
-        for b in self.short:
-            head = b[:8]
-            lengths.setdefault(len(head), {}).setdefault(int.from_bytes(head, "little"), set()).add(len(b))
-        for size, heads in lengths.items():
-            keys, flags = np.array(sorted(heads), np.uint64), np.zeros(1 << _TABLE_BITS, bool)
-            flags[_slot(keys)] = True
-            self.heads[size] = flags, keys, [sorted(heads[k]) for k in sorted(heads)]
+    """A block of the benchmark: what workers get is ids and texts, and each builds the tables on first use."""
+
+    def __init__(self, ids: list, bodies: list[bytes], edits: float = EDITS):
+        self.ids, self.bodies, self.edits = ids, bodies, edits
+        self._built = False
+
+    def __getstate__(self):
+        return self.ids, self.bodies, self.edits
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def allowed(self, i: int) -> int:
         return int(self.edits * len(self.bodies[i]))
 
-    def windows_of(self, bodies: list[bytes]) -> list[list[tuple[int, int]]]:
-        """For each text (item, start) of every place where the item may stand, one at least within the allowed edits of it."""
-        out: list[list[tuple[int, int]]] = [[] for _ in bodies]
+    def build(self) -> None:
+        if self._built:
+            return
+        pad = bytes(_PAD)
+        self.begin = np.cumsum([_PAD] + [len(b) + _PAD for b in self.bodies])
+        self.size = np.array([len(b) for b in self.bodies], np.int64)
+        self.flat = np.frombuffer(pad + b"".join(b + pad for b in self.bodies), np.uint8)
+        classes, self.tables, most = _CLASS[self.flat], [], None
+        for least, width, stride, walks, shared in SIZES:
+            entries = []
+            for i, b in enumerate(self.bodies):
+                if len(b) >= least and (most is None or len(b) < most):
+                    pieces = len(b) // least
+                    firsts = [len(b) * p // pieces for p in range(pieces)]
+                    entries += [(i, first + shift) for first in firsts for shift in range(stride)]
+            most = least
+            if not entries:
+                continue
+            item, offset = np.array(entries, np.int64).T
+            keys = []
+            for walk in range(walks):
+                for k in walk_keys(classes, self.begin[item] + offset, walk, width):
+                    order, flags = np.argsort(k, kind="stable"), np.zeros(1 << _TABLE_BITS, bool)
+                    flags[_slot(k)] = True
+                    keys.append((flags, k[order], order.astype(np.int32)))
+            self.tables.append(Tables(width, stride, walks, shared, item, offset, keys))
+        self.short: dict[bytes, list[int]] = {}
+        self.heads: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = {}
+        lengths: dict[int, dict[int, set[int]]] = {}
+        for i, b in enumerate(self.bodies):
+            if len(b) < LEAST_ITEM:
+                self.short.setdefault(b, []).append(i)
+                lengths.setdefault(min(8, len(b)), {}).setdefault(int.from_bytes(b[:8], "little"), set()).add(len(b))
+        for size, heads in lengths.items():
+            known, flags = np.array(sorted(heads), np.uint64), np.zeros(1 << _TABLE_BITS, bool)
+            flags[_slot(known)] = True
+            self.heads[size] = flags, known, [sorted(heads[k]) for k in sorted(heads)]
+        self._built = True
+
+    def met(self, x: np.ndarray, t: Tables) -> np.ndarray:
+        """(item, start of the item) of each window of x that shares keys with an entry and is like it."""
+        out = [np.zeros((0, 2), np.int64)]
+        step = t.stride * max(256, MOST_PAIRS * 256 // len(t.item))
+        for first in range(_PAD, len(x) - _PAD, min(step, SEGMENT)):
+            last = min(first + min(step, SEGMENT), len(x) - _PAD)
+            classes = _CLASS[x[first : last + 2 * t.width]]
+            out.append(self.like(x, t, *self.sharing(classes, np.arange(0, last - first, t.stride), t), first))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def sharing(self, classes: np.ndarray, starts: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+        """Windows by their starts, and entries that share t.shared keys with them."""
+        tables, found, total = iter(t.keys), [], 0
+        for walk in range(t.walks):
+            for k in walk_keys(classes, starts, walk, t.width):
+                flags, keys, entry = next(tables)
+                at = np.flatnonzero(flags[_slot(k)])
+                lo, hi = np.searchsorted(keys, k[at], "left"), np.searchsorted(keys, k[at], "right")
+                met = hi > lo
+                at, lo, n = at[met], lo[met], (hi - lo)[met]
+                total += int(n.sum())
+                if total > MOST_PAIRS and len(starts) > 64:  # texts of one symbol and the like: fewer windows at a time
+                    half = len(starts) // 2
+                    parts = [self.sharing(classes, part, t) for part in (starts[:half], starts[half:])]
+                    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                e = entry[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+                found.append(np.repeat(at, n) * len(t.item) + e)
+        pairs = np.sort(np.concatenate(found))
+        pairs = np.unique(pairs[t.shared - 1 :][pairs[t.shared - 1 :] == pairs[: len(pairs) - t.shared + 1]])
+        at, e = np.divmod(pairs, len(t.item))
+        return starts[at], e
+
+    def like(self, x: np.ndarray, t: Tables, at: np.ndarray, e: np.ndarray, first: int) -> np.ndarray:
+        """(item, start of the item) of the windows within LOOSE of their entries."""
+        i, p = t.item[e], at + first
+        passed, slack = np.zeros(len(e), bool), t.width // 4
+        for a in range(0, len(e), 4096):
+            s = slice(a, a + 4096)
+            size = np.minimum(t.width, self.size[i[s]] - t.offset[e[s]])
+            pieces = self.flat[(self.begin[i[s]] + t.offset[e[s]])[:, None] + np.arange(t.width)] * (np.arange(t.width) < size[:, None])
+            regions = x[np.clip((p[s] - slack)[:, None] + np.arange(t.width + 2 * slack), 0, len(x) - 1)]
+            passed[s] = least_distances(pieces, size, regions) <= LOOSE * size
+        return np.unique(np.stack([i[passed], p[passed] - t.offset[e[passed]] - _PAD], 1), axis=0)
+
+    def edited_places(self, bodies: list[bytes], found: list[dict[int, Places]]) -> None:
+        """Adds to found the places of items of LEAST_ITEM bytes or more."""
         begin = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bodies])])
         x = np.frombuffer(bytes(_PAD) + b"\0".join(bodies) + bytes(_PAD), np.uint8)
-        words = np.ndarray((len(x) - 7,), "<u8", x.data, 0, (1,))
-        text, found = words[_PAD : _PAD + begin[-1]].astype(np.uint64), []
-        for size, (flags, keys, number) in self.tables.items():
-            h = text & np.uint64((1 << 8 * size) - 1)
-            pos = np.flatnonzero(flags[_slot(h)])
-            h = h[pos]
-            lo = np.searchsorted(keys, h, "left")
-            n = np.searchsorted(keys, h, "right") - lo
-            for part in _parts(n):
-                k, first = n[part], lo[part]
-                entry = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
-                p, seeds = np.repeat(pos[part], k), number[entry]
-                side = self.seed[seeds, 4] == 0
-                near = np.where(side, p + self.seed[seeds, 2], p - 8) + _PAD
-                t = words[np.minimum(near, len(words) - 1)].astype(np.uint64)
-                t = np.where(side, t, t.byteswap())
-                ok = within_one(self.beside[seeds], self.seed[seeds, 5].astype(np.uint64), t)
-                p, seeds = p[ok], seeds[ok]
-                found.append(np.stack([self.seed[seeds, 3], p - self.seed[seeds, 1], self.seed[seeds, 0]], 1))
-        found = np.unique(np.concatenate(found or [np.zeros((0, 3), np.int64)]), axis=0)
-        kept = [part[self.near(x, part)] for part in (found[i : i + 4096] for i in range(0, len(found), 4096))]
-        for _, start, i in np.concatenate(kept or [found]).tolist():
-            # a start before a text can only be that of its item by edits at the beginning
-            d = int(np.searchsorted(begin, max(start, 0) + self.allowed(i), "right")) - 1
-            for e in {int(np.searchsorted(begin, max(start, 0), "right")) - 1, min(d, len(bodies) - 1)}:
-                if start - begin[e] < len(bodies[e]):
-                    out[e].append((i, max(0, start - int(begin[e]))))
-        return [sorted(set(w)) for w in out]
-
-    def exact_places(self, bodies: list[bytes], found: list[dict[int, tuple[int, int, int, int]]]) -> None:
+        for t in self.tables:
+            rows, at = self.met(x, t).tolist(), 0
+            while at < len(rows):  # starts within the edits of the first are verified together
+                i, start = rows[at]
+                last, k = start, self.allowed(i)
+                while at < len(rows) and rows[at][0] == i and rows[at][1] - start <= k:
+                    last = rows[at][1]
+                    at += 1
+                # a start before a text can only be that of its item by edits at the beginning
+                ends = {int(np.searchsorted(begin, max(s, 0), "right")) - 1 for s in (start, last, last + k)}
+                for d in {min(e, len(bodies) - 1) for e in ends}:
+                    s, e = start - int(begin[d]), last - int(begin[d])
+                    if s < len(bodies[d]):
+                        self.verify(bodies[d], max(0, s), max(0, e), i, found[d])
+
+    def verify(self, body: bytes, start: int, last: int, i: int, found: dict[int, Places]) -> None:
+        k, n = self.allowed(i), len(self.bodies[i])
+        first = max(0, start - k)
+        distance, end = best_match(self.bodies[i], body[first : last + n + k])
+        if distance <= k:
+            at = first + max(0, end - n)
+            found.setdefault(i, Places(k)).add(at, first + end - at, distance)
+
+    def exact_places(self, bodies: list[bytes], found: list[dict[int, Places]]) -> None:
         """Adds to found the places of the short items."""
         if not self.heads:
             return
@@ -252,56 +350,20 @@ class Items:
                     clear = between_words(body, at) if clear is None else clear
                     if clear and between_words(body, at + n):
                         for i in items:
-                            seen, s, length, _ = found[d].get(i, (0, at, n, 0))
-                            found[d][i] = (seen + 1, s, length, 0)
-
-    def near(self, x: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Whether the piece of each (piece, start of the item, item) is within its edits somewhere about its place."""
-        at, size, place, edits = self.piece[found[:, 0]].T
-        width, most = int(min(size.max(), PIECE)), int(edits.max())
-        short = size <= PIECE
-        pieces = self.flat[np.minimum(at[:, None] + np.arange(width), len(self.flat) - 1)] * (np.arange(width) < size[:, None])
-        columns = (found[:, 1] + place - edits + _PAD)[:, None] + np.arange(width + 2 * most)
-        regions = x[np.clip(columns, 0, len(x) - 1)]
-        return ~short | (least_distances(pieces, np.minimum(size, PIECE), regions) <= edits)
+                            found[d].setdefault(i, Places(0)).add(at, n, 0)
 
     def search(self, bodies: list[bytes]) -> list[dict[int, tuple[int, int, int, int]]]:
         """For each text: item -> (places, first start, its length, least distance)."""
-        found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in bodies]
+        self.build()
+        found: list[dict[int, Places]] = [{} for _ in bodies]
         first, size = 0, 0
         for last, body in enumerate(bodies, 1):
             size += len(body)
             if size >= PASS_BYTES or last == len(bodies):
-                for d, windows in enumerate(self.windows_of(bodies[first:last]), first):
-                    self.verify_all(bodies[d], windows, found[d])
-                part: list[dict[int, tuple[int, int, int, int]]] = found[first:last]
-                self.exact_places(bodies[first:last], part)
+                self.edited_places(bodies[first:last], found[first:last])
+                self.exact_places(bodies[first:last], found[first:last])
                 first, size = last, 0
-        return found
-
-    def verify_all(self, body: bytes, windows: list[tuple[int, int]], found: dict[int, tuple[int, int, int, int]]) -> None:
-        """Starts of an item that lie within its edits of the first are verified together."""
-        at = 0
-        while at < len(windows):
-            i, start = windows[at]
-            last = start
-            while at < len(windows) and windows[at][0] == i and windows[at][1] - start <= self.allowed(i):
-                last = windows[at][1]
-                at += 1
-            self.verify(body, start, i, found, last)
-
-    def verify(self, body: bytes, start: int, i: int, found: dict[int, tuple[int, int, int, int]], last: int = 0) -> None:
-        k, n = self.allowed(i), len(self.bodies[i])
-        first = max(0, start - k)
-        distance, end = best_match(self.bodies[i], body[first : max(start, last) + n + k])
-        if distance > k:
-            return
-        at = first + max(0, end - n)
-        if i in found and abs(found[i][1] - at) <= k:
-            found[i] = (*found[i][:3], min(found[i][3], distance))
-        else:
-            seen, s, length, least = found.get(i, (0, at, end - at, distance))
-            found[i] = (seen + 1, s, length, min(least, distance))
+        return [{i: p.row() for i, p in f.items()} for f in found]
 
 
 def item_blocks(benchmark: DataFrame, edits: float = EDITS, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
@@ -312,7 +374,7 @@ def item_blocks(benchmark: DataFrame, edits: float = EDITS, block_bytes: int = B
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).collect()
         part = [(r["item"], normalised(r["text"])) for r in part]
-        part = sorted(((i, t) for i, t in part if t), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        part = sorted(((i, t) for i, t in part if t), key=lambda x: (x[0] is not None, *([x[0]] if x[0] is not None else []), x[1]))
         if part:
             yield Items([i for i, _ in part], [t for _, t in part], edits)
 
@@ -340,25 +402,30 @@ def searched(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[tuple[
         yield from flush()
 
 
-HITS = "item_id long, places int, start long, length long, distance int"
+def _shared(docs: DataFrame, items: Items):
+    """The block as a broadcast value: a worker that runs several tasks builds its tables once."""
+    return docs.sparkSession.sparkContext.broadcast(items)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, places, start, length, distance) of each document and item that it holds; start and
-    length are bytes of the normalised text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {HITS}")
+    length are bytes of the normalised text, those of the first place, and distance is the least of all."""
+    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item_kind}, places int, start long, length long, distance int"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    out = docs.sparkSession.createDataFrame([], schema)
     for items in item_blocks(benchmark, edits, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=_shared(docs, items)) -> Iterator[pa.RecordBatch]:
+            items = block.value
             for b, found in searched(batches, items):
                 rows = [(d, items.ids[i], *x) for d, hits in zip(b.column("doc_id").to_pylist(), found, strict=True) for i, x in sorted(hits.items())]
                 if rows:
                     cols = [list(c) for c in zip(*rows, strict=True)]
-                    types = (b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                    types = (b.schema.field("doc_id").type, item_type, pa.int32(), pa.int64(), pa.int64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "places", "start", "length", "distance"])
 
-        out = out.union(map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, {HITS}"))
+        out = out.union(map_rows(docs.select("doc_id", "text"), run, schema))
     return out
 
 
@@ -366,8 +433,8 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, bl
     """The rows of docs, all columns, that hold no item of the benchmark."""
     for items in item_blocks(benchmark, edits, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b, found in searched(batches, items):
+        def run(batches: Iterator[pa.RecordBatch], block=_shared(docs, items)) -> Iterator[pa.RecordBatch]:
+            for b, found in searched(batches, block.value):
                 yield b.filter(pa.array([not x for x in found], pa.bool_()))
 
         docs = map_rows(docs, run, docs.schema)
