@@ -8,13 +8,14 @@ An n-gram belongs to a language whose relative frequency of it is at least a sha
 frequency in any language, so texts of mixed languages in the training rows do not make filters alike. The
 training rows are a bounded sample per language (by hash of the id); counts and lookups use whole texts.
 
-Null texts and texts without a letter are `und` with score 0, and so is every text where nothing was learned.
-Ties go to the language that sorts first. Repeated rows are scored each. Other columns are never read.
+A letter is what Unicode calls alphabetic; numerals, superscripts and fractions are none. Null texts and texts without
+a letter are `und` with score 0, and so is every text where nothing was learned. Ties go to the language that sorts
+first. Very long texts are counted in parts that share their n-grams' overlap, so memory does not grow with a text.
+Repeated rows are scored each. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,18 +34,26 @@ GRAMS, SHARE = 20_000, 0.35
 SIZES = (3, 4)
 #: log2 of the filter's slots, and hashes per n-gram.
 SLOT_BITS, HASHES = 18, 3
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def code_points(text: str) -> np.ndarray:
-    """Lower-case letters; a run of anything else is one space, and so are both ends."""
-    x = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+def code_points(text: str, first: bool = True, last: bool = True, after_letter: bool = True) -> np.ndarray:
+    """Lower-case letters; a run of anything else is one space, and so are both ends of a text."""
+    x = np.frombuffer((" " * first + text.lower() + " " * last).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _is_letter(x)
-    keep = letter | np.concatenate([[True], letter[:-1]])
+    keep = letter | np.concatenate([[first or after_letter], letter[:-1]])[: len(x)]
     return np.where(letter, x, 32)[keep].astype(np.uint64)
 
 
+def parts(text: str, size: int = CHUNK_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A text's code points in parts, each with the last ones before it."""
+    before = np.zeros(0, np.uint64)
+    for i in range(0, max(len(text), 1), size):
+        x = code_points(text[i : i + size], i == 0, i + size >= len(text), not len(before) or before[-1] != 32)
+        yield before, x
+        before = np.concatenate([before, x])[-(max(SIZES) - 1) :]
+
+
 def _is_letter(x: np.ndarray) -> np.ndarray:
     out = (x >= 97) & (x <= 122)
     high = np.flatnonzero(x >= 128)
@@ -83,38 +92,59 @@ class Filters:
             out &= self.masks[slots(h, k, self.bits)]
         return out
 
-    def counts(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(documents x languages) n-grams that each language contains, and n-grams per document."""
-        total, hits = np.zeros(len(docs)), np.zeros((len(docs), len(self.languages)))
+    def counts(self, docs: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of parts (document, before, code points): (documents x languages) n-grams that each language contains, and
+        n-grams per document."""
+        total, hits = np.zeros(n), np.zeros((n, len(self.languages)))
+        owner = np.array([i for i, _, _ in docs], np.int64)
         for size in SIZES:
-            found = [grams(d, size) for d in docs]
-            lengths = np.array([len(g) for g in found])
-            total += lengths
+            found = [grams(np.concatenate([before[-(size - 1) :], x]), size) for _, before, x in docs]
+            lengths = np.array([len(g) for g in found], np.int64)
+            np.add.at(total, owner, lengths)
             masks = self.lookup(np.concatenate(found)) if len(found) else np.zeros((0, self.masks.shape[1]), np.uint64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             for i in range(len(self.languages)):
                 bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
                 sums = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
-                hits[:, i] += sums[starts[1:]] - sums[starts[:-1]]
+                np.add.at(hits[:, i], owner, sums[starts[1:]] - sums[starts[:-1]])
         return hits, total
 
     def predict(self, found: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [i for i, t in enumerate(found) if t and _LETTER.search(t)]
         names, scores = ["und"] * len(found), [0.0] * len(found)
-        if not known or not self.languages:
+        if not self.languages:
             return names, scores
-        hits, total = self.counts([code_points(found[i]) for i in known])
+        hits, total, known = np.zeros((len(found), len(self.languages))), np.zeros(len(found)), set()
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def count() -> None:
+            nonlocal hits, total
+            more = self.counts(held, len(found))
+            hits, total = hits + more[0], total + more[1]
+            held.clear()
+
+        for i, text in enumerate(found):
+            for before, x in parts(text or ""):
+                if (x != 32).any():
+                    known.add(i)
+                held.append((i, before, x))
+                size += len(x)
+                if size >= CHUNK_CHARS:
+                    count()
+                    size = 0
+        if held:
+            count()
         n = np.maximum(total, 1)[:, None]
         share = np.clip((hits / n - self.false_rates) / (1 - self.false_rates), 0, 1)
         best = share.argmax(1)
         sharp = (share + 1e-6) ** 4
-        p = sharp[np.arange(len(known)), best] / sharp.sum(1)
-        for j, i in enumerate(known):
-            names[i], scores[i] = self.languages[best[j]], float(min(1.0, p[j]))
+        p = sharp[np.arange(len(found)), best] / sharp.sum(1)
+        for i in known:
+            names[i], scores[i] = self.languages[best[i]], float(min(1.0, p[i]))
         return names, scores
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = GRAMS, bits: int = SLOT_BITS, fold: int = 4, rest: int = 2) -> Filters:
+def train(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = GRAMS, bits: int = SLOT_BITS, fold: int = 4, rest: int = 2, least_share: float = SHARE) -> Filters:
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", fold, rest))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -127,10 +157,10 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = GRAMS, bits: i
         out: dict[str, Counter] = {}
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                x = code_points(text)
-                for size in SIZES:
-                    h, n = np.unique(grams(x, size), return_counts=True)
-                    out.setdefault(lang, Counter()).update(dict(zip(h.view(np.int64).tolist(), n.tolist(), strict=True)))
+                for before, x in parts(text):
+                    for size in SIZES:
+                        h, n = np.unique(grams(np.concatenate([before[-(size - 1) :], x]), size), return_counts=True)
+                        out.setdefault(lang, Counter()).update(dict(zip(h.view(np.int64).tolist(), n.tolist(), strict=True)))
         for lang, c in out.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["lang", "h", "n"])
 
@@ -140,7 +170,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = GRAMS, bits: i
     languages = sorted(sizes)
     masks = np.zeros((1 << bits, (len(languages) + 63) // 64), np.uint64)
     highest = top.groupby("h")["f"].transform("max")
-    top = top[top["f"] >= SHARE * highest]
+    top = top[top["f"] >= least_share * highest]
     for i, lang in enumerate(languages):
         h = top.loc[top["lang"] == lang, "h"].to_numpy(np.int64).view(np.uint64)
         for k in range(HASHES):
@@ -154,13 +184,7 @@ def language_id(docs: DataFrame, model: Filters, fold: int = 4, rest: int = 2) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = b.column("text").to_pylist()
-            names, scores, at, held = [], [], 0, 0
-            for i, t in enumerate(found):
-                held += len(t or "")
-                if held >= CHUNK_CHARS or i == len(found) - 1:
-                    x, y = model.predict(found[at : i + 1])
-                    names, scores, at, held = names + x, scores + y, i + 1, 0
+            names, scores = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

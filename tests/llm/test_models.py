@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -77,4 +80,48 @@ def test_filters_return_every_language_of_a_gram():
         f.masks[langid.slots(h[:3], k, 12), 0] |= np.uint64(1)
         f.masks[langid.slots(h[1:4], k, 12), 0] |= np.uint64(2)
     assert [int(m) & 3 for m in f.lookup(h[:4])[:, 0]] == [1, 3, 3, 2]
-    assert f.predict([None, "", "12 !", "xyz"])[0][:3] == ["und"] * 3
+    assert f.predict([None, "", "12 !", "²³ ½ Ⅷ _"])[0] == ["und"] * 4 and f.predict(["é", "漢"])[0] == ["a", "a"]
+
+
+def test_parts_hold_every_gram_once():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab É1 -") for _ in range(rng.randrange(40)))
+        for size in langid.SIZES:
+            whole = langid.grams(langid.code_points(text), size).tolist()
+            cut = [g for before, x in langid.parts(text, 7) for g in langid.grams(np.concatenate([before[-(size - 1) :], x]), size).tolist()]
+            assert cut == whole, text
+
+
+def test_language_against_brute_force(spark):
+    """The whole query on a small table, with sets of n-grams in place of the filter."""
+    rng = random.Random(8)
+    letters = {"xx": "abcdefgh", "yy": "efghijkl", "zz": "mnopqé"}
+    rows = [(i, " ".join("".join(rng.choice(letters[g]) for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(1, 40))), g) for i in range(90) for g in [rng.choice(list(letters))]]
+    rows += [(200, None, "xx"), (201, "", "yy"), (202, "12 ²½Ⅷ", "zz"), (203, "ABCD efgh", None), (204, "abcabc " * 80_000, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def counted(t: str) -> Counter:
+        kept = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        kept = re.sub(" +", " ", kept)
+        return Counter(kept[i : i + n] for n in langid.SIZES for i in range(len(kept) - n + 1))
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    known: dict[str, Counter] = {}
+    for d, t, g in rows:
+        if t is not None and g and not held(d):
+            known.setdefault(g, Counter()).update(counted(t))
+    freq = {g: {k: n / c.total() for k, n in c.items()} for g, c in known.items()}
+    of = {g: {k for k, v in f.items() if v >= langid.SHARE * max(o.get(k, 0) for o in freq.values())} for g, f in freq.items()}
+    for r in langid.language_id(docs, langid.train(docs)).collect():
+        t = next(t for d, t, _ in rows if d == r.doc_id) or ""
+        assert r.held_out == held(r.doc_id)
+        if not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        c = counted(t)
+        share = {g: sum(n for k, n in c.items() if k in of[g]) / c.total() for g in sorted(of)}
+        best = max(share.values())
+        assert best - share[r.lang_pred] < 0.01, (t, share, r.lang_pred)
+        p = (best + 1e-6) ** 4 / sum((v + 1e-6) ** 4 for v in share.values())
+        assert abs(r.score - p) < 0.1
