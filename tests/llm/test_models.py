@@ -65,6 +65,35 @@ def test_toxic_documents_are_found(spark):
     assert all(r.toxic == (r.doc_id % 5 == 0) and (r.grade > 0) == r.toxic and 0 <= r.severity <= 3 for r in rows)
 
 
+def test_toxicity_on_held_out_documents(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, toxicity.train(docs, marks)).join(marks.select("doc_id", "toxic").withColumnRenamed("toxic", "y"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [(r.toxic, r.y == 1) for r in rows if r.held_out]
+    assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.95
+    caught = [a for a, b in held if b]
+    assert np.mean(caught) >= 0.6  # a handful of documents here; the README has the figures of a larger table
+
+
+def test_toxicity_against_brute_force(spark):
+    """The whole query on a small table: the model's features counted by loops, its likelihood by definition."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", *(["grolmish", "snarvix"] * (i % 4 == 0))]) for _ in range(rng.randrange(3, 30)))) for i in range(300)] + [(900, None), (901, ""), (902, "grolmish " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    said = dict(rows)
+    for r in toxicity.toxicity(docs, model).collect():
+        words = re.findall(r"[^\W\d_]+", (said[r.doc_id] or "").lower())
+        all_features = Counter(f for w in words for f in [w, *(w[:k] + "-" for k in toxicity.BEGINNINGS if len(w) > k)])
+        z = sum(model.weights[i] * (1 + np.log(all_features[f])) for f, i in model.words.items() if all_features[f])
+        p = [1 / (1 + np.exp(min(30, max(-30, b - z)))) for b in model.bounds]
+        assert np.isclose(r.severity, sum(p)) and np.isclose(r.p_toxic, p[0]) and r.grade == sum(x >= 0.5 for x in p)
+        assert r.toxic == (r.p_toxic >= 0.5) and (list(model.bounds) == sorted(model.bounds))
+        if r.doc_id < 300:
+            assert r.toxic == ("grolmish" in words or "snarvix" in words)
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.language_id(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
