@@ -1,18 +1,20 @@
 """Personal data by fixed patterns, and more of it by bootstrapped contextual extraction.
 
-One pass finds the base spans of each whole text and, as candidates, every other identifier-like token (letters
-or digits, at least LEAST_DIGITS digits, up to MOST_LENGTH characters). Each base span and candidate is an
-instance in up to four lexical patterns: the one or two words before it, alone or with the word after it,
-digits masked. The distinct (pattern, instance) pairs are a bipartite graph; base instances are its seeds, with
+One pass finds the base spans of each whole text and, as candidates, every other token that holds a digit, of any
+length. Each base span and candidate is an instance in up to four lexical patterns: the one or two words before it,
+alone or with the word after it, digits masked (of a word that begins or ends more than REACH code points away, the
+part within counts). The distinct (pattern, instance) pairs are a bipartite graph; base instances are its seeds, with
 confidence 1. In each of ROUNDS rounds Spark scores a pattern by the mean confidence of its distinct instances
 (two unknown instances are added to each mean, so rare patterns score low) and a candidate by the noisy-or
 of its patterns above half a point. An instance of confidence KNOWN or more is a seed of the next round, so that
-identifiers found in one context make others known, up to ROUNDS - 1 contexts away from a base span. A pattern with
+identifiers found in one context make others known, up to ROUNDS - 1 contexts away from a base span; candidates with
+fewer than SEED_DIGITS digits, as page numbers, are found in trusted patterns but seed none. A pattern with
 at least LEAST_SEEDS distinct seeds and a final score of LEAST_SCORE is trusted: the candidates it holds become spans
 of kind `context`.
 
-Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are scanned each, repeated or
-not. Joins on patterns and instances are of distinct pairs, split by adaptive execution where a pattern is hot.
+Offsets are code points, ends exclusive. Null and empty texts have no spans. Very long texts are scanned whole, in
+one pass over their digits. Rows are scanned each, repeated or not; instances that tie count alike. Joins on patterns
+and instances are of distinct pairs, split by adaptive execution where a pattern is hot.
 An empty table gives an empty result. Other columns are never read.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +46,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._/#:-")
 _TOKEN_REST, _TOKEN_ENDS = re.compile(r"[A-Za-z0-9._/#:-]+"), "._/#:-"
-LEAST_DIGITS, MOST_LENGTH = 5, 40
+#: Digits from which a candidate that is found may seed further patterns.
+SEED_DIGITS = 5
 ROUNDS, LEAST_SEEDS, LEAST_SCORE = 3, 3, 0.7
 #: Confidence from which an instance counts as a seed.
 KNOWN = 0.7
@@ -92,7 +96,13 @@ _DIGIT_RUN = re.compile(r"[0-9]")
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Identifier-like tokens that overlap no base span, wherever they stand in a run without white space."""
-    out, i, spans = [], 0, sorted((s, e) for s, _, e in base)
+    out, starts, ends = [], [], []  # the union of the base spans
+    for s, _, e in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     seen = 0
     for d in _DIGIT_RUN.finditer(text):
         if d.start() < seen:
@@ -103,13 +113,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         seen = right
         word = text[left:right].lstrip(_TOKEN_ENDS)
         s = right - len(word)
-        word = word.rstrip(_TOKEN_ENDS)
-        e = s + len(word)
-        if e - s > MOST_LENGTH or len(_NOT_DIGIT.sub("", word)) < LEAST_DIGITS:
-            continue
-        while i < len(spans) and spans[i][1] <= s:
-            i += 1
-        if not any(a < e and s < b for a, b in spans[i : i + 4]):
+        e = s + len(word.rstrip(_TOKEN_ENDS))
+        i = bisect_left(starts, e) - 1
+        if i < 0 or ends[i] <= s:
             out.append((s, e))
     return out
 
@@ -136,10 +142,10 @@ def _hash(s: str) -> int:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, uid, base array<struct<start, kind, end>>, seen array<struct<start, end, seed, instance, patterns>>)."""
-    schema = "base array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,end:long,seed:boolean,instance:long,patterns:array<long>>>"
+    """(doc_id, uid, base array<struct<start, kind, end>>, seen array<struct<start, end, seed, able, instance, patterns>>)."""
+    schema = "base array<struct<start:long,kind:int,end:long>>, seen array<struct<start:long,end:long,seed:boolean,able:boolean,instance:long,patterns:array<long>>>"
     base_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    seen_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
+    seen_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("able", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +155,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows = []
                 for s, e, seed in [(s, e, True) for s, _, e in found] + [(s, e, False) for s, e in candidates(t, found)]:
                     if p := patterns(t, s, e):
-                        rows.append({"start": s, "end": e, "seed": seed, "instance": _hash(t[s:e]), "patterns": [_hash(x) for x in p]})
+                        rows.append({"start": s, "end": e, "seed": seed, "able": seed or len(_NOT_DIGIT.sub("", t[s:e])) >= SEED_DIGITS, "instance": _hash(t[s:e]), "patterns": [_hash(x) for x in p]})
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
                 seen.append(rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, base_type), pa.array(seen, seen_type)], ["doc_id", "base", "seen"])
@@ -160,14 +166,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, known: float = KNOWN) -> DataFrame:
-    """The patterns (p) that the bootstrap trusts, from rows (p, instance, seed)."""
-    edges = stored(seen.groupBy("p", "instance").agg(F.max("seed").alias("seed")), "edges")
+    """The patterns (p) that the bootstrap trusts, from rows (p, instance, seed, able)."""
+    edges = stored(seen.groupBy("p", "instance").agg(F.max("seed").alias("seed"), F.max("able").alias("able")), "edges")
     sizes = stored(edges.groupBy("p").agg(F.count("*").alias("n")), "sizes")
     base = stored(edges.filter("seed").select("instance").distinct().withColumn("conf", F.lit(1.0)), "base")
     conf = base
     for i in range(rounds):
         # instances without confidence count in n only, and patterns that hold none with some score 0
-        held = edges.join(conf, "instance").groupBy("p").agg(F.sum("conf").alias("total"), F.sum((F.col("conf") >= known).cast("int")).alias("seeds"))
+        held = edges.join(conf, "instance").groupBy("p").agg(F.sum(F.when(F.col("able"), F.col("conf")).otherwise(0.0)).alias("total"), F.sum(((F.col("conf") >= known) & F.col("able")).cast("int")).alias("seeds"))
         score = stored(held.join(sizes, "p").select("p", (F.col("total") / (F.col("n") + 2)).alias("score"), "seeds"), "score")
         if i == rounds - 1:
             return score.filter((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds)).select("p")
@@ -180,8 +186,8 @@ def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = L
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans."""
     rows = stored(scan(docs, id_col, text_col), "scan")
-    seen = rows.select("uid", F.explode("seen").alias("x")).select("uid", "x.start", "x.end", "x.seed", "x.instance", F.explode("x.patterns").alias("p"))
-    trusted = trusted_patterns(seen.select("p", "instance", "seed"))
+    seen = rows.select("uid", F.explode("seen").alias("x")).select("uid", "x.start", "x.end", "x.seed", "x.able", "x.instance", F.explode("x.patterns").alias("p"))
+    trusted = trusted_patterns(seen.select("p", "instance", "seed", "able"))
     more = seen.filter(~F.col("seed")).join(trusted, "p").groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more"))
     out = rows.select("doc_id", "uid", "base").join(more, "uid", "left")
     names = F.array(*map(F.lit, (*KINDS, "context")))
