@@ -3,20 +3,29 @@
 Base kinds are patterns. Beside them, every run of 20 or more characters of the base-64 alphabets is put to a
 battery of randomness tests: the encoding is inferred (hex of either case, base 32, digits, letters or both of either
 case or mixed, base 64; runs with separators that lack one of digits, upper and lower case are tested with their
-separators removed; whatever is left is taken for base 64, so no run goes untested), then the uniformity of its alphabet (chi-squared), the runs about the middle symbol and the serial correlation
-of neighbours are tested. Each run's coincidences also give a p-value against the hypothesis of text-like
-characters, whose power grows with the length; Benjamini-Hochberg holds the share of false discoveries down
-within each class of lengths, over all runs of the corpus. A run is a secret (kind `random`) if text is rejected
-there, no test of the battery rejects randomness, and no base span overlaps it.
+separators removed; whatever is left is taken for base 64, so no run goes untested), then
+
+* the uniformity of its alphabet: chi-squared, as the number of equal pairs of characters, whose mean, variance and
+  third moment under randomness are exact for each length and alphabet (Pearson's third type fits them);
+* the runs about the middle symbol, given how many characters are above it;
+* the serial correlation of neighbours
+
+give three p-values against randomness, which Simes' rule combines. The same count of equal pairs gives a p-value
+against text-like characters, whose power grows with the length. Benjamini-Hochberg is applied to both within each
+class of lengths, over all runs of the corpus: a run is a secret (kind `random`) if text is rejected there, randomness
+is not, and no base span overlaps it. Runs under 20 characters are not tested: at that length hardly any could be told
+from text.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans: counts 0, spans empty, the hash that
-of no bytes. Repeated rows are scanned each. An empty table gives an empty result. Other columns are never read.
-The matches of a document are numbered in one row and summed by a window, so a text with very many of them takes
-linear time.
+of no bytes. Repeated rows are scanned each; runs that tie in p are kept or dropped together. An empty table gives an
+empty result. Other columns are never read. The matches of a document are numbered in one row and summed by a window,
+and the battery is two folds over a run's characters, so very long texts and runs take linear time.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +41,8 @@ KINDS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", "(?<![0-9a
 LEAST_RUN = 20
 RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RUN},}}+=*"
 
-#: Rejection of randomness by one of the three tests; share of false discoveries; classes of lengths from these.
-BATTERY_LEVEL, FALSE_SHARE, LENGTHS = 0.01, 0.01, (20, 28, 40, 64)
+#: Share of false discoveries among the runs told from text, and among those told from random ones; classes of lengths.
+FALSE_SHARE, FALSE_REJECTED, LENGTHS = 0.01, 0.05, (20, 28, 40, 64)
 #: Name, pattern, symbols in order, and the rate at which two characters of text-like strings are equal.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
@@ -73,67 +82,106 @@ def _marked(text: Column, kind: int, pattern: str, group: int, least: int, keep:
     return F.when(F.regexp_like(text, F.lit(f"(?:{pattern})")), F.transform(cut, part)).otherwise(none)
 
 
-def _normal_tail(z: Column) -> Column:
-    """P(Z < z) by the logistic approximation, monotone in z."""
-    return 1 / (1 + F.exp(-F.least(F.greatest(1.5976 * z + 0.07056 * z * z * z, F.lit(-600.0)), F.lit(600.0))))
+#: Abramowitz and Stegun 26.2.17: scale, then coefficients of the tail of a normal variable.
+_SCALE, _TAIL = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def _upper_tail(z: Column) -> Column:
+    """P(Z > z) of a normal variable."""
+    x = F.least(F.abs(z), F.lit(37.0))
+    t = 1 / (1 + _SCALE * x)
+    poly = reduce(lambda acc, c: acc * t + c, reversed(_TAIL[:-1]), F.lit(_TAIL[-1])) * t
+    q = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
+    return F.when(z > 0, q).otherwise(1 - q)
+
+
+def _once(rows: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns by a generator, behind which they are computed once: plain ones would be put, with all that they
+    are made of, into every lambda that names them."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
 
 
 def battery(runs: DataFrame) -> DataFrame:
-    """Adds encoding, random (no test rejects randomness) and p_text to rows with a column tok."""
+    """Adds encoding, p_random (against randomness, combined) and p_text to rows with a column tok."""
     body = F.regexp_replace("tok", "=+$", "")
     joined = F.translate(body, SEPARATORS, "")
     # a run of little but separators is tested as it is
     body = F.when(F.regexp_like(body, F.lit(_MIXED)) | (F.length(joined) < LEAST_RUN // 2), body).otherwise(joined)
     encoding = F.coalesce(*(F.when(F.regexp_like("body", F.lit(p)), F.lit(i)) for i, (_, p, _, _) in enumerate(ENCODINGS)))
     pick = lambda at: F.element_at(F.array(*(F.lit(at(e)) for e in ENCODINGS)), F.col("e") + 1)
-    # generated columns are computed once: plain ones would be put, with their patterns, into the lambdas below
-    once = lambda x, c, name: x.select("*", F.inline(F.array(F.struct(c.alias(name)))))
-    x = once(once(runs, body, "body"), encoding, "e").withColumn("size", F.length("body").cast("double"))
-    x = x.withColumn("symbols", pick(lambda e: e[2])).withColumn("a", F.length("symbols").cast("double")).withColumn("kappa", pick(lambda e: e[3]))
-    letters = F.translate("body", "-_", "+/")
-    index = F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: F.instr(F.col("symbols"), c).cast("double") - 1)
-    x = x.withColumn("x", index)
-    squares = F.aggregate(F.split("symbols", ""), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(F.length(letters) - F.length(F.replace(letters, c, F.lit(""))), F.lit(2.0))))
-    n = F.col("size")
-    x = x.withColumn("squares", squares)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
-    x = x.withColumn("mean", total(F.col("x")) / n)
-    x = x.withColumn("pairs", F.arrays_zip(F.slice("x", 1, F.size("x") - 1).alias("u"), F.slice("x", 2, F.size("x") - 1).alias("v")))
-    u, v = (lambda q: q["u"] - F.col("mean")), (lambda q: q["v"] - F.col("mean"))
-    x = x.withColumn("spread", total(F.transform("x", lambda i: (i - F.col("mean")) * (i - F.col("mean")))))
-    x = x.withColumn("lagged", total(F.transform("pairs", lambda q: u(q) * v(q))))
+    x = _once(_once(runs, body=body), e=encoding)
+    x = _once(x, symbols=pick(lambda e: e[2]), a=pick(lambda e: float(len(e[2]))), kappa=pick(lambda e: e[3]), encoding=pick(lambda e: e[0]))
+    letters = F.filter(F.split(F.translate("body", "-_", "+/"), ""), lambda c: c != "")
+    x = _once(x, x=F.transform(letters, lambda c: F.instr(F.col("symbols"), c).cast("double") - 1))
+    x = _once(x, sorted=F.sort_array("x"), size=F.size("x").cast("double"))
+
+    zero = F.lit(0.0)
     half = F.col("a") / 2
-    x = x.withColumn("high", F.size(F.filter("x", lambda i: i >= half)).cast("double"))
-    x = x.withColumn("turns", 1.0 + F.size(F.filter("pairs", lambda q: (q["u"] >= half) != (q["v"] >= half))))
-    chi = F.col("a") / n * F.col("squares") - n
-    z_chi = (chi - (F.col("a") - 1)) / F.sqrt(2 * (F.col("a") - 1) * (n - 1) / n)
-    mu = 2 * F.col("high") * (n - F.col("high")) / n + 1
+
+    def equal(acc: Column, v: Column) -> Column:
+        """In order, each character makes a pair with all equal ones before it."""
+        run = F.when(v == acc["prev"], acc["run"] + 1).otherwise(zero)
+        return F.struct(v.alias("prev"), run.alias("run"), (acc["pairs"] + run).alias("pairs"))
+
+    def moments(acc: Column, v: Column) -> Column:
+        turn = (acc["n"] > 0) & ((acc["prev"] >= half) != (v >= half))
+        return F.struct(
+            (acc["n"] + 1).alias("n"), v.alias("prev"), F.when(acc["n"] > 0, acc["first"]).otherwise(v).alias("first"),
+            (acc["s"] + v).alias("s"), (acc["ss"] + v * v).alias("ss"), (acc["uv"] + F.when(acc["n"] > 0, acc["prev"] * v).otherwise(zero)).alias("uv"),
+            (acc["high"] + (v >= half).cast("double")).alias("high"), (acc["turns"] + turn.cast("double")).alias("turns"),
+        )
+
+    pairs = F.aggregate("sorted", F.struct(F.lit(-1.0).alias("prev"), zero.alias("run"), zero.alias("pairs")), equal, lambda acc: acc["pairs"])
+    names = ("n", "prev", "first", "s", "ss", "uv", "high", "turns")
+    x = _once(x, pairs=pairs, m=F.aggregate("x", F.struct(*(zero.alias(n) for n in names)), moments))
+
+    n, a, m = F.col("size"), F.col("a"), {k: F.col(f"m.{k}") for k in names}
+    mean = m["s"] / n
+    two, three, q = n * (n - 1) / 2, n * (n - 1) * (n - 2) / 6, 1 / a
+    sd = F.sqrt(two * q * (1 - q))
+    skew = (two * q * (1 - q) * (1 - 2 * q) + 6 * three * q * q * (1 - q)) / (sd * sd * sd)
+    shape = 4 / (skew * skew)
+    gamma = F.greatest(shape + F.sqrt(shape) * (F.col("pairs") - 0.5 - two * q) / sd, zero)
+    p_chi = _upper_tail(3 * F.sqrt(shape) * (F.pow(gamma / shape, F.lit(1 / 3)) - 1 + 1 / (9 * shape)))
+    mu = 2 * m["high"] * (n - m["high"]) / n + 1
     variance = (mu - 1) * (mu - 2) / (n - 1)
-    p_runs = F.when(variance > 0, 2 * _normal_tail(-F.abs((F.col("turns") - mu) / F.sqrt(variance)))).otherwise(F.lit(0.0))
-    p_serial = F.when(F.col("spread") > 0, 2 * _normal_tail(-F.abs((F.col("lagged") / F.col("spread") + 1 / n) * F.sqrt(n)))).otherwise(F.lit(0.0))
-    least = F.least(_normal_tail(-z_chi), p_runs, p_serial)
+    off = F.greatest(F.abs(m["turns"] + 1 - mu) - 0.5, zero)
+    # characters all on one side have no runs to test; the uniformity of a long enough run tells
+    p_runs = F.when(variance > 0, F.least(2 * _upper_tail(off / F.sqrt(variance)), F.lit(1.0))).otherwise(F.pow(F.lit(2.0), 1 - n))
+    spread = m["ss"] - n * mean * mean
+    lagged = m["uv"] - mean * (2 * m["s"] - m["first"] - m["prev"]) + (n - 1) * mean * mean
+    p_serial = F.when(spread > 1e-9, F.least(2 * _upper_tail(F.abs((lagged / spread + 1 / n) * F.sqrt(n))), F.lit(1.0))).otherwise(zero)
+    p = F.array_sort(F.array(p_chi, p_runs, p_serial))
+    simes = F.least(3 * p[0], 1.5 * p[1], p[2])
     kappa = F.col("kappa")
-    extra = F.when(F.col("e").isin(_UNEVEN), 4 * (n - 2) * EXCESS).otherwise(F.lit(0.0))
-    z_text = ((F.col("squares") - n) / (n * (n - 1)) - kappa) / F.sqrt((2 * kappa * (1 - kappa) + extra) / (n * (n - 1)))
-    names = pick(lambda e: e[0])
-    x = x.withColumn("encoding", names).withColumn("random", least >= BATTERY_LEVEL / 3).withColumn("p_text", _normal_tail(z_text))
-    return x.select(*runs.columns, "size", "encoding", "random", "p_text")
+    extra = F.when(F.col("e").isin(_UNEVEN), 4 * (n - 2) * EXCESS).otherwise(zero)
+    z_text = (F.col("pairs") / two - kappa) / F.sqrt((2 * kappa * (1 - kappa) + extra) / (n * (n - 1)))
+    return x.select(*runs.columns, "size", "encoding", simes.alias("p_random"), _upper_tail(-z_text).alias("p_text"))
 
 
-def discoveries(tested: DataFrame, tested_in_all: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
-    """Rows of tested that Benjamini-Hochberg keeps within their class of lengths.
+def _bin(p: str) -> Column:
+    """Twentieths of a decade below 1, downwards: a bin's largest p is 10 ** -(bin / 20)."""
+    return F.floor(F.least(-F.log10(F.greatest(F.col(p), F.lit(1e-60))), F.lit(60.0)) * 20)
+
+
+def rejected_from(tested: DataFrame, p: str, share: float) -> DataFrame:
+    """(stratum, limit): the bin of p from which Benjamini-Hochberg rejects within a class of lengths, if any.
 
-    tested_in_all has a row for each run put to the test (stratum).
     The ranks come from a histogram of log p with at most 1200 bins for each of the few classes.
     """
-    step = 0.05
-    binned = tested.withColumn("bin", F.floor(F.least(-F.log10(F.greatest("p_text", F.lit(1e-60))), F.lit(60.0)) / step))
-    bins = binned.groupBy("stratum", "bin").count()
-    runs = tested_in_all.groupBy("stratum").agg(F.count("*").alias("runs"))
-    ranked = bins.withColumn("rank", F.sum("count").over(Window.partitionBy("stratum").orderBy(F.desc("bin"))))
-    # the bin's largest p is 10 ** -(bin * step)
-    limit = ranked.join(runs, "stratum").filter(F.pow(F.lit(10.0), -F.col("bin") * step) <= share * F.col("rank") / F.col("runs")).groupBy("stratum").agg(F.min("bin").alias("limit"))
-    return binned.join(F.broadcast(limit), "stratum").filter(F.col("bin") >= F.col("limit")).drop("bin", "limit")
+    bins = tested.groupBy("stratum", _bin(p).alias("bin")).count()
+    down = Window.partitionBy("stratum").orderBy(F.desc("bin"))
+    ranked = bins.withColumn("rank", F.sum("count").over(down)).withColumn("runs", F.sum("count").over(Window.partitionBy("stratum")))
+    return ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / 20) <= share * F.col("rank") / F.col("runs")).groupBy("stratum").agg(F.min("bin").alias(f"limit_{p}"))
+
+
+def discoveries(tested: DataFrame, share: float = FALSE_SHARE, rejected: float = FALSE_REJECTED) -> DataFrame:
+    """Rows of tested (stratum, p_text, p_random) that are told from text and not from randomness."""
+    x = tested
+    for p, level in (("p_text", share), ("p_random", rejected)):
+        x = x.join(F.broadcast(rejected_from(tested, p, level)), "stratum", "left")  # a row for each class of lengths
+    random = F.coalesce(_bin("p_random") < F.col("limit_p_random"), F.lit(True))
+    return x.filter((_bin("p_text") >= F.col("limit_p_text")) & random).select(*tested.columns)
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FALSE_SHARE) -> DataFrame:
@@ -159,8 +207,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     segs = stored(segs.filter(is_base | clear).select("uid", "k", "start", "end", "tok"), "spans")
 
     stratum = sum((F.when(F.col("end") - F.col("start") >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0)).alias("stratum")
-    runs = segs.filter(~is_base).select("uid", "k", "start", "end", "tok", stratum)
-    kept = discoveries(battery(runs), runs, share).filter("random").select("uid", "k", "start", "end")
+    # a document of very many runs is tested by many tasks
+    tested = battery(segs.filter(~is_base).select("uid", "k", "start", "end", "tok", stratum).repartition(F.xxhash64("uid", "start")))
+    tested = stored(tested.select("uid", "k", "start", "end", "stratum", "p_text", "p_random"), "tested")
+    kept = discoveries(tested, share).select("uid", "k", "start", "end")
     spans = segs.filter(is_base).select("uid", "k", "start", "end").union(kept)
     names = F.array(*(F.lit(n) for n, *_ in KINDS), F.lit("random"))
     said = lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["start"].cast("string"), x["end"].cast("string"))

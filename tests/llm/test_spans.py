@@ -1,9 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
+import time
+from collections import Counter
+
+import numpy as np
 
 from lethe.llm import pii, secrets
 
@@ -176,12 +181,72 @@ def test_every_run_is_put_to_the_battery(spark):
     odd = ["-" * 40, "_" * 25, "a" * 30, "A" * 30, "0" * 30, "-/" * 20, "the-words-of-this-long-slug-are-plain", "this_is_the_name_of_a_function_in_a_module"]
     docs = spark.createDataFrame([(i, f"a {k} b") for i, k in enumerate(keys + odd)], "doc_id long, text string")
     tested = secrets.battery(docs.selectExpr("doc_id", "substr(text, 3, length(text) - 4) AS tok")).collect()
-    assert len(tested) == len(keys + odd) and all(r.encoding and r.p_text is not None for r in tested)
+    assert len(tested) == len(keys + odd) and all(r.encoding and r.p_text is not None and r.p_random is not None for r in tested)
     rows = secrets.secret_scan(docs).collect()
     found = [sum(r.n_random for r in rows if r.doc_id // 20 == i) for i in range(len(kinds))]
     assert all(n >= 14 for n in found) and all(r.n_random == 0 for r in rows if r.doc_id >= len(keys)), found
 
 
+def test_battery_against_brute_force(spark):
+    """The statistics by loops; the chi-squared tail against simulation."""
+    rng = random.Random(21)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    hexes, digits = "0123456789abcdef", string.digits
+    toks = [draw(hexes, rng.randrange(20, 90)) + "a1" for _ in range(60)] + [draw(digits, 33) for _ in range(20)] + ["0" * 30, "01" * 20, "a1" * 30]
+    rows = secrets.battery(spark.createDataFrame([(t,) for t in toks], "tok string")).collect()
+    sims: dict[tuple, np.ndarray] = {}
+    gen = np.random.default_rng(3)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for r in rows:
+        symbols = hexes if r.encoding == "hex" else digits
+        x = [symbols.index(c) for c in r.tok]
+        n, a = len(x), len(symbols)
+        pairs = sum(c * (c - 1) // 2 for c in Counter(x).values())
+        if (n, a) not in sims:
+            counts = np.array([np.bincount(row, minlength=a) for row in gen.integers(0, a, (4000, n))])
+            sims[n, a] = (counts * (counts - 1) // 2).sum(1)
+        p_chi = np.mean(sims[n, a] >= pairs)
+        high = [v >= a / 2 for v in x]
+        n1 = sum(high)
+        turns = 1 + sum(u != v for u, v in zip(high, high[1:], strict=False))
+        mu = 2 * n1 * (n - n1) / n + 1
+        var = (mu - 1) * (mu - 2) / (n - 1)
+        p_runs = min(1, 2 * tail(max(0, abs(turns - mu) - 0.5) / math.sqrt(var))) if var > 0 else 2.0 ** (1 - n)
+        m = sum(x) / n
+        spread = sum((v - m) ** 2 for v in x)
+        p_serial = min(1, 2 * tail(abs(sum((u - m) * (v - m) for u, v in zip(x, x[1:], strict=False)) / spread + 1 / n) * math.sqrt(n))) if spread else 0.0
+        lo, hi = (min(3 * p[0], 1.5 * p[1], p[2]) for p in (sorted((max(0, p_chi + e), p_runs, p_serial)) for e in (-0.05, 0.05)))
+        assert lo - 1e-6 <= r.p_random <= hi + 1e-6, (r, p_chi, p_runs, p_serial)
+        kappa = next(e[3] for e in secrets.ENCODINGS if e[0] == r.encoding)
+        assert math.isclose(r.p_text, tail(-(pairs / (n * (n - 1) / 2) - kappa) / math.sqrt(2 * kappa * (1 - kappa) / (n * (n - 1)))), rel_tol=1e-3, abs_tol=7.5e-8)  # the error of the tail
+
+
+def test_benjamini_hochberg_within_lengths(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(2), 10 ** -rng.uniform(0, 8) if rng.random() < 0.4 else rng.random(), rng.random() ** 3) for _ in range(600)]
+    tested = spark.createDataFrame(rows, "stratum int, p_text double, p_random double")
+
+    def rejected(k: int, at: int, share: float) -> float:
+        """The limit of p, by sorting; p counts as the largest of its bin."""
+        ps = sorted(10 ** -(math.floor(-math.log10(r[at]) * 20) / 20) for r in rows if r[0] == k)
+        return max((p for i, p in enumerate(ps, 1) if p <= share * sum(q <= p for q in ps) / len(ps)), default=-1.0)
+
+    up = lambda p: 10 ** -(math.floor(-math.log10(p) * 20) / 20)
+    want = sorted(r for r in rows if up(r[1]) <= rejected(r[0], 1, 0.01) * 1.000001 and not up(r[2]) <= rejected(r[0], 2, 0.05) * 1.000001)
+    assert sorted(tuple(r) for r in secrets.discoveries(tested).collect()) == want and 50 < len(want) < 300
+
+
+def test_many_random_strings_take_linear_time(spark):
+    rng = random.Random(4)
+    rows = [(i, "a " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(20, 201))) + " b") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    start = time.monotonic()
+    assert secrets.secret_scan(docs).filter("n_random = 1").count() > 9500
+    assert time.monotonic() - start < 60
+    long = spark.createDataFrame([(1, "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(100_000))), (2, "word-" * 40_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_random) for r in secrets.secret_scan(long).collect()) == [(1, 1), (2, 0)]
+
+
 def test_secrets_stay_in_the_jvm(documents):
     plan = secrets.secret_scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
