@@ -12,14 +12,19 @@
    sets, and announce their prefixes among each other. Shared tokens connect them into islands; every link lies
    inside one, and the whole sets are dealt out by island.
 4. Inside an island a signature tree finds the linked pairs, see signature_tree. An island too large for a task
-   is cut by size class and hash into blocks. Blocks are joined on their own first, then only pairs of blocks
-   of like size that still hold different classes; sets known to be connected are not compared again.
+   is cut by size class and hash into blocks. Each block is joined on its own first, together with PIVOTS sets of
+   the island of like size, so that a large group of near copies is one class at once. Then only pairs of blocks of
+   like size meet that still hold different classes; sets known to be connected are not compared again.
 5. Components of the links, with equal sets as one node, are the classes.
 
+A set is named by 64 bits of its hash. Another 64 bits are held against each other wherever sets have one name; should
+they differ, the whole join is done again under other names.
+
 Links join only sets of different texts or names; copies are never expanded into pairs. A text without words has
 an empty set and is linked with nothing, null texts likewise. Rows of a repeated id are separate nodes; their
 class is named by the least id in it (null where all ids of a class are null). An empty table gives an empty
-result. Other columns are never read.
+result. Very long texts are read whole, in passes over their words. Ties have no say: a class is named by its least id.
+Other columns are never read.
 """
 
 from __future__ import annotations
@@ -37,8 +42,10 @@ from lethe.llm.graph import components
 from lethe.llm.shingles import shingle_sets
 from lethe.llm.signature_tree import similar
 
-#: Tokens of the sets that one task joins at a time.
-UNIT_TOKENS = 2_000_000
+#: Tokens of the sets that one task joins at a time; tokens that a short set counts for, as pairs cost more than tokens.
+UNIT_TOKENS, LEAST_WEIGHT = 500_000, 64
+#: Sets of an island and size class that are joined with each of its blocks.
+PIVOTS = 16
 #: Prefix tokens among which a task finds the shared ones by itself.
 GROUP_TOKENS = 500_000
 
@@ -49,17 +56,20 @@ def least_overlap(size: int, num: int, den: int) -> int:
 
 
 def extra(size: int) -> int:
-    """l: how many tokens of the prefixes any linked pair shares, as far as this size asks for."""
-    return max(1, size // 8)
+    """l: how many tokens of the prefixes any linked pair shares, as far as this size asks for: the more, the fewer
+    sets stay that share only a common token with others."""
+    return max(1, min(3, size // 3), size // 8)
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
     return min(size, size - least_overlap(size, num, den) + extra(size))
 
 
-def names(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit hash of each set."""
-    return np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in sets), "<i8")
+def names(sets: list[np.ndarray], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set: its name and what equal names are checked by."""
+    salt = seed.to_bytes(4, "little")
+    both = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt).digest() for s in sets), "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def announce(heads: list[np.ndarray | None], name: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -95,8 +105,8 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
-    """(doc_id, row_hash, n, s) of each row, and for the first of equal sets: tokens to announce, leaders, sure.
+def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int, only: tuple[np.ndarray, int] | None = None, seed: int = 0) -> DataFrame:
+    """(doc_id, row_hash, n, s, check) of each row, and for the first of equal sets: tokens to announce, leaders, sure.
 
     With `only`, a Bloom filter of names, rows that it passes and their whole sets instead; once for each task.
     """
@@ -109,25 +119,25 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int, onl
         def flush() -> pa.RecordBatch:
             name = np.array([r[3] for r in held], np.int64)
             single, lead, leaders, sure = announce([r[4] for r in held], name)
-            cols = [pa.array([r[i] for r in held], t) for i, t in enumerate((id_type, pa.int64(), pa.int64(), pa.int64()))]
+            cols = [pa.array([r[i] for r in held], t) for i, t in ((0, id_type), (1, pa.int64()), (6, pa.int64()), (2, pa.int64()), (3, pa.int64()))]
             cols += [lists([np.concatenate(p) for p in zip(single, lead, strict=True)]), lists(leaders), pa.array(sure, pa.int64())]
-            fields = ["doc_id", "row_hash", "n", "s", "said", "leaders", "sure"]
+            fields = ["doc_id", "row_hash", "check", "n", "s", "said", "leaders", "sure"]
             if only:
-                cols, fields = [*cols[2:], pa.array([r[5] for r in held], pa.binary())], [*fields[2:], "tokens"]
+                cols, fields = [*cols[3:], pa.array([r[5] for r in held], pa.binary())], [*fields[3:], "tokens"]
             return pa.RecordBatch.from_arrays(cols, fields)
 
         for b in batches:
             id_type = b.schema.field("doc_id").type
             sets = list(shingle_sets([t or b"" for t in b.column("body").to_pylist()], k))
-            name = names(sets)
+            name, check = names(sets, seed)
             passed = in_bloom(*only, name.view(np.uint64)).tolist() if only else [True] * len(sets)
-            for d, h, s, x, ok in zip(b.column("doc_id").to_pylist(), b.column("row_hash").to_pylist(), sets, name.tolist(), passed, strict=True):
+            for d, h, s, x, y, ok in zip(b.column("doc_id").to_pylist(), b.column("row_hash").to_pylist(), sets, name.tolist(), check.tolist(), passed, strict=True):
                 new = len(s) > 0 and x not in seen
                 if only and not (ok and new):
                     continue
                 seen.add(x)
                 head = s[: prefix_length(len(s), num, den)].copy() if new else None
-                held.append((d, h, len(s), x, head, s.tobytes() if only else None))
+                held.append((d, h, len(s), x, head, s.tobytes() if only else None, y))
                 size += (8 if head is None else len(head)) + (len(s) // 4 if only else 0)
             if size > group_tokens:
                 yield flush()
@@ -140,7 +150,7 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int, group_tokens: int, onl
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     said = "said array<long>, leaders array<long>, sure long"
-    return map_rows(rows, run, f"n long, s long, {said}, tokens binary" if only else f"doc_id {kind}, row_hash long, n long, s long, {said}")
+    return map_rows(rows, run, f"n long, s long, {said}, tokens binary" if only else f"doc_id {kind}, row_hash long, check long, n long, s long, {said}")
 
 
 def met_by(first: DataFrame) -> DataFrame:
@@ -158,7 +168,7 @@ def with_partners(first: DataFrame, met: DataFrame, num: int, den: int) -> DataF
     hits = first.filter("sure > 0 OR size(said) > 0").select("s", "n", F.col("sure").alias("met")).union(met.select("s", F.lit(None).cast("long"), "met"))
     least = F.ceil(F.col("n") * num / den)
     hits = hits.groupBy("s").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
-    return stored(hits.filter(F.col("met") >= F.greatest(F.lit(1), F.floor(least / 8))).select("s", "n"), "alive")
+    return stored(hits.filter(F.col("met") >= F.greatest(F.lit(1), F.least(F.lit(3), F.floor(least / 3)), F.floor(least / 8))).select("s", "n"), "alive")
 
 
 def unit_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -195,15 +205,23 @@ def joined(sets: DataFrame, islands: DataFrame, num: int, den: int, unit_tokens:
     """Links (a, b), a forest for each class, of sets (s, tokens) dealt out by islands (s, island, n)."""
     size_class = F.floor(F.log("n") / float(np.log(den / num) * 1.0000001)) if num < den else F.col("n")
     classed = islands.withColumn("class", size_class.cast("long"))
-    parts = classed.groupBy("island", "class").agg(F.sum("n").alias("part"))
+    weight = F.sum(F.greatest("n", F.lit(LEAST_WEIGHT)))
+    parts = classed.groupBy("island", "class").agg(weight.alias("part"))
     whole = parts.groupBy("island").agg(F.sum("part").alias("whole"))
     parts = parts.join(whole, "island").select("island", "class", F.when(F.col("whole") <= unit_tokens, F.lit(0)).otherwise(F.ceil(F.col("part") / unit_tokens)).cast("int").alias("blocks"))
     block = F.when(F.col("blocks") == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
     dealt = stored(classed.join(parts, ["island", "class"]).withColumn("block", block).withColumn("class", F.when(F.col("blocks") == 0, F.lit(-1)).otherwise(F.col("class"))), "dealt")
-    own = F.xxhash64(F.struct("island", "class", "block"))
-    units = dealt.select("s", own.alias("unit"), F.lit(0).alias("side"), F.col("s").alias("label"))
+    unit = lambda *c: F.xxhash64(F.struct(*c))
+    units = dealt.select("s", unit("island", "class", "block").alias("unit"), F.lit(0).alias("side"), F.col("s").alias("label"))
+    many = dealt.filter("blocks > 0")
+    several = bool(many.limit(1).count())
+    if several:  # the pivots of a size class go to every block of it and of the next larger one
+        pivots = many.groupBy("island", "class", F.pmod(F.xxhash64("s", F.lit(1)), F.lit(PIVOTS)).alias("p")).agg(F.min("s").alias("s")).drop("p")
+        pivots = pivots.select("s", "island", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+        at = pivots.join(many.select("island", "class", "block").distinct(), ["island", "class"])
+        units = units.union(at.select("s", unit("island", "class", "block").alias("unit"), F.lit(0), F.col("s")))
     links = stored(unit_links(sets.join(units, "s"), num, den), "links")
-    if not dealt.filter("blocks > 0").limit(1).count():
+    if not several:
         return links
 
     # pairs of blocks of one island, of the same size class or neighbours, that hold more than one class
@@ -229,15 +247,22 @@ def shingle_join(
     row_hash is the 64-bit hash of id and text; first marks the row that a class keeps.
     """
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"xxhash64(`{id_col}`, coalesce(`{text_col}`, '')) AS row_hash", f"cast(`{text_col}` AS binary) AS body")
-    first = stored(prefixes(rows, k, num, den, group_tokens), "prefixes")
-    own = stored(first.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "s"), "own")
+    for seed in range(8):
+        first = stored(prefixes(rows, k, num, den, group_tokens, seed=seed), "prefixes")
+        own = stored(first.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "s", "check"), "own")
+        if not own.groupBy("s").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").limit(1).count():
+            break
+        dropped(first)
+    else:
+        raise RuntimeError("different sets have one name under every seed")
+    own = own.drop("check")
     met = met_by(first)
     alive = with_partners(first, met, num, den)
     dropped(first)
     if not (count := alive.count()):
         return _classes(own.withColumn("label", F.col("s")))
 
-    first = stored(prefixes(rows, k, num, den, group_tokens, bloom(alive, "s", count)), "sets")
+    first = stored(prefixes(rows, k, num, den, group_tokens, bloom(alive, "s", count), seed), "sets")
     met = met_by(first)
     alive = with_partners(first, met, num, den)
     islands = components(met.select(F.col("s").alias("a"), F.col("hub").alias("b")).union(first.select("s", F.explode("leaders"))))

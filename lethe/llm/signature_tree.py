@@ -28,6 +28,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
+def sketches(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """One number for each set, equal for sets that are alike: its least token among those that few sets hold."""
+    flat = np.concatenate(sets)
+    if not len(flat):
+        return np.zeros(len(sets), np.uint64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    count = np.diff(np.append(np.flatnonzero(new), len(flat)))
+    common = np.empty(len(flat), bool)
+    common[order] = np.repeat(count > max(FANOUT, len(sets) // 64), count)
+    out = np.full(len(sets), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(out, owner[~common], flat[~common])
+    return out
+
+
 class Tree:
     def __init__(self, sets: list[np.ndarray], bits: int):
         n = len(sets)
@@ -88,8 +104,7 @@ def similar(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | Non
                     count(i, j)
         return links.pairs
 
-    # neighbours in the order are alike: by the least token, the set's one-number sketch
-    first = np.array([int(s[0]) if len(s) else 0 for s in sets], np.uint64)
+    first = sketches(sets, size)
     halves = [np.arange(n)] if split is None else [np.arange(split), np.arange(split, n)]
     orders = [h[np.lexsort((size[h], first[h]))] for h in halves if len(h)]
     if split is not None and len(orders) < 2:
@@ -98,7 +113,8 @@ def similar(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | Non
     sets = [sets[i] for i in order]
     size = size[order]
     links.label = links.label[order]
-    bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(size.mean(), 1))), 9, 15))
+    # wide enough that two nodes of FANOUT sets that have nothing in common share fewer bits than a link needs
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * FANOUT * FANOUT * max(size.mean(), 1))), 10, 15))
     if split is None:
         left = right = Tree(sets, bits)
         at = (0, 0)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -86,6 +87,32 @@ def test_signature_tree_loses_no_link():
         assert classes(n, similar(sets, 85, 100, split=cut)) == classes(n, [(i, j) for i, j in links if i < cut <= j])
 
 
+@pytest.mark.parametrize("n", [4000, 16_000])
+def test_short_sets_that_share_one_token_cost_little(n):
+    rng = np.random.default_rng(0)
+    sets = [np.unique(np.append(rng.integers(0, 2**63, 11, dtype=np.uint64), np.uint64(5))) for _ in range(n)]
+    sets[n // 2] = sets[7].copy()
+    start = time.monotonic()
+    assert similar(sets, 85, 100) == [(7, n // 2)] and time.monotonic() - start < 3 * n / 4000
+
+
+def test_hubs_are_done_apart(spark, monkeypatch):
+    monkeypatch.setattr("lethe.llm.graph.HUB_EDGES", 5)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 300)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(60)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = classes(700, edges)
+    assert all(want[n] == label for n, label in got.items()) and len(got) >= 360
+
+
+def test_names_that_clash_are_replaced(spark, monkeypatch):
+    right = near_dup.names
+    monkeypatch.setattr(near_dup, "names", lambda sets, seed=0: right(sets, seed) if seed else (np.zeros(len(sets), np.int64), right(sets)[1]))
+    docs = spark.createDataFrame([(i, f"text number {i} of a few words that are not like others {i * 7}") for i in range(6)] + [(9, "text number 3 of a few words that are not like others 21")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.shingle_join(docs, 4, 85, 100).collect()}
+    assert got == {**{i: i for i in range(6)}, 9: 3}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400, 400 + i) for i in range(50)] + [(i, i + 1) for i in range(500, 540)]
@@ -110,7 +137,7 @@ def near(rng: random.Random) -> list[tuple[int, str]]:
     return list(enumerate([*out, out[0].upper(), "", " "]))
 
 
-@pytest.mark.parametrize(("k", "num", "unit", "group"), [(4, 85, 2_000_000, 2_000_000), (5, 80, 400, 500)])
+@pytest.mark.parametrize(("k", "num", "unit", "group"), [(4, 85, 2_000_000, 2_000_000), (5, 80, 400, 500), (4, 85, 3000, 5000)])
 def test_jaccard_join(spark, documents, k, num, unit, group):
     for docs in (spark.createDataFrame(near(random.Random(9)), "doc_id long, text string").repartition(5), documents):
         texts = {r.doc_id: shingles(r.text, k) for r in docs.collect()}
