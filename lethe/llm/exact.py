@@ -1,44 +1,67 @@
 """Exact duplicates by an extendible-hash index on shared files.
 
 1. Every row becomes a small entry (hash, SHA-256, row number); texts stay where they are.
-2. Entries of equal digests are combined before they are moved, so a group of copies of any size is one
-   index row. A directory over the hash's leading bits maps them to buckets: a bucket with more rows than
-   its capacity is split by one more bit, and the directory doubles when a bucket's depth exceeds its own.
-   Rows of one hash cannot be split; they overflow into a chain.
-3. Owner tasks hold the buckets, order each chain and write it to the bucket's file in the shared folder.
-4. Texts whose chain counts several rows are read again (a Bloom filter of bounded size passes the others
-   by), copies met by one task are combined, and the owner of the bucket compares bytes along the chain.
+2. Entries of equal digests are combined before they are moved, so a group of copies of any size is one index row.
+   Rows are dealt out by key ranges, the hash's leading OWNER_BITS: an owner task takes whole ranges, one at a time.
+3. In each range the owner builds a directory over the bits that follow: a bucket with more rows than its capacity is
+   split by one more bit, and the directory doubles when a bucket's depth exceeds its own. Rows of one hash cannot be
+   split; they overflow into a chain. The index rows, in key order with their bucket and place in the chain, are
+   written to shared files. No directory is brought to the driver.
+4. Texts whose index row counts several are read again (a Bloom filter of bounded size passes the others
+   by), copies met by one task are combined, and the owner of the range compares bytes along each chain.
 
 Two rows are equal when their texts are identical after lower-casing A-Z only; a null text counts as empty,
-so null and empty texts are one group. Of equal texts the row with the largest id stays; of repeated rows
-with that id, exactly one, the last by the order of the input's partitions. Null ids order first. An empty
-table gives an empty result; other columns are left alone, whatever their names.
+so null and empty texts are one group. Very long texts are hashed and compared whole. Of equal texts the row with the
+largest id stays; of repeated rows with that id, exactly one, the last by the order of the input's partitions. Null
+ids order first. An empty table gives an empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import bloom, dropped, in_bloom, map_rows, row_hash, shared_dir, stored, without
+from lethe.llm.common import ARROW_ROWS, bloom, dropped, in_bloom, map_rows, row_hash, stored, without
 
-#: Index rows that a bucket holds before it is split.
-BUCKET_ROWS = 50_000
+#: Index rows that a bucket holds before it is split; leading bits of a hash that name its key range.
+BUCKET_ROWS, OWNER_BITS = 50_000, 16
 #: Bytes of distinct texts that a task combines before it passes them on.
 COMBINE_BYTES = 8 << 20
 
 
 @dataclass
 class Directory:
-    """Buckets by leading bits of the hash: leaves are (prefix, depth), in key order."""
+    """Buckets of a key range by the bits that follow its own: leaves are (prefix, depth), in key order."""
 
     leaves: list[tuple[int, int]]
+    #: Rows of each leaf.
+    rows: list[int]
+
+    @classmethod
+    def of(cls, keys: np.ndarray, capacity: int, skip: int = 0) -> Directory:
+        """The directory of ascending 64-bit keys whose first `skip` bits are equal."""
+        keys = keys << np.uint64(skip) if skip else keys
+        leaves, rows = [], []
+
+        def split(prefix: int, depth: int, lo: int, hi: int) -> None:
+            if hi - lo <= capacity or keys[lo] == keys[hi - 1]:
+                leaves.append((prefix, depth))
+                rows.append(hi - lo)
+                return
+            middle = np.uint64((2 * prefix + 1) << (63 - depth))
+            mid = lo + int(np.searchsorted(keys[lo:hi], middle))
+            split(2 * prefix, depth + 1, lo, mid)
+            split(2 * prefix + 1, depth + 1, mid, hi)
+
+        split(0, 0, 0, len(keys))
+        return cls(leaves, rows)
 
     @property
     def depth(self) -> int:
@@ -53,47 +76,45 @@ class Directory:
         return out
 
 
-def leading(bits: int):
-    return F.lit(0).cast("long") if bits == 0 else F.shiftrightunsigned("h", 64 - bits)
-
-
-def build_directory(index: DataFrame, capacity: int = BUCKET_ROWS, step: int = 4, most: int = 24) -> Directory:
-    """Split overfull buckets, `step` bits at a count, until each fits or holds what more bits cannot part.
-
-    One count returns 2**step rows for each overfull bucket, and there are at most rows / capacity of those.
-    """
-    done: list[tuple[int, int]] = []
-    total = index.count()
-    todo, depth = ([(0, total)] if total > capacity else []), 0
-    if not todo:
-        return Directory([(0, 0)])
-    while todo:
-        if depth >= most:
-            done += [(p, depth) for p, _ in todo]
-            break
-        full = index.select(leading(depth).alias("p"), leading(depth + step).alias("c"))
-        if depth:
-            full = full.join(F.broadcast(index.sparkSession.createDataFrame([(p,) for p, _ in todo], "p long")), "p")
-        counts = {r.c: r["count"] for r in full.groupBy("c").count().collect()}
-        over = []
-
-        def split(prefix: int, d: int, end: int, counts=counts, over=over) -> None:
-            width = 1 << (end - d)
-            n = sum(counts.get(c, 0) for c in range(prefix * width, (prefix + 1) * width))
-            if n <= capacity:
-                done.append((prefix, d))
-            elif d == end:
-                over.append((prefix, n))
-            else:
-                split(2 * prefix, d + 1, end)
-                split(2 * prefix + 1, d + 1, end)
-
-        for p, _ in todo:
-            split(p, depth, depth + step)
-        depth += step
-        todo = over
-    g = max(d for _, d in done)
-    return Directory(sorted(done, key=lambda x: x[0] << (g - x[1])))
+def owner() -> Column:
+    """The key range of a hash."""
+    return F.shiftrightunsigned("h", 64 - OWNER_BITS)
+
+
+def indexed(groups: DataFrame, capacity: int) -> DataFrame:
+    """Owner tasks: groups with bucket (its number in its range, by key) and chain_no, the place among rows of one hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            h = t.column("h").to_numpy().view(np.uint64)
+            d = Directory.of(h, capacity, OWNER_BITS)
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            chain = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0)) + 1
+            t = t.append_column("chain_no", pa.array(chain.astype(np.int32))).append_column("bucket", pa.array(np.repeat(np.arange(len(d.rows), dtype=np.int32), d.rows)))
+            yield from t.to_batches(max_chunksize=ARROW_ROWS * 10)
+
+        for b in batches:
+            ranges = b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - OWNER_BITS)
+            cuts = np.flatnonzero(np.diff(ranges)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                if held and ranges[lo] != at:
+                    yield from flush()
+                    held.clear()
+                at = ranges[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from flush()
+
+    kind = groups.schema["last"].dataType.simpleString()
+    # within a range all hashes have one sign, so their order is that of their bits
+    rows = groups.select("h", "sha", "n", "last").repartition(owner()).sortWithinPartitions(owner(), "h", "sha")
+    return map_rows(rows, run, f"h long, sha binary, n long, last {kind}, chain_no int, bucket int")
 
 
 def normalised(b: pa.RecordBatch) -> list[bytes]:
@@ -185,28 +206,17 @@ def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ROWS, hash_bits: int = 64
 ) -> DataFrame:
     """A row for each row of docs: id, keep_id, group_size, kept, text_sha256, the bucket of its
-    index row and row_hash, the hash of id and text."""
-    spark: SparkSession = docs.sparkSession
+    index row in its key range and row_hash, the hash of id and text."""
     rows = stored(entries(docs, id_col, text_col, hash_bits), "entries")
     groups = rows.groupBy("h", "sha").agg(F.count("*").alias("n"), F.max(F.struct(F.col("doc_id"), F.col("uid"))).alias("last"))
     groups = stored(groups, "groups")
-
-    directory = build_directory(groups, capacity)
-    slots = spark.createDataFrame(directory.slots(), "slot long, bucket int")
-    slot = leading(directory.depth)
-    chain = Window.partitionBy("bucket", "h").orderBy("sha")
-    owned = groups.withColumn("slot", slot).join(slots, "slot").drop("slot").repartition("bucket")
-    path = shared_dir(spark, "index")
-    owned = owned.withColumn("chain_no", F.row_number().over(chain)).select("h", "sha", "n", "last", "chain_no", "bucket")
-    owned.write.partitionBy("bucket").parquet(path)
-    index = spark.read.schema(owned.schema).parquet(path)
+    index = stored(indexed(groups, capacity), "index")
 
     again = index.filter("n > 1")
     if count := again.count():
         words, b = bloom(again, "h", count)
         same = repeated_texts(docs, text_col, hash_bits, words, b)
-        same = same.withColumn("slot", slot).join(slots, "slot").drop("slot")
-        same = compared(same.repartition("bucket", "h", "sha").sortWithinPartitions("bucket", "h", "sha").select("h", "sha", "body", "n"))
+        same = compared(same.repartition(owner()).sortWithinPartitions("h", "sha").select("h", "sha", "body", "n"))
         checked = again.join(same.groupBy("h", "sha").agg(F.max("text_no").alias("text_no"), F.sum("n_same").alias("n_same")), ["h", "sha"], "left")
         wrong = F.raise_error(F.lit("rows of one digest do not hold the same bytes"))
         proved = stored(checked.select("h", "sha", F.when(F.expr("text_no = 0 AND n_same = n"), F.col("n")).otherwise(wrong.cast("long")).alias("proved")), "proved")
@@ -227,7 +237,8 @@ def exact_kept(docs: DataFrame) -> DataFrame:
     again = found.filter("kept")
     if again.limit(1).count():  # rows of one id and text, of which one stays
         key = row_hash()
-        again = again.select(F.col("doc_id").alias("again_id"), F.col("row_hash").alias("again_hash"))
-        same = docs.join(again, docs["doc_id"].eqNullSafe(again["again_id"]) & (key == again["again_hash"])).dropDuplicates(["again_id", "again_hash"])
-        out = out.unionByName(same.drop("again_id", "again_hash"))
+        a, b = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "hash"))  # names that no caller's column has
+        again = again.select(F.col("doc_id").alias(a), F.col("row_hash").alias(b))
+        same = docs.join(again, docs["doc_id"].eqNullSafe(again[a]) & (key == again[b])).dropDuplicates([a, b])
+        out = out.unionByName(same.drop(a, b))
     return out

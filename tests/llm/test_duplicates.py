@@ -4,6 +4,7 @@ import os
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,11 +56,47 @@ def test_exact_dedup_of_nothing(empty):
     assert exact.exact_dedup(empty).count() == 0 and exact.exact_kept(empty).count() == 0
 
 
-def test_directory_doubles_where_buckets_overflow(spark):
-    rows = [(i - (1 << 63) if i % 2 else i,) for i in range(200)] + [(7,)] * 300
-    d = exact.build_directory(spark.createDataFrame(rows, "h long"), capacity=120)
-    assert d.depth > 1 and len(d.slots()) == 1 << d.depth
-    assert sorted({b for _, b in d.slots()}) == list(range(len(d.leaves)))
+def test_directory_doubles_where_buckets_overflow():
+    rng = np.random.default_rng(4)
+    keys = np.sort(np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64) >> np.uint64(16), np.full(300, 7, np.uint64)]))
+    d = exact.Directory.of(keys, 120, 16)
+    assert d.depth > 4 and len(d.slots()) == 1 << d.depth and sum(d.rows) == len(keys)
+    assert sorted({b for _, b in d.slots()}) == list(range(len(d.leaves))) and [s for s, _ in d.slots()] == list(range(1 << d.depth))
+    at = 0
+    for (prefix, depth), n in zip(d.leaves, d.rows, strict=True):
+        own = keys[at : at + n]
+        assert n <= 120 or len(set(own.tolist())) == 1
+        assert not depth or all((k << 16 & (1 << 64) - 1) >> 64 - depth == prefix for k in own.tolist())
+        at += n
+
+
+def test_index_is_in_key_order_with_chains(spark, monkeypatch):
+    rng = random.Random(3)
+    hs = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)] + [11] * 6
+    frame = spark.createDataFrame([(h, bytes([i % 256, i // 256]), 1, (i, i)) for i, h in enumerate(hs)], "h long, sha binary, n long, last struct<doc_id:long,uid:long>").repartition(5)
+    monkeypatch.setattr(exact, "OWNER_BITS", 4)
+    rows = exact.indexed(frame, 10).collect()
+    assert sorted(r.h for r in rows) == sorted(hs) and sorted(r.chain_no for r in rows if r.h == 11) == [1, 2, 3, 4, 5, 6]
+    ranges: dict[int, list] = {}
+    for r in rows:
+        ranges.setdefault(r.h % (1 << 64) >> 60, []).append(r)
+    assert len(ranges) == 16
+    for part in ranges.values():
+        part.sort(key=lambda r: (r.h % (1 << 64)))
+        assert [r.bucket for r in part] == sorted(r.bucket for r in part) and max(Counter(r.bucket for r in part).values()) <= 10
+
+
+def test_exact_dedup_at_many_owners_collects_little(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('text ', cast(id % 20000 AS string)) AS text")
+    rows = exact.exact_dedup(docs, capacity=2)
+    assert rows.filter("kept").count() == 20_000 and rows.agg({"group_size": "max"}).first()[0] == 2
+    index = [f for f in rows.inputFiles() if "lethe-index" in f]
+    assert 0 < len(index) < 100
+
+
+def test_callers_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (1, "a", 5, 6), (2, "b", 7, 8)], "doc_id long, text string, again_id int, again_hash int")
+    assert sorted(tuple(r) for r in exact.exact_kept(docs).collect()) == [(1, "a", 5, 6), (2, "b", 7, 8)]
 
 
 def test_shingle_sets():
