@@ -59,17 +59,29 @@ class EliasFano:
             value |= int((part.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum())
         return (value + self.base + (1 << 63)) % (1 << 64) - (1 << 63)
 
-    def values(self) -> np.ndarray:
-        """All values, by one pass."""
-        if not self.n:
+    def selects(self, first: int, last: int) -> np.ndarray:
+        """The values at first to last - 1, reading only the bits between their samples."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
             return np.zeros(0, np.int64)
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        x = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+        begin, end = first // SAMPLE, (last - 1) // SAMPLE + 1
+        byte = int(self.samples[begin]) // 8
+        stop = int(self.samples[end]) // 8 + 1 if end < len(self.samples) else len(self.high)
+        at = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + byte * 8
+        at = at[np.searchsorted(at, int(self.samples[begin])) :][first - begin * SAMPLE : last - begin * SAMPLE]
+        x = (at - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            part = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
+            start = first * self.low_bits
+            bits = np.unpackbits(self.low[start // 8 : (last * self.low_bits + 7) // 8], bitorder="little")
+            part = bits[start % 8 : start % 8 + (last - first) * self.low_bits].reshape(-1, self.low_bits)
             x |= (part.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return (x + np.uint64(self.base & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
 
+    def values(self) -> np.ndarray:
+        """All values, by one pass."""
+        return self.selects(0, self.n)
+
     def to_bytes(self) -> bytes:
         return _HEAD.pack(self.n, self.base, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 

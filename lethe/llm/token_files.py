@@ -13,8 +13,14 @@ take for white space or not are encoded whole.
 
 Tasks own ranges of (document id, hash of the text); each writes its files under a name of the attempt and
 renames them when whole, and only files that a finished task reports are read, so lost executors leave no trace
-in the result. Null and empty texts hold the end id alone. Null document ids come first; rows with equal ids are
-ordered by their hash. An empty table writes no file and gives an empty result. Other columns are never read.
+in the result. A table of the files, with the task and place of each, is stored beside them; the driver adds up one
+length for each task, and windows within a task do the rest. Readers take many files each, and a file's documents in
+blocks whose places are selected in the Elias-Fano ends.
+
+Document ids are integers of 64 bits (strings that hold none are an error). Null and empty texts hold the end id alone;
+very long texts are a document in one file, which is then larger than FILE_BYTES. Null document ids come first; rows
+with equal ids are ordered by their hash, and those that tie in both have equal texts. An empty table writes no file and
+gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -27,15 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.llm.common import map_rows, shared_dir
+from lethe.llm.common import map_rows, shared_dir, stored
 from lethe.llm.elias_fano import EliasFano
 
 MAGIC = b"LETHEEF1"
 #: Bytes of ids at which a task closes a file and begins the next.
 FILE_BYTES = 32 << 20
+#: Documents that a reader selects at a time.
+BLOCK_DOCS = 4096
 #: Pieces that a worker remembers.
 MEMO = 1 << 20
 COARSE = re.compile(r"\s*\S+|\s+")
@@ -128,12 +137,19 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.array[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + self.ids.values().tolist()
+    def ends_from(self, first: int, last: int) -> np.ndarray:
+        """Where documents first - 1 (0 for the first) to last - 1 end in the array, by select."""
+        ends = self.ends.selects(max(first - 1, 0), last)
+        return ends if first else np.concatenate([[0], ends])
+
+    def doc_ids(self, first: int = 0, last: int | None = None) -> list[int | None]:
+        last = len(self) if last is None else last
+        nulls = max(0, min(last, self.nulls) - first)
+        return [None] * nulls + self.ids.selects(max(first - self.nulls, 0), max(last - self.nulls, 0)).tolist()
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write the files and return a row for each: path, first (doc id, hash), n_docs, n_tokens."""
+    """Write the files; a stored table has a row for each: name, task (in order of the ids), place in it, n_docs, n_tokens."""
     path = path or tokenizer_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,23 +161,22 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         end = np.array([end_id], enc.kind).tobytes()
         ids: list = []
         parts: list[bytes] = []
-        size, first = 0, None
+        size, place, task = 0, 0, TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             name = f"{at}/{uuid.uuid4().hex}"
             with store.open_output_stream(name + ".tmp") as f:
                 f.write(pack(ids, parts, enc.kind.itemsize))
             store.move(name + ".tmp", name + ".ids")
-            row = [name.rsplit("/", 1)[1] + ".ids", *first, len(ids), size // enc.kind.itemsize]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["name", "first_id", "first_hash", "n_docs", "n_tokens"])
+            row = [name.rsplit("/", 1)[1] + ".ids", task, place, len(ids), size // enc.kind.itemsize]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["name", "task", "place", "n_docs", "n_tokens"])
 
         for b in batches:
             found = [x + end for x in enc.encode([t or "" for t in b.column("text").to_pylist()])]
-            for i, h, x in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), found, strict=True):
+            for i, x in zip(b.column("doc_id").to_pylist(), found, strict=True):
                 if size + len(x) > file_bytes and ids:
                     yield flush()
-                    ids, parts, size, first = [], [], 0, None
-                first = first or (i, h)
+                    ids, parts, size, place = [], [], 0, place + 1
                 ids.append(i)
                 parts.append(x)
                 size += len(x)
@@ -170,23 +185,26 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("h"))
-    return map_rows(rows, run, "name string, first_id long, first_hash long, n_docs long, n_tokens long")
+    return stored(map_rows(rows.select("doc_id", "text"), run, "name string, task int, place int, n_docs long, n_tokens long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """A row for each document of the files: doc_id, start, n_tokens, ids_crc32.
 
-    files has a row per file, not per document; the driver adds up their lengths and deals the files out again.
+    The driver gets one row a task of the writers; files are dealt out again to as many readers as there are cores, or
+    shuffle partitions, not more.
     """
     spark = files.sparkSession
-    found = sorted(files.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_hash))
-    starts, at = [], 0
-    for r in found:
-        starts.append((r.name, at))
-        at += r.n_tokens
+    tasks = files.groupBy("task").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("files")).orderBy("task").collect()
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not starts:
+    if not tasks:
         return spark.createDataFrame([], schema)
+    before = np.concatenate([[0], np.cumsum([r.n for r in tasks])])[:-1].tolist()
+    before = spark.createDataFrame([(r.task, n) for r, n in zip(tasks, before, strict=True)], "task int, before long")
+    within = Window.partitionBy("task").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    placed = placed.join(F.broadcast(before), "task").select("name", (F.col("before") + F.col("within")).alias("start"))
+    readers = min(sum(r.files for r in tasks), max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -196,13 +214,14 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
             for name, start in zip(b.column("name").to_pylist(), b.column("start").to_pylist(), strict=True):
                 with store.open_input_file(f"{at}/{name}") as opened:
                     f = TokenFile(opened.read())
-                ends = f.ends.values()
-                begins = np.concatenate([[0], ends[:-1]])
-                wide = f.array.astype("<u4").tobytes()
-                crc = [zlib.crc32(wide[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids(), pa.int64()), pa.array(begins + start, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return map_rows(spark.createDataFrame(starts, "name string, start long").repartition(len(starts)), run, schema)
+                for first in range(0, len(f), BLOCK_DOCS):
+                    last = min(first + BLOCK_DOCS, len(f))
+                    ends = f.ends_from(first, last)
+                    begins, ends = ends[:-1], ends[1:]
+                    crc = [zlib.crc32(f.array[s:e].astype("<u4").tobytes()) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids(first, last), pa.int64()), pa.array(begins + start, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return map_rows(placed.repartition(readers), run, schema)
 
 
 def token_files(docs: DataFrame, path: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -42,6 +42,8 @@ def test_elias_fano():
         f, size = EliasFano.from_bytes((b := EliasFano.of(v).to_bytes()) + b"more")
         assert size == len(b) and (f.values() == v).all()
         assert [f.select(i) for i in range(n)] == v.tolist()
+        for first, last in ((0, n), (0, n // 2), (n // 3, n), (n // 2, n // 2 + (n > 1)), (min(n, 256), n), (n, n)):
+            assert f.selects(first, last).tolist() == v[first:last].tolist()
     with pytest.raises(ValueError):
         EliasFano.of(np.array([2, 1]))
     with pytest.raises(IndexError):
@@ -72,7 +74,19 @@ def test_token_files_hold_what_the_library_returns(odd, documents, empty):
     assert len(sevens) == 3 and all(a + n == b for (a, n), (b, _) in zip(sevens, sevens[1:]))
 
 
+def test_many_files_are_read_by_few_tasks(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text of ', id) AS text")
+    folder = token_files.shared_dir(spark, "many")
+    files = token_files.write_token_files(docs, folder, file_bytes=20)
+    assert files.count() > 1000 and files.select("task").distinct().count() <= 4
+    rows = token_files.read_token_files(files, folder)
+    assert rows.rdd.getNumPartitions() <= 16
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in rows.collect())
+    assert [d for d, _, _ in got] == list(range(3000)) and all(a + n == b for (_, a, n), (_, b, _) in zip(got, got[1:]))
+
+
 def test_select_finds_a_document():
     parts = [np.arange(n, dtype="<u2").tobytes() for n in (3, 0, 700, 1)]
     f = token_files.TokenFile(token_files.pack([None, 5, 5, 9], parts, 2))
+    assert [f.doc_ids(i, i + 2) for i in range(3)] == [[None, 5], [5, 5], [5, 9]] and f.ends_from(1, 3).tolist() == [3, 3, 703]
     assert f.doc_ids() == [None, 5, 5, 9] and [f.document(i).tobytes() for i in range(len(f))] == parts
