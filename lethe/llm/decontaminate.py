@@ -48,9 +48,9 @@ BLOCK_BYTES = 2 << 20
 GROUP_BYTES, PASS_BYTES = 8 << 20, 1 << 20
 #: Least length of an item, width and stride of its windows, walks, and keys that a window shares with an entry at least.
 #: Items of a class are cut into pieces of its least length.
-SIZES = ((80, 64, 16, 4, 2), (40, 32, 8, 6, 1))
+SIZES = ((80, 52, 28, 6, 2), (40, 32, 8, 6, 1))
 #: Share of edits at which a window passes, bytes whose windows are walked together, pairs of windows and entries held.
-LOOSE, SEGMENT, MOST_PAIRS = 0.35, 1 << 20, 1 << 21
+LOOSE, SEGMENT, MOST_PAIRS = 0.35, 1 << 19, 1 << 21
 _TABLE_BITS, _PAD = 20, 256
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -59,7 +59,7 @@ def _symbol_classes() -> np.ndarray:
     """Digits, letters and the space have classes of their own among 64; other bytes share the rest."""
     out = np.arange(256) % 27 + 37
     out[48:58], out[97:123], out[32] = np.arange(10), np.arange(10, 36), 36
-    return out.astype(np.uint64)
+    return out.astype(np.uint8)
 
 
 _CLASS = _symbol_classes()
@@ -79,17 +79,18 @@ def _moves(walk: int, width: int) -> np.ndarray:
 def walk_keys(classes: np.ndarray, starts: np.ndarray, walk: int, width: int) -> Iterator[np.ndarray]:
     """The keys of each window, one array for each table: `classes` of a text, windows from `starts` on."""
     at, n, one = starts.astype(np.int64), len(starts), np.uint64(1)
-    rows = np.empty((8, n), np.uint8)
-    c, before = np.empty(n, np.uint64), None
+    rows, move, before = np.empty((8, n), np.uint8), np.empty(n, np.uint64), None
     for j, bits in enumerate(_moves(walk, width)):
+        c = rows[j % 8]
         np.take(classes, at, out=c, mode="clip")
-        rows[j % 8] = c
-        at += ((bits >> c) & one).view(np.int64)
+        np.right_shift(bits, c, out=move)
+        np.bitwise_and(move, one, out=move)
+        np.add(at, move.view(np.int64), out=at)
         if j % 8 == 7:
             word = np.ascontiguousarray(rows.T).view(np.uint64).ravel()
             if before is not None:
                 h = before * _MIX[0] ^ (word + (before >> np.uint64(29))) * _MIX[1]
-                yield h ^ h >> np.uint64(31)
+                yield h
             before = word
 
 
@@ -128,19 +129,24 @@ def best_match(item: bytes, region: bytes) -> tuple[int, int]:
 
 
 def least_distances(pieces: np.ndarray, lengths: np.ndarray, regions: np.ndarray) -> np.ndarray:
-    """best_match's distance of each row of pieces (at most 64 bytes, zero-padded) and of regions, all rows in step."""
+    """best_match's distance of each row of pieces (at most 64 symbols under 64, those past a length left out) and of
+    regions (likewise), all rows in step."""
     one, n = np.uint64(1), len(pieces)
+    rows = np.arange(n) * 64
+    eq = np.zeros(n * 64, np.uint64)
+    for j in range(pieces.shape[1]):
+        eq[rows + pieces[:, j]] |= np.where(j < lengths, one << np.uint64(j), np.uint64(0))
     high = (lengths - 1).astype(np.uint64)
     pv, mv = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
     score = lengths.astype(np.int64)
-    best, padded = score.copy(), np.zeros((n, 64), np.uint8)
-    padded[:, : pieces.shape[1]] = pieces
-    for j in range(regions.shape[1]):
-        e = np.packbits(padded == regions[:, j : j + 1], axis=1, bitorder="little").view("<u8").ravel()
+    best, columns = score.copy(), np.ascontiguousarray(regions.T)
+    for c in columns:
+        e = eq[rows + c]
         xv = e | mv
         xh = (((e & pv) + pv) ^ pv) | e
         ph, mh = mv | ~(xh | pv), pv & xh
-        score += ((ph >> high) & one).astype(np.int64) - ((mh >> high) & one).astype(np.int64)
+        score += ((ph >> high) & one).view(np.int64)
+        score -= ((mh >> high) & one).view(np.int64)
         ph, mh = ph << one, mh << one
         pv, mv = mh | ~(xv | ph), ph & xv
         np.minimum(best, score, out=best)
@@ -192,8 +198,10 @@ class Tables:
     #: Of each entry: its item and the place of the window there.
     item: np.ndarray
     offset: np.ndarray
-    #: For each table: flags of hashes, sorted keys, and the entry of each.
-    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    bits: int
+    #: For each table: flags of the keys' leading bits, the distinct keys in order, where each begins and how many entries
+    #: it has, and the entries.
+    keys: list[tuple[np.ndarray, ...]]
 
 
 class Items:
@@ -231,13 +239,14 @@ class Items:
             if not entries:
                 continue
             item, offset = np.array(entries, np.int64).T
-            keys = []
+            keys, bits = [], min(23, max(16, (32 * len(entries)).bit_length()))
             for walk in range(walks):
                 for k in walk_keys(classes, self.begin[item] + offset, walk, width):
-                    order, flags = np.argsort(k, kind="stable"), np.zeros(1 << _TABLE_BITS, bool)
-                    flags[_slot(k)] = True
-                    keys.append((flags, k[order], order.astype(np.int32)))
-            self.tables.append(Tables(width, stride, walks, shared, item, offset, keys))
+                    order, flags = np.argsort(k, kind="stable"), np.zeros(1 << bits - 3, np.uint8)
+                    np.bitwise_or.at(flags, (k >> np.uint64(67 - bits)).view(np.int64), np.uint8(1) << ((k >> np.uint64(64 - bits)).astype(np.uint8) & np.uint8(7)))
+                    known, begin, count = np.unique(k[order], return_index=True, return_counts=True)
+                    keys.append((flags, known, begin, count, order.astype(np.int32)))
+            self.tables.append(Tables(width, stride, walks, shared, item, offset, bits, keys))
         self.short: dict[bytes, list[int]] = {}
         self.heads: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = {}
         lengths: dict[int, dict[int, set[int]]] = {}
@@ -266,22 +275,27 @@ class Items:
         tables, found, total = iter(t.keys), [], 0
         for walk in range(t.walks):
             for k in walk_keys(classes, starts, walk, t.width):
-                flags, keys, entry = next(tables)
-                at = np.flatnonzero(flags[_slot(k)])
-                lo, hi = np.searchsorted(keys, k[at], "left"), np.searchsorted(keys, k[at], "right")
-                met = hi > lo
-                at, lo, n = at[met], lo[met], (hi - lo)[met]
+                flags, known, begin, count, entry = next(tables)
+                slot = k >> np.uint64(64 - t.bits)
+                byte = np.take(flags, (slot >> np.uint64(3)).view(np.int64), mode="clip")
+                at = np.flatnonzero(byte >> (slot.astype(np.uint8) & np.uint8(7)) & np.uint8(1))
+                k = k[at]
+                j = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                met = known[j] == k
+                at, lo, n = at[met], begin[j[met]], count[j[met]]
                 total += int(n.sum())
                 if total > MOST_PAIRS and len(starts) > 64:  # texts of one symbol and the like: fewer windows at a time
                     half = len(starts) // 2
                     parts = [self.sharing(classes, part, t) for part in (starts[:half], starts[half:])]
                     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                e = entry[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+                e = entry[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
                 found.append(np.repeat(at, n) * len(t.item) + e)
         pairs = np.sort(np.concatenate(found))
         pairs = np.unique(pairs[t.shared - 1 :][pairs[t.shared - 1 :] == pairs[: len(pairs) - t.shared + 1]])
         at, e = np.divmod(pairs, len(t.item))
-        return starts[at], e
+        # one of the entries of an item that lie within eight bytes of each other stands for all
+        _, first = np.unique((at * len(self.bodies) + t.item[e]) * (1 << 20) + t.offset[e] // 8, return_index=True)
+        return starts[at[first]], e[first]
 
     def like(self, x: np.ndarray, t: Tables, at: np.ndarray, e: np.ndarray, first: int) -> np.ndarray:
         """(item, start of the item) of the windows within LOOSE of their entries."""
@@ -290,8 +304,8 @@ class Items:
         for a in range(0, len(e), 4096):
             s = slice(a, a + 4096)
             size = np.minimum(t.width, self.size[i[s]] - t.offset[e[s]])
-            pieces = self.flat[(self.begin[i[s]] + t.offset[e[s]])[:, None] + np.arange(t.width)] * (np.arange(t.width) < size[:, None])
-            regions = x[np.clip((p[s] - slack)[:, None] + np.arange(t.width + 2 * slack), 0, len(x) - 1)]
+            pieces = _CLASS[self.flat[(self.begin[i[s]] + t.offset[e[s]])[:, None] + np.arange(t.width)]]
+            regions = _CLASS[x[np.clip((p[s] - slack)[:, None] + np.arange(t.width + 2 * slack), 0, len(x) - 1)]]
             passed[s] = least_distances(pieces, size, regions) <= LOOSE * size
         return np.unique(np.stack([i[passed], p[passed] - t.offset[e[passed]] - _PAD], 1), axis=0)
 

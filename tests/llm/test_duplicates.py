@@ -314,7 +314,7 @@ def test_windows_are_compared_exactly():
     rng = random.Random(9)
     for n in (1, 13, 63, 64):
         p, r = (rng.randbytes(n).translate(bytes(b"abc"[i % 3] for i in range(256))) for n in (n, 90))
-        row = lambda x: np.frombuffer(x, np.uint8)[None]
+        row = lambda x: np.frombuffer(x, np.uint8)[None] % 64
         assert decontaminate.least_distances(row(p), np.array([n]), row(r))[0] == decontaminate.best_match(p, r)[0]
 
 
