@@ -37,3 +37,25 @@ def occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of needle; of an empty one, one more than the characters."""
     gone = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
     return F.when(F.length(needle) == 0, F.length(text) + 1).otherwise((gone / F.length(needle)).cast("int"))
+
+
+#: Elements of a block.
+BLOCK = 256
+
+
+def bound(x: Column, f) -> Column:
+    """f of x, where x is computed once: a lambda's variable is, an expression that is named in one is not."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def blocks(a: Column) -> Column:
+    """An array in blocks. A fold copies what it carries at every step, so one that gathers elements is for a block only."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(a, b * BLOCK + 1, BLOCK))
+
+
+def before(values: Column, zero: Column, add) -> Column:
+    """What add gathers of all values ahead of each, one for each block of an array: values has few elements."""
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct(F.concat(acc["all"], F.array(acc["now"])).alias("all"), add(acc["now"], v).alias("now"))
+
+    return F.aggregate(values, F.struct(F.array().cast("array<int>").alias("all"), zero.alias("now")), step, lambda acc: acc["all"])

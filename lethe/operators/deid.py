@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from lethe.functions import catalog as C
 from lethe.functions.text import looked_up
+from lethe.operators.detect import kept_hits, with_hits
+from lethe.operators.vault import hmac_sha256, opened, read_key_files
+from lethe.sources.shared import stored
 
 LABEL_HEX = 12
+#: The mapping's entry of a document's key of hashes.
+HMAC_ENTRY = "__hmac_key__"
 
 
 def label(kind: Column, salt: str, *place: Column) -> Column:
@@ -17,23 +22,6 @@ def label(kind: Column, salt: str, *place: Column) -> Column:
     return F.concat(F.lit("["), kind, F.lit("_"), F.substring(h, 1, LABEL_HEX), F.lit("]"))
 
 
-def hmac_sha256(key: Column, message: Column) -> Column:
-    """Hex HMAC of a BINARY message under a BINARY key of up to 64 bytes, from two hashes of padded keys."""
-    padded = F.rpad(F.hex(key), 128, "0")
-
-    inner = F.unhex(F.sha2(F.concat(_xor(padded, 0x36), message), 256))
-    return F.sha2(F.concat(_xor(padded, 0x5C), inner), 256)
-
-
-def _xor(hex_text: Column, byte: int) -> Column:
-    """Each byte of a 64-byte hex text, xor a byte: high and low digits have their own tables."""
-    digits = "0123456789ABCDEF"
-    high = "".join(f"{i ^ (byte >> 4):X}" for i in range(16))
-    low = "".join(f"{i ^ (byte & 15):X}" for i in range(16))
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(127), F.lit(2)), lambda i: F.concat(F.translate(F.substring(hex_text, i, F.lit(1)), digits, high), F.translate(F.substring(hex_text, i + 1, F.lit(1)), digits, low)))
-    return F.unhex(F.array_join(pairs, ""))
-
-
 def replacement(approach: Column | str, kind: Column, text: Column, tag: Column, key: Column | None = None) -> Column:
     """What stands for an entity; an unknown mode gives its type. Without a key the hash is a plain one."""
     a = F.lit(approach) if isinstance(approach, str) else approach
@@ -73,11 +61,48 @@ def deidentified(pages: DataFrame, ents: DataFrame, approach: str = "replace", s
         e, key = e.join(keys, "doc_id", "left"), F.col("key")
     e = e.withColumn("overlay", replacement(approach, F.col("entity_type"), F.col("text"), F.col("label"), key))
     per = e.groupBy("doc_id", "page_num").agg(F.collect_list(F.struct("text", "overlay")).alias("swaps"), F.map_from_entries(F.collect_list(F.struct("label", "text"))).alias("mapping"))
+    if keys is not None and approach == "hash":  # kept with the labels, so that hashes can be repeated
+        named = keys.select("doc_id", F.create_map(F.lit(HMAC_ENTRY), F.lower(F.hex("key"))).alias("own"))
+        per = per.join(named, "doc_id", "left").withColumn("mapping", F.when(F.col("own").isNull(), F.col("mapping")).otherwise(F.map_concat("mapping", "own"))).drop("own")
     out = pages.join(per, ["doc_id", "page_num"], "left")
     text = F.when(F.col("swaps").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("swaps")))
     return out.select("doc_id", "page_num", text.alias("text"), F.coalesce("mapping", F.create_map().cast("map<string,string>")).alias("mapping"))
 
 
+def _with_kept(pages: DataFrame) -> DataFrame:
+    """Adds kept, the hits of each page that stay, as a column that later ones use and do not compute again."""
+    return with_hits(pages).withColumn("kept", F.explode(F.array(kept_hits(F.col("hits"), F.col("text"))))).drop("hits")
+
+
+def _place(h: Column, salt: str) -> Column:
+    return label(h["type"], salt, F.col("doc_id"), F.col("page_num"), h["start"])
+
+
+def deidentified_pages(pages: DataFrame, approach: str = "replace", salt: str = "") -> DataFrame:
+    """deidentified() of all entities that detection finds, in one projection of each page: no exchange."""
+    x = _with_kept(pages)
+    swaps = F.transform("kept", lambda h: F.struct(h["text"].alias("text"), replacement(approach, h["type"], h["text"], _place(h, salt)).alias("overlay")))
+    mapping = F.map_from_entries(F.transform("kept", lambda h: F.struct(_place(h, salt), h["text"])))
+    text = F.when(F.size("kept") == 0, F.col("text")).otherwise(rewritten(F.col("text"), swaps))
+    return x.select("doc_id", "page_num", text.alias("text"), mapping.alias("mapping"))
+
+
+def overlaid_pages(pages: DataFrame, approach: str = "replace", salt: str = "") -> DataFrame:
+    """overlaid() of all entities that detection finds, in one projection of each page: no exchange."""
+    def overlay(h: Column) -> Column:
+        tag = _place(h, salt)
+        said = F.lit("") if approach == "highlight" else replacement(approach, h["type"], h["text"], tag)
+        return F.struct(tag.alias("label"), h["start"].alias("start"), h["end"].alias("end"), said.alias("overlay"))
+
+    return _with_kept(pages).withColumn("overlays", F.array_sort(F.transform("kept", overlay)).cast(f"array<{OVERLAY}>")).drop("kept")
+
+
+def document_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, key: 32 random bytes for each document, stored, so that every use and retry sees the same ones."""
+    ids = docs.select("doc_id").distinct()
+    return stored(ids.select("doc_id", F.unhex(F.sha2(F.concat(F.uuid(), F.uuid()), 256)).alias("key")), "hash-keys")
+
+
 OVERLAY = "struct<label:string,start:int,end:int,overlay:string>"
 
 
@@ -105,6 +130,19 @@ def restored(overlays: Column, mapping: Column) -> Column:
     return F.filter(overlays, lambda o: ~F.array_contains(known, o["label"]))
 
 
+def deredacted(redacted: DataFrame, key_files: DataFrame, **reading) -> DataFrame:
+    """Redacted documents (doc_id, page_num, text, overlays) with what their key files open: adds mode, left (the overlays
+    that stay), removed and error. key_files: doc_id, blob, passphrase; a blank passphrase is none. A document without a
+    key file, or whose file does not open, keeps its overlays and says why. One join, on doc_id."""
+    opened_files = read_key_files(key_files.withColumn("passphrase", F.when(F.col("passphrase") != "", F.col("passphrase"))), **reading)
+    maps = opened_files.withColumn("mapping", opened(F.col("ciphertext"), F.col("key")))
+    failed = F.when(F.col("error").isNull() & F.col("mapping").isNull(), "decryption failed").otherwise(F.col("error"))
+    x = redacted.join(maps.select("doc_id", "mapping", failed.alias("error"), F.lit(True).alias("given")), "doc_id", "left")
+    x = x.withColumn("error", F.when(F.col("given").isNull(), "no key file").otherwise(F.col("error"))).withColumn("mapping", F.coalesce("mapping", F.create_map().cast("map<string,string>")))
+    x = x.withColumn("mode", redaction_mode(F.col("overlays"), F.col("mapping"))).withColumn("left", restored(F.col("overlays"), F.col("mapping")))
+    return x.select(*redacted.columns, "mode", "left", (F.size("overlays") - F.size("left")).alias("removed"), "error")
+
+
 def reviewed(ents: DataFrame, overrides: DataFrame, custom: DataFrame) -> DataFrame:
     """Entities with approved (true unless overridden), and rows that a reviewer added."""
     on = ["doc_id", "page_num", "start", "end"]

@@ -38,6 +38,12 @@ def with_hits(pages: DataFrame) -> DataFrame:
     return found.withColumn("hits", F.concat("hits", model_hits(F.col("ner")))) if "ner" in pages.columns else found
 
 
+def kept_hits(hits: Column, page: Column) -> Column:
+    """The hits of a page that stay: resolved, then without those that context or form rules out."""
+    ok = lambda h: ~contextual_false_positive(h["text"], h["type"], h["start"], h["end"], page) & plausible(h["text"])
+    return F.filter(merged(hits), ok)
+
+
 def entities(pages: DataFrame) -> DataFrame:
     """A row per entity: doc_id, page_num, entity_type, text, start, end, score, source, analysis."""
     # an outer explode has no filter inferred below it, which would compute the hits and their guards again

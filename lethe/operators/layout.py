@@ -81,3 +81,13 @@ def words_of_entities(words: DataFrame, rects: DataFrame, approved: DataFrame) -
     held = words.join(r, ["doc_id", "page_num"]).filter(cx.between(F.col("rx0"), F.col("rx1")) & cy.between(F.col("ry0"), F.col("ry1")))
     first = held.groupBy("doc_id", "page_num", "index").agg(F.min("entity").alias("entity"))
     return first.join(approved, ["doc_id", "entity"]).select("doc_id", "page_num", "index", "entity", F.col("approved").alias("redacted"))
+
+
+def text_positions(pages: DataFrame, wanted: Column) -> DataFrame:
+    """doc_id, page_num, start, end of every place of a text on a page, upper and lower case alike; places do not overlap."""
+    parts = F.split(F.lower("text"), F.concat(F.lit("\\Q"), F.replace(F.lower(wanted), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    n = F.length(wanted)
+    x = pages.withColumn("n", n).filter("n > 0").withColumn("parts", parts).filter("size(parts) > 1")
+    x = x.select("doc_id", "page_num", "n", F.posexplode(F.transform(F.slice("parts", F.lit(1), F.size("parts") - 1), F.length)).alias("i", "length"))
+    so_far = F.sum("length").over(Window.partitionBy("doc_id", "page_num").orderBy("i"))
+    return x.withColumn("start", (so_far + F.col("i") * F.col("n")).cast("int")).select("doc_id", "page_num", "start", (F.col("start") + F.col("n")).alias("end"))

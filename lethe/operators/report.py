@@ -74,6 +74,31 @@ def active_counts(reviewed: DataFrame) -> DataFrame:
     return reviewed.groupBy("doc_id", "page_num").agg(F.count("*").alias("found"), F.sum(F.col("approved").cast("int")).alias("active"))
 
 
+def model_runs(ents: DataFrame, docs: DataFrame, model: str) -> DataFrame:
+    """A model's run over docs (document, pages, seconds) from the entities (doc_id, entity_type) that it found: model,
+    document, ord (0 for the first document, which loads the model), pages, seconds, seconds_per_page, entities, types (a
+    map of counts). The first document is found by one minimum, not by an order of all."""
+    counts = ents.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("document"))
+    per = counts.agg(F.sum("n").alias("entities"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("types"))
+    first = docs.agg(F.min("document").alias("first"))
+    x = docs.join(per, "document", "left").crossJoin(F.broadcast(first))  # one row
+    return x.select(
+        F.lit(model).alias("model"), "document", F.when(F.col("document") == F.col("first"), 0).otherwise(1).alias("ord"), "pages", "seconds",
+        F.round(F.col("seconds") / F.greatest("pages", F.lit(1)), 3).alias("seconds_per_page"), F.coalesce("entities", F.lit(0)).alias("entities"),
+        F.coalesce("types", F.create_map().cast("map<string,bigint>")).alias("types"),
+    )
+
+
+def run_counts(runs: DataFrame) -> DataFrame:
+    """model, entity_type, n over all documents of runs."""
+    return runs.select("model", F.explode("types").alias("entity_type", "n")).groupBy("model", "entity_type").agg(F.sum("n").alias("n"))
+
+
+def bench_tables(runs: DataFrame, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The three tables of a benchmark: a summary of each model, its documents, and its types."""
+    return {"summary": bench_summary(runs), "documents": runs.withColumn("types", F.to_json("types")), "types": type_pivot(run_counts(runs), kinds)}
+
+
 def bench_summary(rows: DataFrame) -> DataFrame:
     """Per model of rows (model, document, ord, pages, entities, seconds): the first document warms up."""
     steady = F.col("ord") > 0

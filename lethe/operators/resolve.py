@@ -1,16 +1,19 @@
 """Resolution of overlapping and repeated hits, as folds over a page's sorted array: no shuffle.
 
-Acceptance depends on what was accepted before, so these are folds, not windows. A fold costs the square of a
-page's hits; pages hold few.
+Acceptance depends on what was accepted before, so these are folds, not windows. Hits are first parted into clusters
+that overlap, so each is held against the few of its cluster; equal texts are found by sorting. Hits of overlapping
+model windows (chunks_merged) are compared with all kept of their page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethe.functions.catalog import NER_PRIORITIES, NER_PRIORITY
-from lethe.functions.text import looked_up, strip
+from lethe.functions.text import before, blocks, bound, looked_up, strip
 from lethe.operators.spans import HIT
 
 
@@ -38,13 +41,37 @@ def by_start(hits: Column) -> Column:
 
 
 def spans_merged(hits: Column) -> Column:
-    """Higher priority first, then regex, ner, llm, then the earlier start; overlapping hits lose."""
-    return accepted(F.array_sort(hits), overlap)
+    """Higher priority first, then regex, ner, llm, then the earlier start; overlapping hits lose.
+
+    Only hits of one cluster can overlap: in the order of starts, a cluster ends where a hit begins at or after all ends.
+    """
+    best = lambda some: F.when(F.size(some) < 2, some).otherwise(accepted(F.array_sort(some), overlap))
+
+    def firsts(ends: Column, by: Column) -> Column:
+        """The places where a cluster begins: the start is at or after the ends of all blocks before and of the block so far."""
+        tops = before(F.transform(ends, lambda e: F.array_max(e)), F.lit(0), lambda x, y: F.greatest(x, y))
+        within = lambda e, k: F.when(k == 0, 0).otherwise(F.array_max(F.slice(e, F.lit(1), F.greatest(k, F.lit(1)))))
+        last = lambda top, e: F.transform(e, lambda x, k: F.greatest(F.get(top[0], top[1]), within(e, k)))
+        lasts = bound(tops, lambda top: F.flatten(F.transform(ends, lambda e, i: last((top, i), e))))
+        return bound(lasts, lambda m: F.filter(F.sequence(F.lit(0), F.size(by) - 1), lambda i: (i == 0) | (F.get(by, i)["start"] >= F.get(m, i))))
+
+    def clusters(by: Column) -> Column:
+        at = bound(F.transform(blocks(by), lambda b: F.transform(b, lambda x: x["end"])), lambda ends: firsts(ends, by))
+        until = lambda at, i: F.coalesce(F.get(at, i + 1), F.size(by))
+        return bound(at, lambda at: F.transform(at, lambda s, i: F.slice(by, s + 1, until(at, i) - s)))
+
+    some = bound(by_start(hits), lambda by: F.flatten(F.transform(clusters(by), best)))
+    return F.when(F.size(hits) < 2, hits).otherwise(F.array_sort(some))
 
 
 def texts_merged(hits: Column) -> Column:
     """Of equal texts (lower case, stripped) the first stays; ordered by start."""
-    return by_start(accepted(hits, lambda x, y: key(x["text"]) == key(y["text"])))
+    keyed = F.array_sort(F.transform(hits, lambda x, i: F.struct(key(x["text"]).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = lambda a: F.filter(a, lambda e, i: (i == 0) | (F.get(a, i - 1)["k"] != e["k"]))
+    # the sorted array is bound to a name: an expression would be sorted again for each element
+    kept = bound(keyed, firsts)
+    order = F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.when(F.size(hits) < 2, hits).otherwise(by_start(F.transform(order, lambda e: e["x"])))
 
 
 def merged(hits: Column) -> Column:
@@ -69,6 +96,18 @@ def score_merged(ents: Column) -> Column:
     return F.aggregate(F.array_sort(ents), none, step)
 
 
+def lists_merged(*lists: DataFrame) -> DataFrame:
+    """Lists of entities (doc_id, page_num, entity_type, text, start, end, score, source) as one, by page: overlapping
+    ones are merged by score, and an earlier list goes first where start and score tie. One list is returned as it is."""
+    if len(lists) == 1:
+        return lists[0]
+    names = ["doc_id", "page_num", "entity_type", "text", "start", "end", "score", "source"]
+    both = reduce(DataFrame.union, [x.select(*names, F.lit(i).alias("i")) for i, x in enumerate(lists)])
+    one = F.struct("start", (-F.col("score")).alias("neg_score"), "i", "end", "entity_type", "text", "score", "source").cast(SCORED)
+    per = both.groupBy("doc_id", "page_num").agg(F.collect_list(one).alias("l"))
+    return per.select("doc_id", "page_num", F.explode(score_merged(F.col("l"))).alias("e")).select("doc_id", "page_num", *(f"e.{n}" for n in names[2:]))
+
+
 CHUNKED = "struct<neg_score:double,i:int,start:int,end:int,text:string,type:string,score:double>"
 
 

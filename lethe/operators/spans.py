@@ -1,4 +1,4 @@
-"""Spans with offsets, in the JVM: matches are marked by one replacement, then positions are folded up."""
+"""Spans with offsets, in the JVM: matches are marked by one replacement, then positions are added up in blocks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethe.functions.catalog import LEAST_LENGTH, PATTERNS, STEMS, Pattern
-from lethe.functions.text import ODD_SPACE, contains_any, strip
+from lethe.functions.text import ODD_SPACE, before, blocks, bound, contains_any, strip
 
 HIT = "struct<neg:int,rank:int,start:int,seq:int,end:int,text:string,type:string,priority:int,source:string,score:double>"
 #: The marks and the separators that Unicode \s leaves out become characters of the same length.
@@ -42,18 +42,27 @@ def possible(pattern: Pattern, g: dict[str, Column]) -> Column:
 
 
 def find(scan: Column, pattern: Pattern, guard: Column | None = None) -> Column:
-    """array<struct<start, end>> of a pattern's matches in a scannable text."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    """array<struct<start, end, tok>> of a pattern's matches in a scannable text."""
+    kind = "struct<start:int,end:int,tok:string>"
+    none = F.array().cast(f"array<{kind}>")
     cut = F.split(F.regexp_replace(scan, pattern.java, "$1\u0001$2\u0002"), "\u0001", -1)
 
-    def step(acc: Column, part: Column) -> Column:
-        """The first part, ahead of any match, only moves the position, which starts below zero."""
-        n = F.length(F.substring_index(part, "\u0002", 1))
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))
-        spans = F.when(acc["at"] < 0, acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
-        return F.struct((F.greatest(acc["at"], F.lit(0)) + F.length(part) - F.when(acc["at"] < 0, 0).otherwise(1)).alias("at"), spans.alias("spans"))
+    def local(parts: Column) -> Column:
+        """spans of a block, counted from the first match of the block, and the block's length."""
+        def step(acc: Column, part: Column) -> Column:
+            tok = F.substring_index(part, "\u0002", 1)
+            span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(tok)).alias("end"), tok.alias("tok"))
+            return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    found = F.aggregate(cut, F.struct(F.lit(-1).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def placed(ahead: Column, done: Column) -> Column:
+        starts = before(F.transform(done, lambda b: b["at"]), ahead, lambda x, y: x + y)
+        move = lambda at: lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["tok"].alias("tok"))
+        return bound(starts, lambda at: F.flatten(F.transform(done, lambda b, i: F.transform(b["spans"], move(F.get(at, i))))))
+
+    rest = lambda parts: F.transform(blocks(F.slice(parts, F.lit(2), F.size(parts))), local)
+    found = bound(cut, lambda parts: bound(rest(parts), lambda done: placed(F.length(F.get(parts, 0)), done)))
     can = possible(pattern, guards(scan)) if guard is None else guard
     return F.when(can, F.when(F.regexp_like(scan, F.lit(pattern.java)), found).otherwise(none)).otherwise(none)
 
@@ -67,7 +76,9 @@ def hits_of(text: Column, scan: Column, pattern: Pattern, seq: int, guard: Colum
     """array<HIT> of one pattern: values of label tiers are stripped, their offsets are not."""
 
     def hit(x: Column) -> Column:
-        raw = F.substring(text, x["start"] + 1, x["end"] - x["start"])
+        # a substring is counted from the page's beginning: only where the match may differ from the text
+        odd = x["tok"].contains("\u0003") | x["tok"].contains(" ")
+        raw = F.when(odd, F.substring(text, x["start"] + 1, x["end"] - x["start"])).otherwise(x["tok"])
         value = raw if pattern.tier == "core" else strip(raw)
         cols = (F.lit(-pattern.priority), F.lit(0), x["start"], F.lit(seq), x["end"], value, F.lit(pattern.type), F.lit(pattern.priority), F.lit("regex"), F.lit(None).cast("double"))
         names = ("neg", "rank", "start", "seq", "end", "text", "type", "priority", "source", "score")

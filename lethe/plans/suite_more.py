@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethe.functions import catalog as C
@@ -36,31 +36,54 @@ def _(spark, sf_dir):
 
 def _key_files(spark, sf_dir) -> DataFrame:
     m = _mappings(spark, sf_dir).withColumn("sealed", vault.sealed(F.col("mapping"), F.col("key")))
-    phrase = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("correct horse"))
+    phrase = F.when(F.pmod("doc_id", F.lit(64)) == 0, F.lit("correct horse"))
     m = m.withColumn("passphrase", phrase).withColumn("salt", F.unhex(F.md5(F.encode(F.col("doc_id").cast("string"), "UTF-8"))))
-    m = m.withColumn("pk", vault.derive("passphrase", "salt", F.lit(1000)))
+    m = m.withColumn("pk", vault.derive("passphrase", "salt", F.lit(C.PBKDF2_ROUNDS)))
     return m.withColumn("blob", vault.key_file(F.col("key"), F.col("sealed"), F.col("pk"), F.col("salt")))
 
 
-@query("c5_key_files", f"WITH {ENTS_SQL} SELECT doc_id, (doc_id % 2 + 2) % 2 = 0 AS locked, true AS same_key, true AS same_map FROM ents GROUP BY doc_id")
+@query("c5_key_files", f"WITH {ENTS_SQL} SELECT doc_id, (doc_id % 64 + 64) % 64 = 0 AS locked, true AS same_key, true AS same_map FROM ents GROUP BY doc_id")
 def _(spark, sf_dir):
     files = _key_files(spark, sf_dir).select("doc_id", "blob", "passphrase", F.col("key").alias("own"), F.to_json("mapping").alias("m"))
-    x = vault.read_key_files(files, rounds=1000)
+    x = vault.read_key_files(files)
     return x.select("doc_id", F.col("passphrase").isNotNull().alias("locked"), F.coalesce(F.col("key") == F.col("own"), F.lit(False)).alias("same_key"), F.coalesce(F.to_json(vault.opened(F.col("ciphertext"), F.col("key"))) == F.col("m"), F.lit(False)).alias("same_map"))
 
 
-@query("c6_key_file_errors", "SELECT * FROM (VALUES ('not a key file', 'unrecognised format'), ('cut short', 'truncated or corrupt'), ('cut short, locked', 'truncated or corrupt'), ('wrong passphrase', 'wrong passphrase or corrupted file'), ('whole', NULL)) AS v(kind, error)")
+_OLD_MAP = '{"[X_1]":"Anna"}'
+
+
+def _old_token(body: Column, key: Column) -> Column:
+    """A token of the older layouts, at time 0 and with a fixed IV."""
+    head = F.concat(F.lit(bytearray(b"\x80" + bytes(8))), F.aes_encrypt(body, F.substring(key, 17, 16), F.lit("CBC"), F.lit("PKCS"), F.lit(bytearray(range(16)))))
+    raw = F.concat(head, F.unhex(vault.hmac_sha256(F.substring(key, 1, 16), head)))
+    return F.encode(F.translate(F.base64(raw), "+/", "-_"), "UTF-8")
+
+
+_KEY_FILE_CASES = (
+    ("not a key file", "unrecognised format", None), ("cut short", "truncated or corrupt", None), ("cut short, locked", "truncated or corrupt", None), ("wrong passphrase", "wrong passphrase or corrupted file", None),
+    ("whole", None, _OLD_MAP), ("old, plain", None, _OLD_MAP), ("old, locked", None, _OLD_MAP), ("old, no passphrase", "needs its passphrase", None), ("old, wrong", "wrong passphrase or corrupted file", None), ("old, cut", "truncated or corrupt", None),
+)
+
+
+@query("c6_key_file_errors", f"WITH {values('v', 'kind, error, mapping', _KEY_FILE_CASES)} SELECT * FROM v")
 def _(spark, sf_dir):
     key, salt = bytes(range(32)), b"0123456789abcdef"
-    pk = vault.derived_key("right", salt, 1000)
-    one = rows(spark, [(bytearray(key), bytearray(b"c" * 40), bytearray(pk), bytearray(salt))], "key binary, ct binary, pk binary, salt binary")
-    blobs = one.select(vault.key_file(F.col("key"), F.col("ct")).alias("plain"), vault.key_file(F.col("key"), F.col("ct"), F.col("pk"), F.col("salt")).alias("locked"))
+    pk = vault.derived_key("right", salt)
+    one = rows(spark, [(bytearray(key), bytearray(pk), bytearray(salt), _OLD_MAP)], "key binary, pk binary, salt binary, map string")
+    one = one.withColumn("ct", vault.sealed(F.from_json("map", "map<string,string>"), F.col("key")))
+    # the older layouts' key is text, of which the bytes sign and encrypt
+    own = F.encode(F.base64("key"), "UTF-8")
+    token, wrapped = _old_token(F.encode("map", "UTF-8"), F.col("key")), _old_token(own, F.col("pk"))
+    size = F.unhex(F.lpad(F.hex(F.length(wrapped)), 8, "0"))
+    old = F.concat(F.lit(bytearray(vault.OLD_LOCKED)), F.col("salt"), size, wrapped, token)
+    blobs = one.select(vault.key_file(F.col("key"), F.col("ct")).alias("plain"), vault.key_file(F.col("key"), F.col("ct"), F.col("pk"), F.col("salt")).alias("locked"), old.alias("old"), F.concat(own, F.lit(bytearray(vault.OLD_PLAIN)), token).alias("older"))
     kinds = (
         ("not a key file", F.encode(F.lit("whatever"), "UTF-8"), None), ("cut short", F.substring("plain", 1, 20), None), ("cut short, locked", F.substring("locked", 1, 50), "right"),
-        ("wrong passphrase", F.col("locked"), "wrong"), ("whole", F.col("locked"), "right"),
+        ("wrong passphrase", F.col("locked"), "wrong"), ("whole", F.col("locked"), "right"), ("old, plain", F.col("older"), None), ("old, locked", F.col("old"), "right"),
+        ("old, no passphrase", F.col("old"), ""), ("old, wrong", F.col("old"), "wrong"), ("old, cut", F.substring("old", 1, 40), "right"),
     )
     cases = blobs.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), b.alias("blob"), F.lit(p).cast("string").alias("passphrase")) for k, b, p in kinds))).alias("x")).select("x.*")
-    return vault.read_key_files(cases, rounds=1000).select("kind", "error")
+    return vault.read_key_files(cases).select("kind", "error", F.to_json(vault.opened(F.col("ciphertext"), F.col("key"))).alias("mapping"))
 
 
 # Audit and risk --------------------------------------------------------------------------------------------
@@ -372,53 +395,6 @@ def _(spark, sf_dir):
     return _words(spark, sf_dir).groupBy("doc_id", "page_num", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-# Benchmark summaries: one model over documents, another over web pages ---------------------------------------
-_BENCH = """b AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model, doc_id AS document, doc_id // 2 AS ord, 1::BIGINT AS pages, length(text) % 7 AS entities, (length(text) % 1000) / 8.0 AS seconds FROM documents)"""
-
-
-def _bench(spark, sf_dir) -> DataFrame:
-    n = F.length("text").cast("long")
-    d = tables.read(spark, sf_dir, "documents")
-    return d.select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("model"), F.col("doc_id").alias("document"), F.floor(F.col("doc_id") / 2).alias("ord"), F.lit(1).cast("long").alias("pages"), (n % 7).alias("entities"), (n % 1000 / 8.0).alias("seconds"))
-
-
-@query("a11_summary", f"""WITH {_BENCH} SELECT model, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(entities) AS BIGINT) AS entities, round(avg(entities), 1) AS avg_entities, round(avg(seconds), 3) AS avg_s, CAST(min(seconds) AS DOUBLE) AS min_s, CAST(max(seconds) AS DOUBLE) AS max_s,
-round(avg(seconds) FILTER (ord > 0), 3) AS steady_s, CAST(max(seconds) FILTER (ord = 0) AS DOUBLE) AS cold_s FROM b GROUP BY model""")
-def _(spark, sf_dir):
-    return report.bench_summary(_bench(spark, sf_dir))
-
-
-@query("a12_steady", f"WITH {_BENCH} SELECT model, CAST(min(seconds) FILTER (ord > 0) AS DOUBLE) AS min_s, CAST(max(seconds) FILTER (ord > 0) AS DOUBLE) AS max_s, count(DISTINCT entities) AS types FROM b GROUP BY model")
-def _(spark, sf_dir):
-    return report.steady_range(_bench(spark, sf_dir).withColumn("types", F.array("entities")))
-
-
-_COUNTS = f"{_BENCH}, c AS (SELECT model, 'T' || entities AS entity_type, count(*) AS n FROM b GROUP BY ALL)"
-
-
-def _counts(spark, sf_dir) -> DataFrame:
-    return _bench(spark, sf_dir).groupBy("model", F.concat(F.lit("T"), F.col("entities").cast("string")).alias("entity_type")).agg(F.count("*").alias("n"))
-
-
-@query("a13_shares", f"WITH {_COUNTS} SELECT model, entity_type, n, round(100.0 * n / sum(n) OVER (PARTITION BY model), 1)::DOUBLE AS pct FROM c")
-def _(spark, sf_dir):
-    return report.type_shares(_counts(spark, sf_dir))
-
-
-@query("a14_pivot", f"WITH {_COUNTS} SELECT model, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (entity_type = 'T{i}'), 0) AS BIGINT) AS T{i}" for i in range(7)) + " FROM c GROUP BY model")
-def _(spark, sf_dir):
-    return report.type_pivot(_counts(spark, sf_dir), tuple(f"T{i}" for i in range(7)))
-
-
-
-
-@query("j12_models", f"WITH {_BENCH}, w AS (SELECT * FROM (VALUES ('even'), ('third')) AS v(model)) SELECT model, model IN (SELECT model FROM b) AS available FROM w")
-def _(spark, sf_dir):
-    wanted = rows(spark, [("even",), ("third",)], "model string")
-    have = _bench(spark, sf_dir).select("model").distinct()
-    return wanted.join(have, "model", "left_semi").withColumn("available", F.lit(True)).union(wanted.join(have, "model", "left_anti").withColumn("available", F.lit(False)))
-
-
 @query("u4_types", f"WITH {ENTS_SQL} SELECT DISTINCT entity_type FROM ents")
 def _(spark, sf_dir):
     return ents(spark, sf_dir).select("entity_type").distinct()
@@ -436,10 +412,10 @@ def _(spark, sf_dir):
     return verify.new_entities(_raw(spark)).join(pages, "doc_id").filter(F.col("page").contains(F.col("text"))).select("doc_id", "text").distinct()
 
 
-@query("f15_disputed", f"WITH {_MODEL} SELECT doc_id, text, contains(lower('review: ' || entity_type), 'review') AS disputed, source = 'LLM' AS only_model FROM m")
+@query("f15_disputed", f"WITH {_MODEL} SELECT doc_id, text, contains(CASE WHEN entity_type = 'PERSON' THEN 'Review: ' || text WHEN score > 0.5 THEN 'LLM verified' ELSE 'ner | x' END, 'Review') AS disputed, source = 'LLM' AS only_model FROM m")
 def _(spark, sf_dir):
     e = _model_ents(spark)
-    return e.select("doc_id", "text", (filters.badge(F.concat(F.lit("review: "), F.col("entity_type"))) == "review").alias("disputed"), (F.col("source") == "LLM").alias("only_model"))
+    return e.select("doc_id", "text", (filters.badge(F.when(F.col("entity_type") == "PERSON", F.concat(F.lit("Review: "), F.col("text"))).when(F.col("score") > 0.5, "LLM verified").otherwise("ner | x")) == "review").alias("disputed"), (F.col("source") == "LLM").alias("only_model"))
 
 
 # Steps with a provider, on crafted rows; their SQL states the expected rows ----------------------------------
@@ -452,9 +428,9 @@ def _(spark, sf_dir):
     return verify.page_additions(answers, pages, known).select("doc_id", "page_num", "entity_type", "text", "start")
 
 
-@query("s2_recognition", "SELECT * FROM (VALUES (1::BIGINT, 0, 'has text', false), (1, 1, 'seen', true), (1, 2, '', true)) AS v(doc_id, page_num, text, is_ocr)")
+@query("s2_recognition", "SELECT * FROM (VALUES (1::BIGINT, 0, 'has text', false, NULL), (1, 1, 'seen', true, NULL), (1, 2, '', true, NULL), (1, 3, '', true, 'an image was not read: UnicodeDecodeError')) AS v(doc_id, page_num, text, is_ocr, warning)")
 def _(spark, sf_dir):
-    images = rows(spark, [(1, 0, "has text", bytearray(b"")), (1, 1, " ", bytearray(b"seen")), (1, 2, None, bytearray(b""))], "doc_id long, page_num int, text string, content binary")
+    images = rows(spark, [(1, 0, "has text", bytearray(b"")), (1, 1, " ", bytearray(b"seen")), (1, 2, None, bytearray(b"")), (1, 3, None, bytearray(b"\xff"))], "doc_id long, page_num int, text string, content binary")
     return providers.read_pages(images, [lambda: lambda c: bytes(c).decode()])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.functions.catalog import PAGE_CAP, UPLOAD_CAP
+from lethe.sources.shared import stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     is one task's work, however long its texts; a table of many files is read as it lies."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    few = len(df._jdf.inputFiles()) < cores  # Spark's own listing of the files: their names do not come to Python
+    return df.repartition(cores) if few else df
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
@@ -52,6 +54,40 @@ def uploads(found: DataFrame, cap: int = UPLOAD_CAP) -> tuple[DataFrame, DataFra
     return found.filter(ok), found.filter(~ok).withColumn("reason", F.when(F.col("length") > cap, "too large").otherwise("not a PDF"))
 
 
+def parsed_documents(found: DataFrame, parser: Callable[[bytes], list[str]] | None, cap: int = PAGE_CAP) -> DataFrame:
+    """path, pages, error of binary documents (path, content) by a parser that the caller provides; without one, a clear
+    error. A document of more than `cap` pages, or that the parser refuses, has no pages but an error, so one such does not
+    end a run over many; texts are stripped."""
+    if parser is None:
+        raise RuntimeError("no parser for binary documents is installed; pass one")
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    texts = parser(bytes(content))
+                    error = f"a document has {len(texts)} pages; at most {cap} are read" if len(texts) > cap else None
+                except Exception as e:  # noqa: BLE001  the other documents are read
+                    texts, error = [], f"a document was not read: {type(e).__name__}"
+                rows.append((path, [] if error else [t.strip() for t in texts], error))
+            yield pd.DataFrame(rows, columns=["path", "pages", "error"])
+
+    return found.select("path", "content").mapInPandas(run, "path string, pages array<string>, error string")
+
+
+def text_pages(parsed: DataFrame) -> DataFrame:
+    """doc_id (the path), page_num, text of parsed documents."""
+    return parsed.select(F.col("path").alias("doc_id"), F.posexplode("pages").alias("page_num", "text"))
+
+
+def extracted_once(pages: DataFrame) -> DataFrame:
+    """Pages stored in the shared folder, so that several models read what was extracted once."""
+    return stored(pages, "pages")
+
+
 def parsed_pages(found: DataFrame, parser: Callable[[bytes], list[str]] | None, cap: int = PAGE_CAP) -> DataFrame:
     """Pages of binary documents by a parser that the caller provides; without one, a clear error.
 

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lethe.functions.catalog import LEAST_LENGTH, PATTERNS
-from lethe.operators import deid, detect, providers, report, vault, verify
+from lethe.operators import deid, detect, providers, report, resolve, spans, vault, verify
 from lethe.plans import fixtures
 from lethe.sources import sinks, tables
 from lethe.streaming.detect import entity_stream, page_stream
@@ -205,3 +207,89 @@ def test_other_providers(spark):
     boxed = spark.createDataFrame([(1, 0, True, [1]), (1, 1, True, [2]), (1, 2, False, [3])], "doc_id long, page_num int, is_ocr boolean, word_boxes array<int>")
     flat = deid.flattened(boxed, boxed.filter("page_num <> 1").select("doc_id", "page_num"))
     assert sorted((r.page_num, r.word_boxes) for r in flat.collect()) == [(0, None), (1, [2]), (2, [3])]
+
+
+def hit_frame(spark, lists: dict[int, list[tuple]]):
+    rows = [(d, i, s, e, p, f"t{s % 3}") for d, hits in lists.items() for i, (s, e, p) in enumerate(hits)]
+    x = spark.createDataFrame(rows, "doc_id long, seq int, start int, end int, priority int, text string")
+    one = F.struct((-F.col("priority")).alias("neg"), F.lit(0).alias("rank"), "start", "seq", "end", "text", F.lit("T").alias("type"), "priority", F.lit("regex").alias("source"), F.lit(None).cast("double").alias("score"))
+    return x.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).cast(f"array<{spans.HIT}>").alias("hits"))
+
+
+def test_span_merge_in_clusters_is_the_greedy_one(spark, monkeypatch):
+    monkeypatch.setattr("lethe.functions.text.BLOCK", 4)
+    rng = random.Random(7)
+    lists = {d: [((s := rng.randrange(60)), s + rng.randrange(0, 9), rng.randrange(1, 5)) for _ in range(rng.randrange(1, 30))] for d in range(150)}
+    for r in hit_frame(spark, lists).select("doc_id", resolve.spans_merged(F.col("hits")).alias("kept"), resolve.merged(F.col("hits")).alias("merged")).collect():
+        order = sorted((-p, 0, s, i, e) for i, (s, e, p) in enumerate(lists[r.doc_id]))
+        kept: list[tuple] = []
+        for x in order:
+            if not any(x[2] < y[4] and y[2] < x[4] for y in kept):
+                kept.append(x)
+        assert [(h.start, h.seq) for h in r.kept] == [(x[2], x[3]) for x in kept]
+        first = {}
+        for x in kept:
+            first.setdefault(x[2] % 3, x)
+        assert sorted(h.seq for h in r.merged) == sorted(x[3] for x in first.values()) and [h.start for h in r.merged] == sorted(h.start for h in r.merged)
+
+
+def test_a_page_of_very_many_hits_takes_linear_time(spark):
+    text = " ".join(f"a{i}@example.com" for i in range(20_000))
+    pages = spark.createDataFrame([(1, 0, text)], "doc_id long, page_num int, text string")
+    detect.entities(pages.limit(0)).count()
+    start = time.monotonic()
+    assert detect.entities(pages).count() == 20_000 and time.monotonic() - start < 20
+
+
+def test_pages_are_rewritten_without_an_exchange(spark, sf_dir):
+    pages = fixtures.pages(spark, sf_dir)
+    for one, other, column in ((deid.deidentified_pages(pages, "mask", "s"), deid.deidentified(pages, detect.entities(pages), "mask", "s"), "mapping"), (deid.overlaid_pages(pages, "replace", "s"), deid.overlaid(pages, detect.entities(pages), "replace", "s"), "overlays")):
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.replace("RoundRobinPartitioning", "") or plan.count("Exchange") == plan.count("RoundRobinPartitioning")
+        say = lambda df: sorted((r.doc_id, r.text, str(sorted(r[column].items()) if column == "mapping" else r[column])) for r in df.select("doc_id", "text", column).collect())  # noqa: E731, B023
+        assert say(one) == say(other)
+
+
+def test_hash_keys_are_stored_once(spark):
+    keys = deid.document_keys(spark.range(5).select(F.col("id").alias("doc_id")))
+    first = {r.doc_id: bytes(r.key) for r in keys.collect()}
+    assert first == {r.doc_id: bytes(r.key) for r in keys.collect()} and len(set(first.values())) == 5 and all(len(k) == 32 for k in first.values())
+
+
+def test_lists_are_merged_by_page(spark):
+    names = "doc_id long, page_num int, entity_type string, text string, start int, end int, score double, source string"
+    a = spark.createDataFrame([(1, 1, "A", "a", 5, 9, 0.5, "x"), (1, 0, "A", "b", 0, 4, 0.9, "x")], names)
+    b = spark.createDataFrame([(1, 1, "B", "c", 7, 12, 0.8, "y"), (1, 1, "B", "d", 20, 22, 0.1, "y"), (1, 0, "B", "e", 0, 4, 0.9, "y")], names)
+    assert [r.text for r in resolve.lists_merged(a, b).orderBy("page_num", "start").collect()] == ["b", "c", "d"]
+    assert resolve.lists_merged(a) is a
+
+
+def test_benchmark_tables(spark, tmp_path):
+    ents = spark.createDataFrame([(1, "EMAIL"), (1, "EMAIL"), (2, "PERSON")], "doc_id long, entity_type string")
+    docs = spark.createDataFrame([(1, 2, 3.0), (2, 1, 1.0), (3, 0, 0.5)], "document long, pages long, seconds double")
+    runs = report.model_runs(ents, docs, "m")
+    got = {r.document: (r.ord, r.entities, r.types, r.seconds_per_page) for r in runs.collect()}
+    assert got == {1: (0, 2, {"EMAIL": 2}, 1.5), 2: (1, 1, {"PERSON": 1}, 1.0), 3: (1, 0, {}, 0.5)}
+    sinks.write_benchmark(report.bench_tables(runs, ("EMAIL", "PERSON")), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/types.json").first().EMAIL == 2 and spark.read.option("header", True).csv(f"{tmp_path}/documents.csv").count() == 3
+
+
+def test_failed_windows_are_a_column(spark):
+    pages = spark.createDataFrame([(1, 0, "fine Anna"), (2, 0, "bad"), (3, 0, "")], "doc_id long, page_num int, text string")
+
+    def tagger():
+        def tag(t):
+            if "bad" in t:
+                raise RuntimeError
+            return [{"label": "B-PER", "score": 0.9, "start": 5, "end": 9}, {"label": "B-PER", "score": 0.1, "start": 0, "end": 4}]
+
+        return tag
+
+    got = {r.doc_id: ([h.text for h in r.ner], r.ner_warnings) for r in providers.tagged(pages, tagger).collect()}
+    assert got == {1: (["Anna"], []), 2: ([], ["a window was not tagged: RuntimeError"]), 3: ([], [])}
+
+
+def test_a_document_that_cannot_be_read_has_an_error(spark):
+    found = spark.createDataFrame([("a", bytearray(b" x \f y")), ("b", bytearray(b"\xff")), ("c", bytearray(b"\f\f\f"))], "path string, content binary")
+    rows = {r.path: (r.pages, r.error) for r in tables.parsed_documents(found, lambda c: c.decode().split("\f"), 3).collect()}
+    assert rows == {"a": (["x", "y"], None), "b": ([], "a document was not read: UnicodeDecodeError"), "c": ([], "a document has 4 pages; at most 3 are read")}
