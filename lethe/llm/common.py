@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.plans.shipping import ensure_shipped
+from lethe.sources.shared import clean, delete, shared_dir, stored  # noqa: F401
 from lethe.sources.tables import read
 
 #: Characters of text that one numpy pass holds at a time, and bytes of rows that a function is handed at once.
@@ -26,46 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name)
 
 
-#: Folders that this driver made, by application.
-_MADE: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lethe-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lethe-{name}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all tables and files that this application's operators left in the shared folder. Their results are
-    lazy and read them: write what you keep first."""
-    for path in _MADE.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table from stored() that nothing reads any more."""
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, parent)
+    location = df._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    delete(df.sparkSession, location.rootPaths().head().toString())
 
 
 def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
