@@ -39,6 +39,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (row_hash() == gone["gone_hash"]), "left_anti")
 
 
+#: A key is a hub if it has more rows than this and more than one in HUB_SHARE of all: there are HUB_SHARE at most.
+HUB_ROWS, HUB_SHARE = 2000, 200
+
+
+def joined_by_hubs(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with keys, one row for each key with the `count` of its rows among `total`. The few hubs are broadcast
+    and the others shuffled, so no task gets all rows of one key."""
+    hub = F.col(count) > max(HUB_ROWS, total // HUB_SHARE)
+    hubs, others = F.broadcast(keys.filter(hub).drop(count)), keys.filter(~hub).drop(count)
+    rest = rows.join(F.broadcast(keys.filter(hub).select(*on)), on, "left_anti").join(others, on)
+    return rows.join(hubs, on).unionByName(rest)
+
+
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow that hands f batches of about BATCH_BYTES, or one row."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import ARROW_ROWS, bloom, dropped, in_bloom, map_rows, row_hash, stored, without
+from lethe.llm.common import ARROW_ROWS, bloom, dropped, in_bloom, joined_by_hubs, map_rows, row_hash, stored, without
 
 #: Index rows that a bucket holds before it is split; leading bits of a hash that name its key range.
 BUCKET_ROWS, OWNER_BITS = 50_000, 16
@@ -222,7 +222,8 @@ def exact_dedup(
         proved = stored(checked.select("h", "sha", F.when(F.expr("text_no = 0 AND n_same = n"), F.col("n")).otherwise(wrong.cast("long")).alias("proved")), "proved")
         index = index.join(proved, ["h", "sha"], "left").withColumn("n", F.coalesce("proved", "n"))
     dropped(groups)
-    found = rows.join(index.select("h", "sha", "n", "last", "bucket"), ["h", "sha"])
+    keys = index.select("h", "sha", "n", "last", "bucket", F.col("n").alias("members"))
+    found = joined_by_hubs(rows, keys, ["h", "sha"], "members", rows.count())
     return found.select(
         F.col("doc_id").alias(id_col), F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("uid") == F.col("last.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "row_hash",

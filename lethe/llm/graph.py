@@ -5,19 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import dropped, stored
-
-#: A node is a hub if it has more edges than this and more than one in HUB_SHARE of all: there are 2 * HUB_SHARE at most.
-HUB_EDGES, HUB_SHARE = 2000, 200
-
-
-def _with_least(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
-    """edges (a, b) with m of low (a, m, d), where d is the number of a's edges. The few hubs are broadcast, so no
-    task gets all edges of one node."""
-    hub = F.col("d") > max(HUB_EDGES, count // HUB_SHARE)
-    hubs, others = F.broadcast(low.filter(hub).select("a", "m")), low.filter(~hub).select("a", "m")
-    return edges.join(hubs, "a").union(edges.join(F.broadcast(low.filter(hub).select("a")), "a", "left_anti").join(others, "a"))
-
+from lethe.llm.common import dropped, joined_by_hubs, stored
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) for each node of edges (a, b): label is the least node of its component.
@@ -30,10 +18,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select("a", F.least("m", "a").alias("m"), "d")
-        large = _with_least(both, low, count).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = joined_by_hubs(both, low, ["a"], "d", 2 * count).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = stored(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
-        small = _with_least(large, low, count).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = joined_by_hubs(large, low, ["a"], "d", 2 * count).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         small = stored(small, "small")
         got = small.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         dropped(large)

@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import bloom, dropped, in_bloom, map_rows, stored, without
+from lethe.llm.common import bloom, dropped, in_bloom, joined_by_hubs, map_rows, stored, without
 from lethe.llm.graph import components
 from lethe.llm.shingles import shingle_sets
 from lethe.llm.signature_tree import similar
 
 #: Tokens of the sets that one task joins at a time; tokens that a short set counts for, as pairs cost more than tokens.
-UNIT_TOKENS, LEAST_WEIGHT = 500_000, 64
+UNIT_TOKENS, LEAST_WEIGHT = 2_000_000, 256
 #: Sets of an island and size class that are joined with each of its blocks.
 PIVOTS = 16
 #: Prefix tokens among which a task finds the shared ones by itself.
@@ -279,9 +279,9 @@ def _classes(own: DataFrame) -> DataFrame:
     """The least id of each class: rows whose sets have one label; rows without shingles stand alone."""
     own = stored(own, "own")
     full = own.filter("n_shingles > 0")
-    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "row_hash")).alias("first"), F.count("*").alias("members"))
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash"))
-    out = full.join(least, "label").select("doc_id", "row_hash", "n_shingles", "component_id", first.alias("first"))
+    out = joined_by_hubs(full, least, ["label"], "members", own.count()).select("doc_id", "row_hash", "n_shingles", "component_id", first.alias("first"))
     return out.union(own.filter("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True)))
 
 

@@ -40,7 +40,8 @@ def classes(n: int, links) -> list[int]:
 
 
 @pytest.mark.parametrize(("bits", "capacity"), [(64, 50_000), (64, 3), (4, 3)])
-def test_exact_dedup(odd, documents, bits, capacity):
+def test_exact_dedup(odd, documents, bits, capacity, monkeypatch):
+    monkeypatch.setattr("lethe.llm.common.HUB_ROWS", 2)
     for docs in (odd, documents):
         rows = exact.exact_dedup(docs, capacity=capacity, hash_bits=bits).collect()
         groups: dict[str, list] = {}
@@ -134,7 +135,7 @@ def test_short_sets_that_share_one_token_cost_little(n):
 
 
 def test_hubs_are_done_apart(spark, monkeypatch):
-    monkeypatch.setattr("lethe.llm.graph.HUB_EDGES", 5)
+    monkeypatch.setattr("lethe.llm.common.HUB_ROWS", 5)
     rng = random.Random(8)
     edges = [(0, i) for i in range(1, 300)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(60)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -175,7 +176,8 @@ def near(rng: random.Random) -> list[tuple[int, str]]:
 
 
 @pytest.mark.parametrize(("k", "num", "unit", "group"), [(4, 85, 2_000_000, 2_000_000), (5, 80, 400, 500), (4, 85, 3000, 5000)])
-def test_jaccard_join(spark, documents, k, num, unit, group):
+def test_jaccard_join(spark, documents, k, num, unit, group, monkeypatch):
+    monkeypatch.setattr("lethe.llm.common.HUB_ROWS", 2000 if unit > 10_000 else 2)
     for docs in (spark.createDataFrame(near(random.Random(9)), "doc_id long, text string").repartition(5), documents):
         texts = {r.doc_id: shingles(r.text, k) for r in docs.collect()}
         ids = sorted(texts)
