@@ -6,7 +6,8 @@ of Mahalanobis log densities with the Cholesky factors that the fit cached.
 
 Null and empty texts have the statistics of no characters and get a score like any other. Without labels of
 both classes the score is the share of good labels (1 without labels). Rows with repeated ids are scored each;
-a repeated training id counts once. Other columns are never read.
+a repeated training id counts once. Very long texts are measured whole, their words held beside them. A score that ties
+with the cutoff counts as good. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 import corpus_pipeline
-from lethe.llm import quality
+from lethe.llm import bpe, quality
 from lethe.llm.decontaminate import normalised
 from tests.llm.test_duplicates import classes, lower, shingles
 
@@ -24,7 +26,11 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     left = {d: left[d] for i, d in enumerate(ids) if label[i] == i and not any(t in normalised(left[d]) for t in items)}
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(rows) == set(left) and len(rows) > 100
-
+    enc = bpe.encoding(bpe.rank_file(), bpe.split_pattern())
+    for d, r in rows.items():
+        ids = enc.encode_ordinary(left[d])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(left[d].encode()).hexdigest()
 
 
 def test_stages_keep_the_columns(spark, odd, sf_dir):
