@@ -2,6 +2,11 @@
 
 A stage is a function of (spark, docs, sf_dir). Its result is written as Parquet in the shared folder and read
 again as the docs of the next. All stages but the last return the columns of documents.
+
+Null and empty texts are scored like others; if kept they are one group of copies, have no shingles and hold no item, and
+their ids are those of no bytes. Very long texts go through every stage whole. Rows that repeat id and text are one row
+after exact_dedup; of equal texts the largest id stays, of linked ones the row with the least (id, hash of the row), so
+ties end in one row. Extra columns, whatever their names, are carried to the last stage. An empty table stays empty.
 """
 
 from __future__ import annotations
