@@ -44,6 +44,18 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: b
     return found.load(folder).select("path", "length", "content")
 
 
+def datasets(spark: SparkSession, folder: str, pattern: str = "*.parquet", recursive: bool = True) -> DataFrame:
+    """path, length of a folder's files, where a folder whose name matches is one dataset as a file is: its length is
+    the sum over the part files at any depth below it, and these are not listed apart."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    depth = len(root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/").split("/"))
+    matches = rf"\A(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()})\z"  # as pathGlobFilter has it
+    names = F.split("path", "/")
+    first = F.array_position(F.transform(F.slice(names, depth + 1, F.size(names)), lambda x: x.rlike(matches)), True).cast("int")
+    found = files(spark, folder, "*").select("path", "length", first.alias("first")).filter("first > 0" if recursive else "first = 1")
+    return found.groupBy(F.array_join(F.slice(names, 1, F.col("first") + depth), "/").alias("path")).agg(F.sum("length").alias("length"))
+
+
 def first_files(found: DataFrame, n: int) -> DataFrame:
     return found.orderBy("path").limit(n)
 

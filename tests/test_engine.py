@@ -293,3 +293,14 @@ def test_a_document_that_cannot_be_read_has_an_error(spark):
     found = spark.createDataFrame([("a", bytearray(b" x \f y")), ("b", bytearray(b"\xff")), ("c", bytearray(b"\f\f\f"))], "path string, content binary")
     rows = {r.path: (r.pages, r.error) for r in tables.parsed_documents(found, lambda c: c.decode().split("\f"), 3).collect()}
     assert rows == {"a": (["x", "y"], None), "b": ([], "a document was not read: UnicodeDecodeError"), "c": ([], "a document has 4 pages; at most 3 are read")}
+
+
+def test_a_folder_of_part_files_is_one_dataset(spark, tmp_path):
+    top = tmp_path / "in.parquet"  # the folder's own name does not count
+    for at, n in {"a.parquet": 1, "b.parquet/part-0.parquet": 2, "b.parquet/k=1/part-1": 3, "b.parquet/_SUCCESS": 9, "sub/c.parquet": 4, "sub/d.parquet/x.parquet/y": 5, "e.txt": 6}.items():
+        (top / at).parent.mkdir(parents=True, exist_ok=True)
+        (top / at).write_bytes(b"x" * n)
+    listed = lambda *a: {r.path.removeprefix(f"file:{top}/"): r.length for r in tables.datasets(spark, f"{top}/", *a).collect()}
+    assert listed() == {"a.parquet": 1, "b.parquet": 5, "sub/c.parquet": 4, "sub/d.parquet": 5}
+    assert listed("*.parquet", False) == {"a.parquet": 1, "b.parquet": 5}
+    assert listed("{c,e}.*") == {"sub/c.parquet": 4, "e.txt": 6} and listed("none*") == {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 import duckdb
 import pytest
@@ -36,6 +37,18 @@ def test_query_matches_its_sql(spark, duck, sf_dir, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(got.fetchall(), columns)
 
 
+@pytest.mark.parametrize("name", ["s10_folder_scan"])
+def test_folder_scans_where_tables_are_folders_of_part_files(spark, duck, sf_dir, tmp_path, name):
+    for t in TABLES:
+        to = tmp_path / f"{t}.parquet"
+        if t in ("documents", "labels", "pages", "conversations", "embeddings"):
+            to.mkdir()
+        for i in range(2 if to.is_dir() else 1):
+            shutil.copyfile(f"{sf_dir}/{t}.parquet", to / f"part-{i:04}.parquet" if to.is_dir() else to)
+    got = [r.name for r in suite.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(r[0] for r in duck.execute(suite.ORACLES[name]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
