@@ -38,17 +38,24 @@ def html_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page_num"), F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " ")).alias("text"))
 
 
+def _depth(spark: SparkSession, folder: str) -> int:
+    """Number of names in a folder's full path, its file system included."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return len(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/").split("/"))
+
+
 def files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
-    """path, length, content of a folder's files."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return found.load(folder).select("path", "length", "content")
+    """path, length, content of a folder's files, at any depth or directly in it."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    if not recursive:  # Spark's own flat lookup takes folders named k=v for partitions; by metadata, other files are not opened
+        found = found.filter(F.size(F.split("_metadata.file_path", "/")) == _depth(spark, folder) + 1)
+    return found.select("path", "length", "content")
 
 
 def datasets(spark: SparkSession, folder: str, pattern: str = "*.parquet", recursive: bool = True) -> DataFrame:
     """path, length of a folder's files, where a folder whose name matches is one dataset as a file is: its length is
     the sum over the part files at any depth below it, and these are not listed apart."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    depth = len(root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/").split("/"))
+    depth = _depth(spark, folder)
     matches = rf"\A(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()})\z"  # as pathGlobFilter has it
     names = F.split("path", "/")
     first = F.array_position(F.transform(F.slice(names, depth + 1, F.size(names)), lambda x: x.rlike(matches)), True).cast("int")

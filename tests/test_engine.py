@@ -304,3 +304,12 @@ def test_a_folder_of_part_files_is_one_dataset(spark, tmp_path):
     assert listed() == {"a.parquet": 1, "b.parquet": 5, "sub/c.parquet": 4, "sub/d.parquet": 5}
     assert listed("*.parquet", False) == {"a.parquet": 1, "b.parquet": 5}
     assert listed("{c,e}.*") == {"sub/c.parquet": 4, "e.txt": 6} and listed("none*") == {}
+
+
+def test_a_flat_scan_takes_no_file_of_a_subfolder(spark, tmp_path):
+    for at in ("a b%2F.pdf", "k=1/b.pdf", "k=1/l=2/c.pdf", "sub/d.pdf", "e.txt"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_bytes(at.encode())
+    found = tables.files(spark, str(tmp_path), recursive=False)
+    assert [(r.path, bytes(r.content)) for r in found.collect()] == [(f"file:{tmp_path}/a b%2F.pdf", b"a b%2F.pdf")]
+    assert sorted(bytes(r.content) for r in tables.files(spark, str(tmp_path)).collect()) == [b"a b%2F.pdf", b"k=1/b.pdf", b"k=1/l=2/c.pdf", b"sub/d.pdf"]

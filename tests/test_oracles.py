@@ -37,7 +37,7 @@ def test_query_matches_its_sql(spark, duck, sf_dir, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(got.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["s10_folder_scan"])
+@pytest.mark.parametrize("name", ["s10_folder_scan", "s11_flat_scan"])
 def test_folder_scans_where_tables_are_folders_of_part_files(spark, duck, sf_dir, tmp_path, name):
     for t in TABLES:
         to = tmp_path / f"{t}.parquet"
